@@ -52,6 +52,7 @@ def keyed_state(records: DataFrame, path: str) -> DataFrame:
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.metricsEnabled": "false",
     }.items():
         own.conf.set(key, value)
