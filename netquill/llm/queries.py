@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import bpe_count, decontam, exact_stream, langid, license_scan, packing, simhash_golay, toxicity
+from netquill.llm import bpe_count, decontam, exact_stream, langid, license_scan, packing, simhash_golay, toxicity, warc_zip
 from netquill.llm.common import remainder, prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,22 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    read = warc_zip.read(spark, warc_zip.write(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS keep FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> keep THEN keep END AS refers_to
+FROM g
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return simhash_golay.report(table(spark, sf_dir, "documents"))
@@ -68,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op4_warc_zip": op4_warc_zip,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
@@ -77,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
+    "op4_warc_zip": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
