@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import bpe_count, decontam, exact_stream, langid, license_scan, packing, simhash_golay, toxicity, warc_zip
+from netquill.llm import bpe_count, decontam, exact_stream, langid, license_scan, packing, simhash_golay, toxicity, url_filter, warc_zip
 from netquill.llm.common import remainder, prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.report(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_warc_zip": op4_warc_zip,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
@@ -95,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
     "op4_warc_zip": OP4_SQL,
+    "op6_url_filter": url_filter.oracle_sql(),
     "op10_exact_dedup": OP10_SQL,
 }
