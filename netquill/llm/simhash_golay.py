@@ -12,10 +12,11 @@ and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates a
 fingerprints are one node, so copies are never paired.
 
 *Groups by similarity* (:func:`similar_nodes`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
-needed: 20 segments of 23 bits, and a key for each pair of segments (both nearest codewords). In each bucket rows
-are compared with the bucket's smallest node only (a star, not all pairs) and verified on the whole fingerprint,
-whose share of differing bits d estimates the cosine cos(pi d) = 2 J / (1 + J). Recall on pairs at 0.8 is
-measured in the tests.
+needed: 22 segments of 23 bits, and a key for each pair of segments (both nearest codewords). In each bucket rows
+are compared with the bucket's smallest node only (a star, not all pairs). Pairs whose whole fingerprints differ
+by far more than the similarity lets expect (a share of bits d for which cos(pi d) = 2 J / (1 + J)) are dropped,
+the others verified on their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85,
+0.9 or 0.95 shares one with a probability of about 0.77, 0.89, 0.97 or 1.
 
 Cases: null and empty texts have fingerprint zero, which links like any other; texts with fewer words than a
 shingle are one shingle; repeated rows share their fingerprint; null identifiers never name a component that has
@@ -40,7 +41,7 @@ from netquill.llm.graph import components
 SEED = 42
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEGMENTS_64 = ((0, 22), (22, 21), (43, 21))  # first bit and width
-WIDE_WORDS, WIDE_SEGMENTS = 8, 20
+WIDE_WORDS, WIDE_SEGMENTS = 8, 22
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -172,13 +173,14 @@ def _wide_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.int32)), pa.array(node)], ["key", "node"])
 
 
-def most_bits(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Differing bits to be expected at a Jaccard similarity."""
-    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def most_bits(similarity: float, words: int = WIDE_WORDS, deviations: float = 3.0) -> int:
+    """Differing bits that a pair of this Jaccard similarity stays below, but for ``deviations`` standard deviations."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(64 * words * share + deviations * math.sqrt(64 * words * share * (1 - share)))
 
 
-def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(node, root) of the linked among ``nodes``: node, f0, ..., one row for each distinct wide fingerprint."""
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): a star in each bucket, without the pairs whose whole fingerprints differ too much."""
     names = [f"f{k}" for k in range(WIDE_WORDS)]
     keys = nodes.repartition("node").mapInArrow(_wide_keys, "key int, node long")
     star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
@@ -186,19 +188,46 @@ def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     left = nodes.select(F.col("node").alias("node"), *(F.col(c).alias(f"a{c}") for c in names))
     right = nodes.select(F.col("node").alias("hub"), *(F.col(c).alias(f"b{c}") for c in names))
     far: Column = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in names), F.lit(0))
-    links = pairs.join(left, "node").join(right, "hub").where(far <= most_bits(similarity)).select("node", "hub")
-    return components(links)
+    return pairs.join(left, "node").join(right, "hub").where(far <= most_bits(similarity)).select("node", "hub")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (node, hub) whose texts' shingle sets have the Jaccard similarity. ``texts``: node, text of the pairs' nodes."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    def alike(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["node", "hub"])
+
+    s = materialize(texts.mapInArrow(sets, "node long, hashes binary"), "simhash-sets")
+    both = pairs.join(s, "node").withColumnRenamed("hashes", "x").join(s.select(F.col("node").alias("hub"), F.col("hashes").alias("y")), "hub")
+    return both.select("node", "hub", "x", "y").mapInArrow(alike, "node long, hub long")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The row with the smallest identifier of each group of near copies, with all columns of ``docs``."""
     rows = located(docs)
     names = [f"f{k}" for k in range(WIDE_WORDS)]
-    p = prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), F.col(text_col).cast("string").alias("text")), shingle, WIDE_WORDS)
+    text = F.col(text_col).cast("string").alias("text")
+    p = prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS)
     p = materialize(p.select("id", "at", F.xxhash64(*names).alias("node"), *names), "simhash-wide")
-    nodes = p.groupBy("node").agg(*(F.min(c).alias(c) for c in names))
-    roots = materialize(similar_nodes(materialize(nodes, "simhash-nodes"), similarity), "simhash-roots")
+    nodes = materialize(p.groupBy("node").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in names)), "simhash-nodes")
+    pairs = materialize(candidates(nodes.drop("at"), similarity), "simhash-pairs")
+    wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
+    some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
+    texts = rows.select(F.col("__at").alias("at"), text).join(some, "at").select("node", "text")
+    roots = materialize(components(verified(pairs, texts, shingle, similarity)), "simhash-roots")
     grouped = p.select("id", "at", "node").join(roots, "node", "left").select("id", "at", F.coalesce("root", "node").alias("root"))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = grouped.join(first, "root").where(F.col("at") != F.col("first.at")).select(F.col("at").alias("__at"))
+    grouped = materialize(grouped, "simhash-grouped")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.at").alias("keep"))
+    gone = materialize(grouped.join(materialize(first, "simhash-first"), "root").where(F.col("at") != F.col("keep")).select(F.col("at").alias("__at")), "simhash-gone")
     return rows.join(gone, "__at", "left_anti").drop("__at")
