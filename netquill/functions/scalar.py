@@ -47,10 +47,10 @@ def discretize(x: Column, thresholds: list[float], states: int | None = None) ->
 def log_ratio(prior: Column, posterior: Column) -> Column:
     """log10 of the odds ratio of posterior and prior, the ratio kept within [-1022, 1023]; a ratio of 0 gives -infinity,
     a prior of 0 or a posterior of 1 the cap."""
-    up, down = posterior * (1 - prior), (1 - posterior) * prior
-    ratio = F.when(down == 0, F.when(up == 0, F.lit(float("nan"))).otherwise(1023.0)).otherwise(F.try_divide(up, down))
-    ratio = F.least(F.greatest(ratio, _d(-1022)), _d(1023))
-    return F.when(F.isnan(ratio), F.lit(float("nan"))).when(ratio <= 0, F.lit(float("-inf"))).otherwise(F.log10(F.when(ratio > 0, ratio)))
+    up, down, nan = posterior * (1 - prior), (1 - posterior) * prior, F.lit(float("nan"))
+    ratio = F.when(down == 0, 1023.0).otherwise(F.least(F.greatest(F.try_divide(up, down), _d(-1022)), _d(1023)))
+    undefined = ((up == 0) & (down == 0)) | F.isnan(up) | F.isnan(down)
+    return F.when(undefined, nan).when(ratio <= 0, F.lit(float("-inf"))).otherwise(F.log10(F.when(ratio > 0, ratio)))
 
 
 def ipa(priors: list[Column], posteriors: list[Column]) -> Column:
