@@ -23,7 +23,9 @@ def test_flagship_against_sql(spark):
     for name in ("orders", "lineitem"):
         c.execute(f"create view {name} as select * from read_parquet('{DATA}/{name}.parquet')")
     want = sorted(c.execute(entry.oracle_sql()["pgm_pair_marginal"]).fetchall())
-    assert sorted(map(tuple, entry.entry(spark).collect())) == pytest.approx(want)
+    got = sorted(map(tuple, entry.entry(spark).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
 
 
 def test_imports_without_the_corpus_subpackage(tmp_path):
