@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,6 +38,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PACKAGE_BYTES = 256 << 20
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
 
@@ -54,7 +55,7 @@ def record(page, url: str | None, payload: bytes, digest: str, refers_to) -> byt
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="%/:?#[]@!$&'()*+,;=~ " + "".join(c for c in url if ord(c) > 126)))
+        head.append("WARC-Target-URI: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page: {json.dumps(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page: {json.dumps(page)}", f"Content-Length: {len(block)}"]
