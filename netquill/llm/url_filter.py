@@ -27,6 +27,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>]+)"""
 DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+BROADCAST_HOSTS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -79,7 +80,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = src.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     blocked = ranks(seeds, host_edges(pages, url_col, html_col), damping, rounds).where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("method"))
-    return src.join(blocked, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
+    blocked = materialize(blocked, "blocked-hosts")
+    small = blocked.count() <= BROADCAST_HOSTS  # then the pages needn't move; beyond it a sort-merge join that splits hot hosts
+    return src.join(F.broadcast(blocked) if small else blocked, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
 
 
 def oracle_sql() -> str:
