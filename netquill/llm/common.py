@@ -37,6 +37,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(table: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A written table to be joined: broadcast if it is small, counted first; else left to a sort-merge join that splits hot keys."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def prepare(spark: SparkSession, rows: int = 256) -> None:
     """Ship the package to the workers and bound what one Arrow batch of long texts can hold."""
     ship(spark)

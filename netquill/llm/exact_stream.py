@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm.common import ascii_lower, materialize, scratch
+from netquill.llm.common import ascii_lower, materialize, scratch, shared
 
 FILES_PER_BATCH = 1000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -101,4 +101,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each group of equal texts, with all columns of ``docs``."""
     rows = located(docs)
     gone = classes(rows.select(id_col, text_col, "__at"), id_col, text_col).where(F.col("at") != F.col("keep.at")).select(F.col("at").alias("__at"))
-    return rows.join(gone, "__at", "left_anti").drop("__at")
+    return rows.join(shared(materialize(gone, "dedup-gone")), "__at", "left_anti").drop("__at")

@@ -11,12 +11,12 @@ two segments with at most one error each, so the keys are pairs of segments with
 and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates are verified in the join. Equal
 fingerprints are one node, so copies are never paired.
 
-*Groups by similarity* (:func:`similar_nodes`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
-needed: 22 segments of 23 bits, and a key for each pair of segments (both nearest codewords). In each bucket rows
-are compared with the bucket's smallest node only (a star, not all pairs). Pairs whose whole fingerprints differ
-by far more than the similarity lets expect (a share of bits d for which cos(pi d) = 2 J / (1 + J)) are dropped,
-the others verified on their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85,
-0.9 or 0.95 shares one with a probability of about 0.77, 0.89, 0.97 or 1.
+*Groups by similarity* (:func:`drop_near_copies`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
+needed: 22 segments of 23 bits, and a key for each pair of segments (both nearest codewords). No bucket emits all its
+pairs: see :func:`candidates`. The whole fingerprints' share of differing bits d estimates the similarity J by
+cos(pi d) = 2 J / (1 + J): pairs far beyond it are dropped, pairs well within it linked, and those between verified on
+their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85, 0.9 or 0.95 shares one with a
+probability of about 0.77, 0.89, 0.97 or 1.
 
 Cases: null and empty texts have fingerprint zero, which links like any other; texts with fewer words than a
 shingle are one shingle; repeated rows share their fingerprint; null identifiers never name a component that has
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import materialize
+from netquill.llm.common import materialize, shared
 from netquill.llm.exact_stream import located
 from netquill.llm.graph import components
 
@@ -160,9 +160,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return p.join(nodes, "f0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _wide_keys(batches):
-    pairs = np.array(list(itertools.combinations(range(WIDE_SEGMENTS), 2)))
-    weights = 1 << np.arange(23, dtype=np.int64)
+#: Pairs of segments that make the keys: neighbours first, which are enough for close copies.
+NEIGHBOURS = [(i, i + 1) for i in range(WIDE_SEGMENTS - 1)]
+OTHERS = [p for p in itertools.combinations(range(WIDE_SEGMENTS), 2) if p not in NEIGHBOURS]
+
+
+def _wide_keys(batches, chosen: list[tuple[int, int]]):
+    pairs, weights = np.array(chosen), 1 << np.arange(23, dtype=np.int64)
     for batch in batches:
         f = np.stack([batch.column(k + 1).to_numpy() for k in range(WIDE_WORDS)], 1)
         bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")[:, : 23 * WIDE_SEGMENTS]
@@ -170,7 +174,7 @@ def _wide_keys(batches):
         code = nearest(seg.reshape(-1)).reshape(seg.shape)
         key = (np.arange(len(pairs), dtype=np.int64) << 24) | (code[:, pairs[:, 0]] << 12) | code[:, pairs[:, 1]]
         node = np.repeat(batch.column(0).to_numpy(), len(pairs))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.int32)), pa.array(node)], ["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.uint32).view(np.int32)), pa.array(node)], ["key", "node"])
 
 
 def most_bits(similarity: float, words: int = WIDE_WORDS, deviations: float = 3.0) -> int:
@@ -179,16 +183,47 @@ def most_bits(similarity: float, words: int = WIDE_WORDS, deviations: float = 3.
     return math.ceil(64 * words * share + deviations * math.sqrt(64 * words * share * (1 - share)))
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, hub): a star in each bucket, without the pairs whose whole fingerprints differ too much."""
+def _keys(nodes: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
+    names = [f"f{k}" for k in range(WIDE_WORDS)]
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few large tasks aren't made of them
+    return nodes.select("node", *names).repartition(parts, "node").mapInArrow(lambda x: _wide_keys(x, chosen), "key int, node long")
+
+
+def _measured(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """``pairs`` (node, hub) with far, the number of bits in which their fingerprints differ, at most ``most``."""
     names = [f"f{k}" for k in range(WIDE_WORDS)]
-    keys = nodes.repartition("node").mapInArrow(_wide_keys, "key int, node long")
-    star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    pairs = keys.join(star, "key").where("node != hub").select("node", "hub").distinct()
-    left = nodes.select(F.col("node").alias("node"), *(F.col(c).alias(f"a{c}") for c in names))
+    left = nodes.select("node", *(F.col(c).alias(f"a{c}") for c in names))
     right = nodes.select(F.col("node").alias("hub"), *(F.col(c).alias(f"b{c}") for c in names))
     far: Column = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in names), F.lit(0))
-    return pairs.join(left, "node").join(right, "hub").where(far <= most_bits(similarity)).select("node", "hub")
+    return pairs.join(left, "node").join(right, "hub").select("node", "hub", far.alias("far")).where(F.col("far") <= most)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't in one component yet."""
+    a, b = roots.select("node", F.col("root").alias("ra")), roots.select(F.col("node").alias("hub"), F.col("root").alias("rb"))
+    both = pairs.join(a, "node", "left").join(b, "hub", "left")
+    return both.where(F.coalesce("ra", "node") != F.coalesce("rb", "hub")).select(*pairs.columns)
+
+
+def candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(sure, unsure) pairs (node, hub). Sure ones are so close that three standard deviations lie between them and the
+    similarity; what these already connect isn't compared again.
+
+    First the keys of neighbouring segments, in each bucket a star around the smallest node: this gathers even a large group of
+    copies with few rows. Then all other keys, of each bucket the smallest and the largest node, in one aggregate."""
+    loose, strict = most_bits(similarity), most_bits(similarity, deviations=-3.0)
+    keys = _keys(nodes, NEIGHBOURS)
+    star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
+    first = keys.join(star, "key").where("node != hub").select("node", "hub").distinct()
+    first = materialize(_measured(first, nodes, loose), "simhash-pairs")
+    roots = materialize(components(first.where(F.col("far") <= strict).select("node", "hub")), "simhash-roots")
+    ends = _keys(nodes, OTHERS).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).where("hub < node").select("node", "hub").distinct()
+    second = materialize(_measured(_apart(ends, roots), nodes, loose), "simhash-pairs")
+    every = first.union(second)
+    sure = materialize(every.where(F.col("far") <= strict).select("node", "hub").distinct(), "simhash-sure")
+    roots = materialize(components(sure), "simhash-roots")
+    unsure = _apart(every.where(F.col("far") > strict).select("node", "hub").distinct(), roots)
+    return sure, materialize(unsure, "simhash-unsure")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -221,13 +256,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     p = prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS)
     p = materialize(p.select("id", "at", F.xxhash64(*names).alias("node"), *names), "simhash-wide")
     nodes = materialize(p.groupBy("node").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in names)), "simhash-nodes")
-    pairs = materialize(candidates(nodes.drop("at"), similarity), "simhash-pairs")
-    wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
+    sure, unsure = candidates(nodes.drop("at"), similarity)
+    wanted = unsure.select("node").union(unsure.select(F.col("hub").alias("node"))).distinct()
     some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
-    texts = rows.select(F.col("__at").alias("at"), text).join(some, "at").select("node", "text")
-    roots = materialize(components(verified(pairs, texts, shingle, similarity)), "simhash-roots")
+    texts = rows.select(F.col("__at").alias("at"), text).join(shared(some), "at").select("node", "text")
+    roots = materialize(components(sure.union(verified(unsure, texts, shingle, similarity))), "simhash-roots")
     grouped = p.select("id", "at", "node").join(roots, "node", "left").select("id", "at", F.coalesce("root", "node").alias("root"))
     grouped = materialize(grouped, "simhash-grouped")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.at").alias("keep"))
     gone = materialize(grouped.join(materialize(first, "simhash-first"), "root").where(F.col("at") != F.col("keep")).select(F.col("at").alias("__at")), "simhash-gone")
-    return rows.join(gone, "__at", "left_anti").drop("__at")
+    return rows.join(shared(gone), "__at", "left_anti").drop("__at")
