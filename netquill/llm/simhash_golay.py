@@ -156,7 +156,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     linked = least.join(comp, least.f0 == comp.node).select("f0", "root", "rep")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("low"))
     named = linked.join(lowest, "root").select(F.col("f0").alias("node"), "low")
-    nodes = least.join(named, least.f0 == named.node, "left").select("f0", F.coalesce("low", "rep").alias("component_id"))
+    nodes = materialize(least.join(named, least.f0 == named.node, "left").select("f0", F.coalesce("low", "rep").alias("component_id")), "simhash-components")
     return p.join(nodes, "f0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
