@@ -6,7 +6,7 @@ nearest, and all within 4 bits, of which there are 1 or 6. If two segments diffe
 nearest codeword of either is within 4 bits of the other, so an index row (nearest) and a query row (all
 nearby) meet.
 
-*Links up to 3 bits* (:func:`links_within_3`). A 64-bit fingerprint has three segments. At most 3 errors leave
+*Links up to 3 bits* (:func:`links_within_3`, :func:`connecting_within_3`). A 64-bit fingerprint has three segments. At most 3 errors leave
 two segments with at most one error each, so the keys are pairs of segments with one codeword each: 3 index rows
 and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates are verified in the join. Equal
 fingerprints are one node, so copies are never paired.
@@ -126,24 +126,60 @@ def prints(rows: DataFrame, shingle: int, words: int = 1) -> DataFrame:
 
 
 def _pairs_of_segments(batches, query: bool):
+    """(key, f, root) of rows (f, root)."""
     for batch in batches:
-        f = batch.column(0).to_numpy().view(np.uint64)
+        f, root = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         seg = [((f >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS_64]
         each = [nearby(s) for s in seg] if query else [nearest(s)[:, None] for s in seg]
         for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
             a, b = each[i][:, :, None], each[j][:, None, :]
             key = np.where((a < 0) | (b < 0), -1, (p << 24) | (a << 12) | b).reshape(len(f), -1)
             at = np.nonzero(key >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].astype(np.int32)), pa.array(f[at[0]].view(np.int64))], ["key", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].astype(np.int32)), pa.array(f[at[0]].view(np.int64)), pa.array(root[at[0]])], ["key", "f", "root"])
+
+
+def _rows(rooted: DataFrame, query: bool) -> DataFrame:
+    return rooted.mapInArrow(lambda x: _pairs_of_segments(x, query), "key int, f long, root long")
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """A number of partitions, so that few large tasks aren't made of them."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.columns[0])
+
+
+def _bits(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def links_within_3(nodes: DataFrame) -> DataFrame:
     """(a, b) with a < b of every two of the distinct fingerprints ``nodes`` (one long column) that differ in 1 to 3 bits."""
-    one = nodes.select(F.col(nodes.columns[0]).alias("f")).repartition("f")
-    index = one.mapInArrow(lambda x: _pairs_of_segments(x, False), "key int, f long").select("key", F.col("f").alias("b"))
-    query = one.mapInArrow(lambda x: _pairs_of_segments(x, True), "key int, f long").select("key", F.col("f").alias("a"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3
-    return query.join(index, (query.key == index.key) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    one = _spread(nodes.select(F.col(nodes.columns[0]).alias("f"))).select("f", F.col("f").alias("root"))
+    index = _rows(one, False).select("key", F.col("f").alias("b"))
+    query = _rows(one, True).select("key", F.col("f").alias("a"))
+    return query.join(index, (query.key == index.key) & (F.col("a") < F.col("b")) & (_bits("a", "b") <= 3)).select("a", "b").distinct()
+
+
+def connecting_within_3(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of at most 3 bits that connect the same components as all of them, without the pairs inside a dense group.
+
+    A star around the smallest and one around the largest index row of each bucket gather dense groups first. Then only rows of
+    different components are compared: in each bucket the rows of its most frequent component are never held against
+    each other."""
+    one = materialize(_spread(nodes.select(F.col(nodes.columns[0]).alias("f"))).select("f", F.col("f").alias("root")), "simhash-links")
+    index = _rows(one, False).select("key", "f")
+    ends = index.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi")
+    star = index.join(ends, "key").select(F.col("f").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where((F.col("a") != F.col("b")) & (_bits("a", "b") <= 3))
+    star = materialize(star.distinct(), "simhash-links")
+    roots = components(star)
+    rooted = materialize(_spread(one.select("f").join(roots, F.col("f") == F.col("node"), "left").select("f", F.coalesce("root", "f").alias("root"))), "simhash-links")
+    index = _rows(rooted, False)
+    most = index.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    flagged = lambda d, f, r: d.join(most, "key").select("key", F.col("f").alias(f), F.col("root").alias(r), (F.col("root") == F.col("most")).alias(f"{r}_most"))
+    i = materialize(flagged(index, "b", "rb"), "simhash-links")
+    q = materialize(flagged(_rows(rooted, True), "a", "ra"), "simhash-links")  # only rows whose key some index row has
+    across = (F.col("ra") != F.col("rb")) & (_bits("a", "b") <= 3)
+    pairs = q.join(i.where("NOT rb_most"), "key").where(across).select("a", "b").union(q.where("NOT ra_most").join(i.where("rb_most"), "key").where(across).select("a", "b"))
+    return star.union(pairs)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -151,7 +187,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     rows = docs.select(F.col(id_col).alias("id"), F.lit(0).alias("at"), F.col(text_col).cast("string").alias("text"))
     p = materialize(prints(rows, shingle).select("id", "f0"), "simhash")
     least = materialize(p.groupBy("f0").agg(F.min("id").alias("rep")), "simhash-nodes")
-    comp = components(links_within_3(least.select("f0")))
+    comp = components(connecting_within_3(least.select("f0")))
     comp = materialize(comp, "simhash-roots")
     linked = least.join(comp, least.f0 == comp.node).select("f0", "root", "rep")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("low"))

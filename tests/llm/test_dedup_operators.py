@@ -81,6 +81,22 @@ def test_links_against_brute_force(spark):
     assert len(got) > 300
 
 
+def test_connecting_links_connect_the_same(spark):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.int64)
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(0, 7), replace=False)) for b in base for _ in range(8)]
+    dense = [int(base[0]) ^ (1 << x) for x in range(63)] + [int(base[0]) ^ (1 << x) ^ (1 << y) for x in range(20) for y in range(x)]
+    f = sorted({*map(int, base), *near, *dense})
+    nodes = spark.createDataFrame([(x,) for x in f], "f long")
+    some = simhash_golay.connecting_within_3(nodes)
+    edges = some.collect()
+    assert all((e["a"] ^ e["b"]).bit_count() <= 3 for e in edges)
+    roots = lambda d: sorted(map(tuple, graph.components(d).collect()))
+    every = simhash_golay.links_within_3(nodes)
+    assert roots(some) == roots(every)
+    assert len(edges) < every.count() / 4
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2001 + k) for k in range(40)]
