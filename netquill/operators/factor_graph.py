@@ -99,3 +99,38 @@ def bethe_log_z(factors: DataFrame, links: DataFrame, var_beliefs: DataFrame, ce
     v = var_beliefs.join(degree, "var_id").where("p > 0").agg(F.coalesce(F.sum((F.col("d") - 1) * F.col("p") * F.log("p")), F.lit(0.0)).alias("a"))
     c = cells(factors).join(cell_beliefs, ["factor_id", "idx"]).where("p > 0 AND val > 0").agg(F.coalesce(F.sum(F.col("p") * (F.log("val") - F.log("p"))), F.lit(0.0)).alias("b"))
     return v.crossJoin(c).select((F.col("a") + F.col("b")).alias("log_z"))
+
+
+def multiplied(cell_values: DataFrame, message: DataFrame, states: DataFrame, log: bool = False) -> DataFrame:
+    """(factor_id, idx, val): each cell times (``log``: plus) the message of one variable. states: factor_id, idx, state of that
+    variable; message: factor_id, state, p."""
+    m = cell_values.join(states, ["factor_id", "idx"]).join(message, ["factor_id", "state"])
+    return m.select("factor_id", "idx", (F.col("val") + F.col("p") if log else F.col("val") * F.col("p")).alias("val"))
+
+
+def marginal(factors: DataFrame, links: DataFrame, maximise: bool = False) -> DataFrame:
+    """(factor_id, var_id, state, val): sums (or maxima, at least 0) of a factor's cells for each of its variables."""
+    c = cell_states(factors, links)
+    return c.groupBy("factor_id", "var_id", "state").agg((F.greatest(F.max("val"), F.lit(0.0)) if maximise else F.sum("val")).alias("val"))
+
+
+def effective_factors(factors: DataFrame, links: DataFrame, continuous: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(factors, links) with each continuous factor as the unary factor that its observation makes of it; nothing is changed in
+    place, so nothing has to be restored. continuous: factor_id, var_id (the discrete one), marginal ARRAY<DOUBLE>."""
+    n = variables(links)
+    extra = continuous.join(n, "var_id", "left").select("factor_id", "var_id", F.size("marginal").alias("states"), "marginal")
+    f = factors.unionByName(extra.select("factor_id", F.col("marginal").alias("values")))
+    return f, links.select("factor_id", "pos", "var_id", "states").unionByName(extra.select("factor_id", F.lit(0).alias("pos"), "var_id", "states"))
+
+
+def factor_components(links: DataFrame) -> DataFrame:
+    """(factor_id, root): factors that share variables, directly or through others, have one root."""
+    f = F.concat(F.lit("f"), F.col("factor_id").cast("string"))
+    v = F.concat(F.lit("v"), F.col("var_id").cast("string"))
+    c = components(links.select(f.alias("a"), v.alias("b")))
+    return links.select("factor_id", f.alias("node")).distinct().join(c, "node").select("factor_id", "root")
+
+
+def outputs(variables_: DataFrame, props: str = "props") -> DataFrame:
+    """Variables whose property output is true."""
+    return variables_.where(F.col(props)["output"] == "true")

@@ -200,3 +200,19 @@ def potential_scale(samples: DataFrame, state: int = 0, block: int = 100) -> Dat
     chain = means.groupBy("graph_id", "var_id", "chain").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count(F.lit(1)).alias("n"))
     g = chain.groupBy("graph_id", "var_id").agg(F.var_samp("m").alias("between"), F.avg("v").alias("within"), F.min("n").alias("n"))
     return g.select("graph_id", "var_id", F.sqrt(F.try_divide((F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between"), F.col("within"))).alias("r_hat"))
+
+
+def template_beliefs(template: DataFrame, evidence: DataFrame, target: int) -> DataFrame:
+    """(sample_id, gene, belief): belief of one variable of a small template graph for each sample and gene.
+
+    template: kernel rows without evidence; evidence: sample_id, gene, var_id, state. Each *distinct* combination of
+    evidence is evaluated once and joined back, so the work grows with the combinations, not with the samples."""
+    key = F.array_join(F.array_sort(F.transform(F.collect_list(F.struct("var_id", "state")), lambda x: F.concat_ws("=", x["var_id"].cast("string"), x["state"].cast("string")))), ";")
+    keyed = evidence.groupBy("sample_id", "gene").agg(key.alias("graph_id"))
+    seen = keyed.select("graph_id").distinct()
+    states = template.select(F.explode(F.arrays_zip("var_ids", "states")).alias("x")).select(F.col("x.var_ids").alias("var_id"), F.col("x.states").alias("n")).distinct()
+    part = seen.select("graph_id", F.explode(F.split("graph_id", ";")).alias("p")).select("graph_id", F.split("p", "=")[0].cast("long").alias("var_id"), F.split("p", "=")[1].cast("int").alias("state")).join(states, "var_id")
+    unary = part.select("graph_id", F.concat(F.lit("evidence"), F.col("var_id").cast("string")).alias("factor_id"), F.array("var_id").alias("var_ids"), F.array("n").alias("states"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(i == F.col("state"), 1.0).otherwise(0.0)).alias("values"))
+    graphs = template.drop("graph_id").crossJoin(seen).select("graph_id", F.col("factor_id").cast("string").alias("factor_id"), "var_ids", "states", "values").unionByName(unary)
+    b = marginals(graphs).where(F.col("var_id") == target).groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "p"))), lambda x: x["p"]).alias("belief"))
+    return keyed.join(b, "graph_id").select("sample_id", "gene", "belief")

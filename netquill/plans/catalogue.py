@@ -570,6 +570,51 @@ def top_per_group(spark, sf):
     return t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place")).where("place <= 3")
 
 
+@query("SELECT user_id, count(*) FILTER (value >= 50) AS n_high, count(*) FILTER (value > 190) AS n_top FROM events GROUP BY user_id")
+def count_thresholds(spark, sf):
+    return t(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("value") >= 50).alias("n_high"), F.count_if(F.col("value") > 190).alias("n_top"))
+
+
+@query("SELECT round(corr(a.m, p_retailprice), 6) AS r, count(*) AS n FROM part JOIN (SELECT l_partkey, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) a ON l_partkey = p_partkey")
+def correlation_join(spark, sf):
+    """A score averaged by gene against a property of the gene."""
+    m = t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("m"))
+    j = t(spark, sf, "part").join(m, F.col("l_partkey") == F.col("p_partkey"))
+    return j.agg(r6(F.corr("m", "p_retailprice")).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+GRID = """WITH x AS (SELECT k, c_mktsegment AS x, c_custkey % k AS y, count(*)::DOUBLE AS n FROM customer, range(2, 7) AS g(k) GROUP BY ALL),
+s AS (SELECT k, sum(n * (n - 1) / 2) AS s, sum(n) AS n, count(DISTINCT y) AS n_clusters FROM x GROUP BY k),
+a AS (SELECT k, sum(m * (m - 1) / 2) AS a FROM (SELECT k, x, sum(n) AS m FROM x GROUP BY ALL) GROUP BY k), b AS (SELECT k, sum(m * (m - 1) / 2) AS b FROM (SELECT k, y, sum(n) AS m FROM x GROUP BY ALL) GROUP BY k)
+SELECT s.k, n::BIGINT AS n, n_clusters, round((s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) AS ari FROM s JOIN a ON a.k = s.k JOIN b ON b.k = s.k"""
+
+
+@query(GRID)
+def cluster_grid(spark, sf):
+    """Market segments against clusterings of the customers into 2 to 6 parts."""
+    c = t(spark, sf, "customer")
+    one = c.select(F.col("c_custkey").alias("member"), F.col("c_mktsegment").alias("cluster"))
+    many = c.crossJoin(spark.range(2, 7).withColumnRenamed("id", "k")).select("k", F.col("c_custkey").alias("member"), (F.col("c_custkey") % F.col("k")).alias("cluster"))
+    return drug.compare_grid(one, many).select("k", "n", "n_clusters", r6("ari").alias("ari"))
+
+
+@query("WITH h AS (SELECT user_id, k, sum(value) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), unnest([10, 20, 40]) AS u(k) WHERE i <= k GROUP BY ALL) SELECT user_id AS key, round(max(s) FILTER (k = 10), 6) AS h10, round(max(s) FILTER (k = 20), 6) AS h20, round(max(s) FILTER (k = 40), 6) AS h40 FROM h GROUP BY user_id")
+def score_stability(spark, sf):
+    """Running sums over growing horizons, a column for each."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = t(spark, sf, "events").withColumn("i", F.row_number().over(w)).withColumn("horizon", F.explode(F.array(F.lit(10), F.lit(20), F.lit(40)))).where("i <= horizon")
+    sums = e.groupBy(F.col("user_id").alias("key"), "horizon").agg(F.sum("value").alias("change"))
+    return drug.stability(sums, [10, 20, 40]).select("key", *(r6(F.col(f"`{k}`")).alias(f"h{k}") for k in (10, 20, 40)))
+
+
+@query("SELECT CASE WHEN strpos(lower(text), 'the') > 0 THEN 'the' ELSE 'other' END AS marker, count(*) AS n, sum(len(string_split(text, chr(10)))) AS n_lines, sum(len(list_filter(string_split(text, chr(10)), lambda x: x = ''))) AS n_blank FROM documents GROUP BY ALL")
+def string_functions(spark, sf):
+    """Lower-casing, search, splitting into lines and counting blank ones."""
+    lines = F.split("text", "\n")
+    d = t(spark, sf, "documents").groupBy(F.when(F.instr(F.lower("text"), "the") > 0, "the").otherwise("other").alias("marker"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(lines).cast("long")).alias("n_lines"), F.sum(F.size(F.filter(lines, lambda x: x == "")).cast("long")).alias("n_blank"))
+
+
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship(spark)

@@ -207,3 +207,17 @@ def pathways(diagrams: DataFrame, pathway: DataFrame, drawn: DataFrame, species:
 def entities(spark: SparkSession, source: str, **jdbc: str) -> DataFrame:
     """A whole entity table: a parquet path, or (with ``url`` among the options) a table over JDBC."""
     return spark.read.format("jdbc").options(dbtable=source, **jdbc).load() if "url" in jdbc else spark.read.parquet(source)
+
+
+def factor_graph(spark: SparkSession, path: str, form: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """(factors, links) as :func:`netquill.sources.writers.factor_graph` wrote them."""
+    kinds = {"factors": "factor_id string, values array<double>", "links": "factor_id string, pos int, var_id long, states int"}
+    if form == "xml":
+        return tuple(spark.read.format("xml").option("rowTag", name[:-1]).schema(kind).load(f"{path}/{name}") for name, kind in kinds.items())
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in kinds)
+
+
+def boolean_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(variables, inputs) of a Boolean network in XML."""
+    kinds = {"variables": "var_id long, identical boolean", "inputs": "rel_id long, output_var long, input_var long, negated boolean"}
+    return tuple(spark.read.format("xml").option("rowTag", name[:-1]).schema(kind).load(f"{path}/{name}") for name, kind in kinds.items())

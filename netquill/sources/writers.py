@@ -69,3 +69,14 @@ def summary(factors: DataFrame, links: DataFrame) -> DataFrame:
 
 def tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, sep="\t", header=header, emptyValue="")
+
+
+def factor_graphs(factors: DataFrame, path: str) -> None:
+    """Kernel rows of many graphs, a folder for each graph."""
+    factors.write.partitionBy("graph_id").parquet(path)
+
+
+def boolean_network(variables: DataFrame, inputs: DataFrame, path: str) -> None:
+    """Two XML tables below ``path``."""
+    for name, df in (("variables", variables), ("inputs", inputs)):
+        df.write.format("xml").option("rootTag", name).option("rowTag", name[:-1]).save(f"{path}/{name}")
