@@ -89,7 +89,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarra
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_features: int = 20_000, min_z: float = 3.0, alpha: float = 0.5, l2: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_features: int = 20_000, min_z: float = 4.0, alpha: float = 1.0, l2: float = 1e-3) -> Model:
     """Fit on at most about ``max_rows`` labelled rows, chosen by a hash of their identifier. ``keep``: which rows of
     ``labels`` may be learned from."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
