@@ -12,11 +12,10 @@ and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates a
 fingerprints are one node, so copies are never paired.
 
 *Groups by similarity* (:func:`drop_near_copies`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
-needed: 22 segments of 23 bits, and a key for each pair of segments (both nearest codewords). No bucket emits all its
-pairs: see :func:`candidates`. The whole fingerprints' share of differing bits d estimates the similarity J by
-cos(pi d) = 2 J / (1 + J): pairs far beyond it are dropped, pairs well within it linked, and those between verified on
-their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85, 0.9 or 0.95 shares one with a
-probability of about 0.77, 0.89, 0.97 or 1.
+needed: 27 segments of 23 bits, and a key for each pair of segments (both nearest codewords). No bucket emits all its
+pairs: see :func:`similar`. The whole fingerprints' share of differing bits d estimates the similarity J by
+cos(pi d) = 2 J / (1 + J): pairs far beyond it are dropped, all others verified on their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85, 0.9 or 0.95 shares one with a
+probability of about 0.86, 0.95, 0.99 or 1.
 
 Cases: null and empty texts have fingerprint zero, which links like any other; texts with fewer words than a
 shingle are one shingle; repeated rows share their fingerprint; null identifiers never name a component that has
@@ -27,6 +26,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from netquill.llm.graph import components
 SEED = 42
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEGMENTS_64 = ((0, 22), (22, 21), (43, 21))  # first bit and width
-WIDE_WORDS, WIDE_SEGMENTS = 8, 22
+WIDE_WORDS, WIDE_SEGMENTS = 10, 27
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -210,10 +210,10 @@ def _wide_keys(batches, chosen: list[tuple[int, int]]):
         code = nearest(seg.reshape(-1)).reshape(seg.shape)
         key = (np.arange(len(pairs), dtype=np.int64) << 24) | (code[:, pairs[:, 0]] << 12) | code[:, pairs[:, 1]]
         node = np.repeat(batch.column(0).to_numpy(), len(pairs))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.uint32).view(np.int32)), pa.array(node)], ["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node)], ["key", "node"])
 
 
-def most_bits(similarity: float, words: int = WIDE_WORDS, deviations: float = 3.0) -> int:
+def most_bits(similarity: float, words: int = WIDE_WORDS, deviations: float = 5.0) -> int:
     """Differing bits that a pair of this Jaccard similarity stays below, but for ``deviations`` standard deviations."""
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     return math.ceil(64 * words * share + deviations * math.sqrt(64 * words * share * (1 - share)))
@@ -222,7 +222,7 @@ def most_bits(similarity: float, words: int = WIDE_WORDS, deviations: float = 3.
 def _keys(nodes: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
     names = [f"f{k}" for k in range(WIDE_WORDS)]
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few large tasks aren't made of them
-    return nodes.select("node", *names).repartition(parts, "node").mapInArrow(lambda x: _wide_keys(x, chosen), "key int, node long")
+    return nodes.select("node", *names).repartition(parts, "node").mapInArrow(lambda x: _wide_keys(x, chosen), "key long, node long")
 
 
 def _measured(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -241,25 +241,28 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ra", "node") != F.coalesce("rb", "hub")).select(*pairs.columns)
 
 
-def candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(sure, unsure) pairs (node, hub). Sure ones are so close that three standard deviations lie between them and the
-    similarity; what these already connect isn't compared again.
+def similar(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that verified links connect. ``texts_of``: (node, text) of the nodes in a table's column node.
+
+    First the keys of neighbouring segments: in each bucket a star around the smallest node, of which each node verifies its
+    closest; this gathers even a large group of copies with a link for each. Then all other keys, of each bucket the smallest and
+    the largest node, in one aggregate, and what the stars left: only pairs that aren't connected yet are verified."""
+    most = most_bits(similarity)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
+        return materialize(verified(pairs, texts_of(wanted), shingle, similarity), "simhash-links")
 
-    First the keys of neighbouring segments, in each bucket a star around the smallest node: this gathers even a large group of
-    copies with few rows. Then all other keys, of each bucket the smallest and the largest node, in one aggregate."""
-    loose, strict = most_bits(similarity), most_bits(similarity, deviations=-3.0)
     keys = _keys(nodes, NEIGHBOURS)
     star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    first = keys.join(star, "key").where("node != hub").select("node", "hub").distinct()
-    first = materialize(_measured(first, nodes, loose), "simhash-pairs")
-    roots = materialize(components(first.where(F.col("far") <= strict).select("node", "hub")), "simhash-roots")
+    star = materialize(_measured(keys.join(star, "key").where("node != hub").select("node", "hub").distinct(), nodes, most), "simhash-pairs")
+    closest = materialize(star.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")), "simhash-pairs")
+    links = checked(closest)
+    roots = materialize(components(links), "simhash-roots")
     ends = _keys(nodes, OTHERS).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).where("hub < node").select("node", "hub").distinct()
-    second = materialize(_measured(_apart(ends, roots), nodes, loose), "simhash-pairs")
-    every = first.union(second)
-    sure = materialize(every.where(F.col("far") <= strict).select("node", "hub").distinct(), "simhash-sure")
-    roots = materialize(components(sure), "simhash-roots")
-    unsure = _apart(every.where(F.col("far") > strict).select("node", "hub").distinct(), roots)
-    return sure, materialize(unsure, "simhash-unsure")
+    later = _measured(_apart(ends, roots), nodes, most).select("node", "hub")
+    rest = _apart(star.select("node", "hub").join(closest, ["node", "hub"], "left_anti"), roots)
+    return components(links.union(checked(materialize(later.union(rest).distinct(), "simhash-pairs"))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -292,11 +295,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     p = prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS)
     p = materialize(p.select("id", "at", F.xxhash64(*names).alias("node"), *names), "simhash-wide")
     nodes = materialize(p.groupBy("node").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in names)), "simhash-nodes")
-    sure, unsure = candidates(nodes.drop("at"), similarity)
-    wanted = unsure.select("node").union(unsure.select(F.col("hub").alias("node"))).distinct()
-    some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
-    texts = rows.select(F.col("__at").alias("at"), text).join(shared(some), "at").select("node", "text")
-    roots = materialize(components(sure.union(verified(unsure, texts, shingle, similarity))), "simhash-roots")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
+        return rows.select(F.col("__at").alias("at"), text).join(shared(some), "at").select("node", "text")
+
+    roots = materialize(similar(nodes.drop("at"), texts_of, shingle, similarity), "simhash-roots")
     grouped = p.select("id", "at", "node").join(roots, "node", "left").select("id", "at", F.coalesce("root", "node").alias("root"))
     grouped = materialize(grouped, "simhash-grouped")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.at").alias("keep"))
