@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquill.plans.checkpoint import cut, shared_root
 from netquill.session import ship
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="netquill-")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary folder only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (root or f"file://{_local_root()}").rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark)}/netquill-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` below the shared folder and return a scan of the written table."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Cut lineage: write a table below the shared folder and return a scan of what was written.
+materialize = cut
 
 
 def shared(table: DataFrame, most_rows: int = 200_000) -> DataFrame:

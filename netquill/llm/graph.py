@@ -1,43 +1,5 @@
-"""Connected components of an edge table, as a distributed fixpoint."""
+"""Connected components of links between documents: the engine's own fixpoint."""
 
-from __future__ import annotations
+from netquill.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from netquill.llm.common import materialize
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    """``e`` has u > v."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge; root: the smallest node of its component.
-
-    ``edges``: two comparable columns. Alternates large-star and small-star contractions (Kiveris et al., 2014)
-    as aggregates and joins, so a hub is never gathered in one task; each round is written to the shared folder.
-    Self-loops, repeated edges and edges with a null end are ignored; no edge gives an empty result.
-    """
-    a, b = edges.columns
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = materialize(e, "cc"), None
-    for _ in range(rounds):
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if not now[0] or now == before:
-            break
-        before = now
-        e = materialize(_small_star(_large_star(e)), "cc")
-    else:
-        raise RuntimeError(f"no fixpoint within {rounds} rounds")
-    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+__all__ = ["components"]
