@@ -182,11 +182,11 @@ def converged_changes(base: DataFrame, perturbed: DataFrame, increase: int = 20,
 
 def initial_values(variables: DataFrame, inputs: DataFrame, default: float) -> DataFrame:
     """(var_id, init): ``default`` for those without relation into them and for named ones on a cycle, else 0.
-    variables: var_id, reactome_id (null: accessory)."""
+    variables: var_id, source_id (null: accessory)."""
     cyc = on_cycles(inputs.select("input_var", "output_var")).withColumnRenamed("node", "var_id").withColumn("on", F.lit(True))
     driven = inputs.select(F.col("output_var").alias("var_id"), F.lit(True).alias("driven")).distinct()
     v = variables.join(cyc, "var_id", "left").join(driven, "var_id", "left")
-    return v.select("var_id", F.when(F.col("driven").isNull() | (F.col("on").isNotNull() & F.col("reactome_id").isNotNull()), F.lit(default)).otherwise(0.0).alias("init"))
+    return v.select("var_id", F.when(F.col("driven").isNull() | (F.col("on").isNotNull() & F.col("source_id").isNotNull()), F.lit(default)).otherwise(0.0).alias("init"))
 
 
 def named_stimuli(variables: DataFrame, stimuli: DataFrame) -> DataFrame:

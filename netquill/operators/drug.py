@@ -26,10 +26,10 @@ def target_network(interactions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def injected(variables: DataFrame, edges: DataFrame, modifications: DataFrame) -> DataFrame:
     """(drug, var_id, modification, strength): of a gene's variables one in each connected part of the network gets the drug's
-    effect, first one without relation into it, then that of the smallest number. variables: var_id, gene, reactome_id, driven."""
+    effect, first one without relation into it, then that of the smallest number. variables: var_id, gene, source_id, driven."""
     c = components(edges).select(F.col("node").alias("var_id"), F.col("root").alias("part"))
     v = variables.where("gene IS NOT NULL").join(c, "var_id", "left").withColumn("part", F.coalesce("part", "var_id"))
-    best = v.groupBy("gene", "part").agg(F.min_by("var_id", F.struct("driven", F.coalesce("reactome_id", F.lit(0)), "var_id")).alias("var_id"))
+    best = v.groupBy("gene", "part").agg(F.min_by("var_id", F.struct("driven", F.coalesce("source_id", F.lit(0)), "var_id")).alias("var_id"))
     m = modifications.join(best, "gene")
     return m.groupBy("drug", "var_id").agg(F.min_by("modification", F.struct("gene", "modification")).alias("modification"), F.min_by("strength", F.struct("gene", "modification")).alias("strength"))
 

@@ -198,7 +198,7 @@ def sample_blocks(spark: SparkSession, path: str, score_column: int) -> DataFram
     return body.select("sample_id", F.get("t", F.lit(0)).alias("gene"), F.expr(f"try_cast(get(t, {score_column}) AS DOUBLE)").alias("value"))
 
 
-def pathways(diagrams: DataFrame, pathway: DataFrame, drawn: DataFrame, species: int = 48887) -> DataFrame:
+def pathways(diagrams: DataFrame, pathway: DataFrame, drawn: DataFrame, species: int) -> DataFrame:
     """Pathways with a diagram, of the species, with drawn reactions, neither a shell nor a disease pathway, by name."""
     keep = pathway.where((F.col("species_id") == species) & ~F.coalesce("is_shell", F.lit(False)) & ~F.coalesce("is_disease", F.lit(False)))
     return keep.join(diagrams.select("pathway_id").distinct(), "pathway_id", "left_semi").join(drawn.select("pathway_id").distinct(), "pathway_id", "left_semi").orderBy("name", "pathway_id")

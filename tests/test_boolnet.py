@@ -77,5 +77,5 @@ def test_cycles_and_components(spark, rows):
     link = components.linked_into_one(rows([(k,) for k in (1, 2, 3, 5, 6, 7, 9)], "node long"), rows([(5, 6), (6, 7), (1, 9), (9, 3)], "a long, b long"))
     assert sorted(map(tuple, link.collect())) == [(1, 2), (1, 5)]
     assert components.components(rows([], "a long, b long")).count() == 0
-    initial = boolnet.initial_values(rows([(0, 10), (1, 11), (2, None), (3, 13)], "var_id long, reactome_id long"), rows([(0, 1), (1, 2), (2, 1), (1, 3)], "input_var long, output_var long"), 1.0)
+    initial = boolnet.initial_values(rows([(0, 10), (1, 11), (2, None), (3, 13)], "var_id long, source_id long"), rows([(0, 1), (1, 2), (2, 1), (1, 3)], "input_var long, output_var long"), 1.0)
     assert {r["var_id"]: r["init"] for r in initial.collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0}

@@ -65,7 +65,7 @@ def test_drug_impact_end_to_end(spark, rows):
     mod = drug.target_modifications(inter, ev)
     assert sorted(map(tuple, mod.collect())) == [("d", "GA", "Inhibition", pytest.approx(0.794)), ("d", "GZ", "Activation", 0.0)]
     assert drug.target_network(inter, ev).count() == 1
-    variables = rows([(0, "GA", 10, False), (1, "GA", 11, True), (2, None, 12, True), (3, None, 13, True)], "var_id long, gene string, reactome_id long, driven boolean")
+    variables = rows([(0, "GA", 10, False), (1, "GA", 11, True), (2, None, 12, True), (3, None, 13, True)], "var_id long, gene string, source_id long, driven boolean")
     inputs = rows([(1, 1, 0, False), (2, 2, 1, False), (3, 3, 2, False)], "rel_id long, output_var long, input_var long, negated boolean")
     inj = drug.injected(variables, inputs.select("input_var", "output_var"), mod)
     assert [(r["drug"], r["var_id"]) for r in inj.collect()] == [("d", 0)]
@@ -73,7 +73,7 @@ def test_drug_impact_end_to_end(spark, rows):
     none = rows([("base", 0, None, None, None, None)], "scenario_id string, var_id long, stim double, act double, inh double, init double")
     base = boolnet.simulate(v, inputs, none, default=1.0, transfer="identity", rounds=500)
     hit = boolnet.simulate(v, inputs, drug.as_scenarios(inj), default=1.0, transfer="identity", rounds=500)
-    changes, horizon = boolnet.converged_changes(base, hit, key=variables.select("var_id", F.col("reactome_id").alias("key")))
+    changes, horizon = boolnet.converged_changes(base, hit, key=variables.select("var_id", F.col("source_id").alias("key")))
     got = drug.impacts(changes, rows([(13,)], "key long")).first()
     assert got["scenario_id"] == "d" and 0.4 < got["sum_impact"] < 0.7 and got["sum_impact"] == got["mean_impact"]
     assert horizon <= 1000
