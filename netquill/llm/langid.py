@@ -4,7 +4,7 @@ Every word of a text is drawn from one language of an unknown mixture; its likel
 product of its letter-trigram probabilities (hashed, additively smoothed). Expectation-maximisation gives the
 proportions of the languages; the set of languages is that of the highest penalised likelihood among the best
 single language and the 2..``max_langs`` most probable ones, each further language costing ``penalty`` times
-half the logarithm of the number of words. The prediction is the language of the largest proportion.
+half the logarithm of the number of words. Sets that a bound on their likelihood rules out aren't tried. The prediction is the language of the largest proportion.
 
 The trigram counts are learned from a documented bound of about ``rows_per_lang`` texts a language, chosen by a
 hash of the identifier; predictions cover every row and whole texts.
@@ -87,15 +87,23 @@ def train(docs: DataFrame, keep: Column | None = None, id_col: str = "doc_id", t
 
 
 def _em(like: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihoods of the documents. like: of each word, relative to its best language."""
-    pi = allowed / allowed.sum(1, keepdims=True)
+    """Proportions and log likelihoods of the documents. like: languages x words, relative to each word's best language."""
+    pi = (allowed / allowed.sum(1, keepdims=True)).T
     total = np.maximum(np.bincount(doc, weight, n_docs), 1e-12)
     for _ in range(rounds):
-        r = like * pi[doc]
-        r *= (weight / np.maximum(r.sum(1), 1e-300))[:, None]
-        pi = np.stack([np.bincount(doc, r[:, i], n_docs) for i in range(like.shape[1])], 1) / total[:, None]
-    ll = np.bincount(doc, np.log(np.maximum((like * pi[doc]).sum(1), 1e-300)), n_docs)
-    return pi, ll
+        r = like * pi[:, doc]
+        r *= weight / np.maximum(r.sum(0), 1e-300)
+        pi = np.stack([np.bincount(doc, x, n_docs) for x in r]) / total
+    ll = np.bincount(doc, np.log(np.maximum((like * pi[:, doc]).sum(0), 1e-300)), n_docs)
+    return pi.T, ll
+
+
+def _of(some: np.ndarray, n_docs: int, like: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some documents, these numbered anew."""
+    number = np.full(n_docs, -1)
+    number[some] = np.arange(len(some))
+    mine = number[doc] >= 0
+    return like[:, mine], number[doc[mine]], size[mine]
 
 
 def infer(model: Model, texts: list[str | None], max_langs: int = 3, penalty: float = 4.0, rounds: int = 12) -> tuple[list[str], np.ndarray]:
@@ -117,20 +125,27 @@ def infer(model: Model, texts: list[str | None], max_langs: int = 3, penalty: fl
         return lang, score
     ll, doc, size = np.concatenate(ll), np.concatenate(doc), np.concatenate(size).astype(np.float64)
     m, top = len(known), ll.max(1)
-    like = np.exp(ll - top[:, None])
+    like = np.exp((ll - top[:, None]).T)
     single = np.stack([np.bincount(doc, ll[:, i], m) for i in range(k)], 1)
     base = np.bincount(doc, top, m)
     words = np.bincount(doc, minlength=m)
     best = single.max(1)
     pi = (np.arange(k)[None, :] == single.argmax(1)[:, None]).astype(float)
-    if k > 1:
-        full, _ = _em(like, doc, m, np.ones((m, k)), size, rounds)
+    cost = penalty * 0.5 * np.log(np.maximum(words, 2))  # of each further language
+    some = np.flatnonzero(best < base - cost) if k > 1 else words[:0]  # no set is more likely than each word's best language
+    if len(some):
+        l, d, w = _of(some, m, like, doc, size)
+        full, most = _em(l, d, len(some), np.ones((len(some), k)), w, rounds)
+        open_ = best[some] < most + base[some] - cost[some]  # no subset is more likely than all languages
+        some, full = some[open_], full[open_]
+    if len(some):
+        l, d, w = _of(some, m, like, doc, size)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
         for s in range(2, min(max_langs, k) + 1):
-            p, l2 = _em(like, doc, m, (rank < s).astype(float), size, rounds)
-            value = l2 + base - penalty * (s - 1) * 0.5 * np.log(np.maximum(words, 2))
-            better = value > best
-            best, pi = np.where(better, value, best), np.where(better[:, None], p, pi)
+            p, l2 = _em(l, d, len(some), (rank < s).astype(float), w, rounds)
+            value = l2 + base[some] - (s - 1) * cost[some]
+            better = value > best[some]
+            best[some[better]], pi[some[better]] = value[better], p[better]
     for d, i in enumerate(known):
         j = int(pi[d].argmax())
         lang[i], score[i] = model.langs[j], min(1.0, float(pi[d, j]))
