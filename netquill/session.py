@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from netquill.plans.checkpoint import shared_root
+
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="netquill-ship-"), "netquill.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+def _packed() -> bytes:
+    here, out = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(here):
             for name in names:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("netquill", os.path.relpath(full, here)))
-    sc.addPyFile(path)
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, through the shared folder, so that their Python workers can
+    import it whether or not it is installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    uri = f"{shared_root(spark)}/netquill-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(_packed()))
+    stream.close()
+    sc.addPyFile(uri)
     _shipped.add(sc.applicationId)
