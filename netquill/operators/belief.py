@@ -8,6 +8,7 @@ exact after as many sweeps as the tree is deep.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netquill.operators.factor_graph import cell_states
@@ -23,33 +24,33 @@ def _log(p: Column) -> Column:
 
 
 def _normal(df: DataFrame, keys: list[str], state: str = "state") -> DataFrame:
-    """Rows (keys, state, z, l) -> p: exp(l) where nothing is zero, scaled to a sum of one for each key."""
+    """Rows (keys, state, z, l) -> p: exp(l) where nothing is zero, scaled to a sum of one for each key. A key has a few states,
+    so its rows are one small window."""
+    w = W.partitionBy(*keys)
     live = F.when(F.col("z") == 0, F.col("l"))
-    top = df.groupBy(*keys).agg(F.max(live).alias("top"))
-    e = df.join(top, keys).withColumn("e", F.coalesce(F.exp(live - F.col("top")), F.lit(0.0)))
-    return e.join(e.groupBy(*keys).agg(F.sum("e").alias("s")), keys).select(*keys, state, F.coalesce(F.try_divide("e", "s"), F.lit(0.0)).alias("p"))
+    e = df.withColumn("top", F.max(live).over(w)).withColumn("e", F.coalesce(F.exp(live - F.col("top")), F.lit(0.0)))
+    return e.select(*keys, state, F.coalesce(F.try_divide("e", F.sum("e").over(w)), F.lit(0.0)).alias("p"))
 
 
 def propagate(factors: DataFrame, links: DataFrame, tolerance: float = 1e-6, sweeps: int = 10_000, maximise: bool = False, damping: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
     """(variable beliefs: var_id, state, p; cell beliefs: factor_id, idx, p; number of sweeps)."""
     cs = cut(cell_states(factors, links), "cells")
-    edge = cs.select("factor_id", "var_id", "state").distinct()
-    f2v = cut(edge.withColumn("p", F.lit(1.0)), "f2v")
+    edge = cut(cs.select("factor_id", "var_id", "state").distinct(), "edges")
+    f2v = edge.withColumn("p", F.lit(1.0))
     differences: list[float] = []
     v2f = f2v
     for sweep in range(1, sweeps + 1):
         m = f2v.select("factor_id", "var_id", "state", (F.col("p") <= 0).cast("int").alias("z"), _log(F.col("p")).alias("l"))
         total = m.groupBy("var_id", "state").agg(F.sum("z").alias("tz"), F.sum("l").alias("tl"))
         others = m.join(total, ["var_id", "state"]).select("factor_id", "var_id", "state", (F.col("tz") - F.col("z")).alias("z"), (F.col("tl") - F.col("l")).alias("l"))
-        v2f = cut(_normal(others, ["factor_id", "var_id"]), "v2f")
+        v2f = _normal(others, ["factor_id", "var_id"])
         into = cs.join(v2f, ["factor_id", "var_id", "state"]).select("factor_id", "idx", "var_id", "state", "val", (F.col("p") <= 0).cast("int").alias("z"), _log(F.col("p")).alias("l"))
         whole = into.groupBy("factor_id", "idx").agg(F.sum("z").alias("tz"), F.sum("l").alias("tl"))
         w = into.join(whole, ["factor_id", "idx"]).where("val > 0 AND tz - z = 0").select("factor_id", "var_id", "state", (F.log("val") + F.col("tl") - F.col("l")).alias("w"))
-        top = w.groupBy("factor_id", "var_id").agg(F.max("w").alias("top"))
-        gather = F.max if maximise else F.sum
-        sums = w.join(top, ["factor_id", "var_id"]).groupBy("factor_id", "var_id", "state").agg(gather(F.exp(F.col("w") - F.col("top"))).alias("s"))
-        norm = sums.groupBy("factor_id", "var_id").agg(F.sum("s").alias("t"))
-        sent = edge.join(sums, ["factor_id", "var_id", "state"], "left").join(norm, ["factor_id", "var_id"], "left").select("factor_id", "var_id", "state", F.coalesce(F.try_divide("s", "t"), F.lit(0.0)).alias("p"))
+        gather, message = (F.max if maximise else F.sum), W.partitionBy("factor_id", "var_id")
+        sums = w.withColumn("top", F.max("w").over(message)).groupBy("factor_id", "var_id", "state").agg(gather(F.exp(F.col("w") - F.col("top"))).alias("s"))
+        sums = sums.withColumn("t", F.sum("s").over(message))
+        sent = edge.join(sums, ["factor_id", "var_id", "state"], "left").select("factor_id", "var_id", "state", F.coalesce(F.try_divide("s", "t"), F.lit(0.0)).alias("p"))
         old = f2v.withColumnRenamed("p", "old")
         new = cut(sent.join(old, ["factor_id", "var_id", "state"]).select("factor_id", "var_id", "state", (F.col("p") * (1 - damping) + F.col("old") * damping).alias("p"), F.abs(F.col("p") - F.col("old")).alias("change")), "f2v")
         differences.append(new.agg(F.max("change")).first()[0] or 0.0)
