@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -36,6 +37,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+#: Whether a text has a character from U+0500 on, below which :func:`too_new` has none.
+beyond_latin = re.compile("[\u0500-\U0010ffff]").search
+
+
 def too_new() -> str:
     """A character class of the code points that the regex module calls letters or numbers and the tokenizers
     library, which has an older Unicode table, does not; empty if there are none."""
@@ -113,7 +118,7 @@ class HeapBpe:
         return got
 
     def words(self, text: str) -> list[str]:
-        if self.new is not None and not text.isascii() and self.new.search(text):
+        if self.new is not None and beyond_latin(text) and self.new.search(text):
             return self.find_older(text)
         return self.find(text)
 
