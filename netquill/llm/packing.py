@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netquill.llm.bpe_count import PATTERN, byte_symbols, too_new
+from netquill.llm.bpe_count import PATTERN, beyond_latin, byte_symbols, too_new
 
 BUFFER = 4096
 
@@ -51,13 +51,13 @@ class Encoder:
         if made == sorted(made) and all(c in byte for t in vocab for c in t):
             self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
         new = too_new()
-        self.odd = regex.compile("|".join([*map(regex.escape, added), *([f"[{new}]"] if new else [])]) or r"(?!)")
+        self.new = regex.compile(f"[{new}]" if new else r"(?!)")
         self.added = added
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        odd = any(a in text for a in self.added) if text.isascii() else self.odd.search(text)
+        odd = any(a in text for a in self.added) or (beyond_latin(text) and self.new.search(text))
         if self.fast is None or odd:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
