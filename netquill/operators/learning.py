@@ -22,8 +22,9 @@ def maximised(counts: DataFrame, group: str = "group_id", parent: str = "parent_
     return counts.select(group, parent, child, F.try_divide(F.col(n), total).alias("value"))
 
 
-def expected(factors: DataFrame, evidence: DataFrame, background: float | None = None) -> tuple[DataFrame, float]:
-    """(group_id, idx, n) with a prior count of one, and the log likelihood, each evidence against the graph without.
+def expected(factors: DataFrame, evidence: DataFrame, background: float | None = None, beta: float = 1.0) -> tuple[DataFrame, float]:
+    """(group_id, idx, n) with a prior count of one, and the log likelihood, each evidence against the graph without. Beliefs are
+    counted to the power ``beta``.
 
     factors: factor_id, group_id (null: fixed), var_ids, states, values; evidence: sample_id, var_id, value."""
     states = factors.select(F.explode(F.arrays_zip("var_ids", "states")).alias("x")).select(F.col("x.var_ids").alias("var_id"), F.col("x.states").alias("states")).distinct()
@@ -40,7 +41,7 @@ def expected(factors: DataFrame, evidence: DataFrame, background: float | None =
         g = _graph(pdf)
         ok = g.propagate()
         of = dict(zip(pdf["factor_id"], pdf["group_id"], strict=True))
-        rows = [(int(of[f]), i, float(x), 0.0) for k, (f, _, _) in enumerate(g.factors) if ok and not pd.isna(of[f]) for i, x in enumerate(g.factor_belief(k).reshape(-1, order="F"))]
+        rows = [(int(of[f]), i, float(x) ** beta, 0.0) for k, (f, _, _) in enumerate(g.factors) if ok and not pd.isna(of[f]) for i, x in enumerate(g.factor_belief(k).reshape(-1, order="F"))]
         rows.append((None, None, 0.0, g.log_z() if ok else float("nan")))
         return pd.DataFrame(rows, columns=["group_id", "idx", "n", "ll"]).astype({"group_id": "Int64", "idx": "Int64"})
 
@@ -54,14 +55,14 @@ def expected(factors: DataFrame, evidence: DataFrame, background: float | None =
     return counts, float(ll or 0.0) - n * background
 
 
-def learn(factors: DataFrame, evidence: DataFrame, rounds: int = 50, tolerance: float = 1e-3) -> tuple[DataFrame, float, list[float]]:
+def learn(factors: DataFrame, evidence: DataFrame, rounds: int = 50, tolerance: float = 1e-3, beta: float = 1.0) -> tuple[DataFrame, float, list[float]]:
     """(factors with learned values, last log likelihood, its course). Learnable factors have two variables, [child, parent].
     Stops when the likelihood changes by at most ``tolerance`` of itself; if a round fails, the last good values stay."""
     course: list[float] = []
     now = cut(factors, "em-factors")
     child = factors.where("group_id IS NOT NULL").groupBy("group_id").agg(F.first(F.element_at("states", 1)).alias("n_child"))
     for _ in range(rounds):
-        counts, ll = expected(now, evidence)
+        counts, ll = expected(now, evidence, beta=beta)
         if not np.isfinite(ll):
             break
         course.append(ll)
@@ -86,3 +87,17 @@ def learn_restarted(factors: DataFrame, evidence: DataFrame, restarts: int = 10,
     """The best of several runs from random tables."""
     runs = [learn(randomised(factors, seed + k), evidence, **options)[:2] for k in range(restarts)]
     return max(runs, key=lambda r: r[1] if np.isfinite(r[1]) else -np.inf)
+
+
+#: The course of annealing; it must end with 1.
+ANNEALING = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 0.75, 1.0)
+
+
+def learn_annealed(factors: DataFrame, evidence: DataFrame, betas: tuple[float, ...] = ANNEALING, **options) -> tuple[DataFrame, float]:
+    """Learning at growing powers of the beliefs, each from where the last one ended: flat counts first, true ones at last."""
+    if betas[-1] != 1.0:
+        raise ValueError("annealing must end with 1")
+    last = float("nan")
+    for beta in betas:
+        factors, last, _ = learn(factors, evidence, beta=beta, **options)
+    return factors, last

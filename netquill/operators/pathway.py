@@ -100,6 +100,20 @@ def reaction_edges(participants: DataFrame, entities: DataFrame | None = None) -
     return direct.union(through).union(members).union(outputs)
 
 
+def reverse_edges(participants: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(target, parent, label) that let a reaction's catalyst act back on its inputs, through a node of the reaction's own; nothing
+    for reactions without catalyst or without an input that isn't a currency molecule."""
+    p = participants.select("reaction_id", F.col("entity_id").cast("string").alias("entity"), "role", "ord")
+    inputs = p.where("role = 'INPUT'").select("reaction_id", "entity").distinct()
+    if entities is not None:
+        inputs = inputs.join(without_currency(entities).select(F.col("entity_id").cast("string").alias("entity")), "entity", "left_semi")
+    catalyst = p.where("role = 'CATALYST'").groupBy("reaction_id").agg(F.min_by("entity", F.struct("ord", "entity")).alias("catalyst"))
+    node = F.concat(F.lit("reverse_input_"), F.col("reaction_id").cast("string"))
+    both = inputs.join(catalyst, "reaction_id")
+    back = both.select(F.col("entity").alias("target"), node.alias("parent"), F.lit("INPUT").alias("label"))
+    return both.select(node.alias("target"), F.col("catalyst").alias("parent"), F.lit("INPUT").alias("label")).distinct().union(back)
+
+
 def closure(start: DataFrame, parts: DataFrame, stop: DataFrame | None = None, rounds: int = 100) -> DataFrame:
     """(parent_id, child_id, kind) of everything that ``start`` (entity_id) is made of; entities in ``stop`` aren't expanded."""
     p = parts if stop is None else parts.join(stop.select(F.col("entity_id").alias("parent_id")), "parent_id", "left_anti")

@@ -151,6 +151,16 @@ def test_em_improves(spark, rows):
     assert tied["prior"] == [0.5, 0.5]
 
 
+def test_annealed_learning(spark, rows):
+    f = rows([("prior", None, [0], [2], [0.5, 0.5]), ("x", 1, [1, 0], [2, 2], [0.6, 0.4, 0.3, 0.7])], "factor_id string, group_id long, var_ids array<long>, states array<int>, values array<double>")
+    ev = rows([(f"s{k}", 1, float(k % 3 == 0)) for k in range(6)], "sample_id string, var_id long, value double")
+    got, last = learning.learn_annealed(f, ev, betas=(0.01, 1.0), rounds=2)
+    x = {r["factor_id"]: r["values"] for r in got.collect()}["x"]
+    assert np.isfinite(last) and x[0] + x[1] == pytest.approx(1) and x[2] + x[3] == pytest.approx(1)
+    with pytest.raises(ValueError):
+        learning.learn_annealed(f, ev, betas=(1.0, 0.5))
+
+
 def test_network_models(spark, rows):
     toy = [("A", "B"), ("B", "C"), ("B", "F"), ("C", "D"), ("F", "C")] + [(h, f"{h}{k}") for h in "BCF" for k in range(100)]
     p = rows(toy, "gene1 string, gene2 string")

@@ -39,6 +39,12 @@ def test_reaction_edges(spark, rows):
     assert got == sorted([("r_OUTPUT", "a", "INPUT"), ("r_OUTPUT", "c1", "CATALYST"), ("r_OUTPUT", "r_INHIBITOR", "INHIBITOR"), ("r_INHIBITOR", "i1", "MEMBER"), ("r_INHIBITOR", "i2", "MEMBER"), ("o", "r_OUTPUT", "MEMBER")])
 
 
+def test_reverse_edges(spark, rows):
+    p = rows([("r", "a", "INPUT", 1), ("r", "w", "INPUT", 2), ("r", "c1", "CATALYST", 3), ("r", "c2", "CATALYST", 4), ("q", "a", "INPUT", 1), ("s", "c1", "CATALYST", 1)], PART)
+    names = rows([("a", ["a"]), ("w", ["H2O"]), ("c1", None), ("c2", None)], "entity_id string, names array<string>")
+    assert sorted(map(tuple, pathway.reverse_edges(p, names).collect())) == [("a", "reverse_input_r", "INPUT"), ("reverse_input_r", "c1", "INPUT")]
+
+
 def test_boolean_network(spark, rows):
     p = rows([("r", "a", "INPUT", 1), ("r", "i", "INHIBITOR", 2), ("r", "o1", "OUTPUT", 3), ("r", "o2", "OUTPUT", 4), ("s", "x", "OUTPUT", 1), ("u", "k1", "ACTIVATOR", 1), ("u", "k2", "ACTIVATOR", 2), ("u", "z", "OUTPUT", 3)], PART)
     got = sorted(map(tuple, pathway.boolean_network(p).collect()))
