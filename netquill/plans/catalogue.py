@@ -127,7 +127,7 @@ def fi_degree(spark, sf):
     return rel.degrees(fi(spark, sf))
 
 
-@query(f"WITH {FI} SELECT gene1, gene2, round(2 * 0.99, 6) AS v0, round(1 + 0.01 - 0.99 / x.d, 6) AS v1, round(1 + 0.01 - 0.99 / y.d, 6) AS v2, round(0.99 * (1.0::DOUBLE / x.d + 1.0::DOUBLE / y.d), 6) AS v3, round(exp(0.21 * (sqrt(x.d) + sqrt(y.d))), 4) AS nng FROM fi JOIN deg x ON x.gene = gene1 JOIN deg y ON y.gene = gene2")
+@query(f"WITH {FI} SELECT gene1, gene2, round(2 * 0.99::DOUBLE, 6) AS v0, round(1 + 0.01 - 0.99 / x.d, 6) AS v1, round(1 + 0.01 - 0.99 / y.d, 6) AS v2, round(0.99 * (1.0::DOUBLE / x.d + 1.0::DOUBLE / y.d), 6) AS v3, round(exp(0.21 * (sqrt(x.d) + sqrt(y.d))), 4) AS nng FROM fi JOIN deg x ON x.gene = gene1 JOIN deg y ON y.gene = gene2")
 def fi_degree_factor(spark, sf):
     p = fi(spark, sf)
     a = network.pair_factors(p, "degree").select("gene1", "gene2", *(r6(F.get("values", F.lit(k))).alias(f"v{k}") for k in range(4)))
@@ -390,7 +390,7 @@ def auc_rel_change(spark, sf):
     return rel.relative_changes(a.where("event_type = 'view'"), a.where("event_type = 'purchase'"), "user_id").select("user_id", r6("change").alias("change"))
 
 
-@query("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT max(n) AS m FROM n) SELECT user_id, event_type, count(*) AS n_rows, sum(k % n) AS check_sum FROM n, m, unnest(range(0, m)) AS u(k) GROUP BY ALL")
+@query("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT max(n) AS m FROM n) SELECT user_id, event_type, count(*) AS n_rows, sum(k % n)::BIGINT AS check_sum FROM n, m, unnest(range(0, m)) AS u(k) GROUP BY ALL")
 def track_expand(spark, sf):
     """Short series repeated cyclically to the length of the longest."""
     n = t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -567,7 +567,7 @@ def drug_hits(spark, sf):
 @query("SELECT o_custkey, o_orderkey, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 def top_per_group(spark, sf):
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place")).where("place <= 3")
+    return t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place")).where("place <= 3")
 
 
 @query("SELECT user_id, count(*) FILTER (value >= 50) AS n_high, count(*) FILTER (value > 190) AS n_top FROM events GROUP BY user_id")
@@ -607,7 +607,7 @@ def score_stability(spark, sf):
     return drug.stability(sums, [10, 20, 40]).select("key", *(r6(F.col(f"`{k}`")).alias(f"h{k}") for k in (10, 20, 40)))
 
 
-@query("SELECT CASE WHEN strpos(lower(text), 'the') > 0 THEN 'the' ELSE 'other' END AS marker, count(*) AS n, sum(len(string_split(text, chr(10)))) AS n_lines, sum(len(list_filter(string_split(text, chr(10)), lambda x: x = ''))) AS n_blank FROM documents GROUP BY ALL")
+@query("SELECT CASE WHEN strpos(lower(text), 'the') > 0 THEN 'the' ELSE 'other' END AS marker, count(*) AS n, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(len(list_filter(string_split(text, chr(10)), lambda x: x = '')))::BIGINT AS n_blank FROM documents GROUP BY ALL")
 def string_functions(spark, sf):
     """Lower-casing, search, splitting into lines and counting blank ones."""
     lines = F.split("text", "\n")
