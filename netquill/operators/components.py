@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from netquill.plans.checkpoint import cut
 
 
+BROADCAST_EDGES = 100_000
+
+
 def _state(e: DataFrame) -> tuple:
     return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*e.columns))).first()
 
@@ -28,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_table = now[0] <= BROADCAST_EDGES  # then the edges of a hub needn't meet; beyond it the join splits hot keys
+        large = both.where("v > u").join(F.broadcast(least) if small_table else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
