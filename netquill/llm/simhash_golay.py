@@ -17,6 +17,8 @@ pairs: see :func:`similar`. The whole fingerprints' share of differing bits d es
 cos(pi d) = 2 J / (1 + J): pairs far beyond it are dropped, all others verified on their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85, 0.9 or 0.95 shares one with a
 probability of about 0.86, 0.95, 0.99 or 1.
 
+A node is a set of shingles (equal sets are copies); whatever else is linked was verified.
+
 Cases: null and empty texts have fingerprint zero, which links like any other; texts with fewer words than a
 shingle are one shingle; repeated rows share their fingerprint; null identifiers never name a component that has
 another; an empty table returns an empty table; only the named columns are read.
@@ -125,6 +127,24 @@ def prints(rows: DataFrame, shingle: int, words: int = 1) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, " + ", ".join(f"{n} long" for n in names))
 
 
+def set_prints(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``rows``: id, at, text. (id, at, d0, d1, f0, f1, ...) of each row; d0 and d1: a 128-bit digest of its set of shingles."""
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches):
+        for batch in batches:
+            got = np.zeros((batch.num_rows, 2 + words), np.uint64)
+            for r, t in enumerate(batch.column(2).to_pylist()):
+                h = shingle_hashes(t, shingle)
+                got[r, :2] = np.frombuffer(xxhash.xxh3_128_digest(np.unique(h).tobytes(), SEED), np.uint64)
+                got[r, 2:] = fingerprint(h, words)
+            got = got.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(2 + words))], ["id", "at", "d0", "d1", *names])
+
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, d0 long, d1 long, " + ", ".join(f"{n} long" for n in names))
+
+
 def _pairs_of_segments(batches, query: bool):
     """(key, f, root) of rows (f, root)."""
     for batch in batches:
@@ -292,16 +312,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = located(docs)
     names = [f"f{k}" for k in range(WIDE_WORDS)]
     text = F.col(text_col).cast("string").alias("text")
-    p = prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS)
-    p = materialize(p.select("id", "at", F.xxhash64(*names).alias("node"), *names), "simhash-wide")
-    nodes = materialize(p.groupBy("node").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in names)), "simhash-nodes")
+    p = materialize(set_prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS), "simhash-wide")
+    one = p.groupBy("d0", "d1").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in names))  # a node is a set of shingles
+    nodes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
         return rows.select(F.col("__at").alias("at"), text).join(shared(some), "at").select("node", "text")
 
-    roots = materialize(similar(nodes.drop("at"), texts_of, shingle, similarity), "simhash-roots")
-    grouped = p.select("id", "at", "node").join(roots, "node", "left").select("id", "at", F.coalesce("root", "node").alias("root"))
+    roots = materialize(similar(nodes.select("node", *names), texts_of, shingle, similarity), "simhash-roots")
+    named = nodes.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
+    grouped = p.select("id", "at", "d0", "d1").join(named, ["d0", "d1"]).select("id", "at", "root")
     grouped = materialize(grouped, "simhash-grouped")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.at").alias("keep"))
     gone = materialize(grouped.join(materialize(first, "simhash-first"), "root").where(F.col("at") != F.col("keep")).select(F.col("at").alias("__at")), "simhash-gone")

@@ -156,6 +156,17 @@ def test_near_copies_recall_and_precision(spark):
     assert len(both) <= 0.05 * len(pairs) and len(pairs) > 60
 
 
+def repeated_line(seed, line, times, own):
+    rnd = random.Random(seed)
+    return " ".join([f"l{k}" for k in range(line)] * times + [f"w{rnd.randrange(10**9)}" for _ in range(own)])
+
+
+def test_a_repeated_line_alone_makes_no_near_copies(spark):
+    texts = [repeated_line(k, 9, 200, 100) for k in range(3)] + [repeated_line(10 + k, 15, 60, 400) for k in range(3)]
+    got = simhash_golay.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(6))
+
+
 def test_near_copies_odd_rows(odd, empty):
     got = simhash_golay.drop_near_copies(odd)
     ids = sorted((r["doc_id"] for r in got.collect()), key=str)
