@@ -12,10 +12,12 @@ and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates a
 fingerprints are one node, so copies are never paired.
 
 *Groups by similarity* (:func:`drop_near_copies`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
-needed: 27 segments of 23 bits, and a key for each pair of segments (both nearest codewords). No bucket emits all its
-pairs: see :func:`similar`. The whole fingerprints' share of differing bits d estimates the similarity J by
-cos(pi d) = 2 J / (1 + J): pairs far beyond it are dropped, all others verified on their whole shingle sets. The keys are a locality-sensitive hash: a pair at 0.8, 0.85, 0.9 or 0.95 shares one with a
-probability of about 0.86, 0.95, 0.99 or 1.
+used: 27 segments of 23 bits, and a key for each pair of neighbouring segments (both nearest codewords). A star in each
+bucket gathers close copies with a link for each. The keys are a locality-sensitive hash, so what they miss is found by an
+exact set-similarity join (:func:`across`): with the shingles of all sets in one order, two sets of a similarity s share
+one of the first n - ceil(s n) + 1 of either. In each bucket of these every two nodes of different components are compared,
+but for what positions and sizes rule out. All candidates are verified on their whole shingle sets. The order puts shingles
+that are frequent in a sample last; it decides about the number of candidates, not about the links.
 
 A node is a set of shingles (equal sets are copies); whatever else is linked was verified.
 
@@ -127,22 +129,52 @@ def prints(rows: DataFrame, shingle: int, words: int = 1) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, " + ", ".join(f"{n} long" for n in names))
 
 
-def set_prints(rows: DataFrame, shingle: int, words: int) -> DataFrame:
-    """``rows``: id, at, text. (id, at, d0, d1, f0, f1, ...) of each row; d0 and d1: a 128-bit digest of its set of shingles."""
+def frequent(rows: DataFrame, shingle: int, sample: int = 10_000, least: int = 3, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted hashes) that ``least`` of about ``sample`` rows of ``rows`` (id, at, text) have, and how many have them."""
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle)).view(np.int64))], ["s"])
+
+    some = rows.where(F.pmod(F.xxhash64("at"), F.lit(max(1, rows.count() // sample))) == 0).select("text").mapInArrow(run, "s long")
+    got = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).toArrow()
+    hashes, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's distinct hashes, rarest first: another set of this similarity has one of these among its own."""
+    rare, n = np.zeros(len(hashes), np.int64), len(hashes)
+    if len(often[0]) and n:
+        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
+        rare = np.where(often[0][at] == hashes, often[1][at], 0)
+    return hashes[np.lexsort((hashes, rare))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def set_prints(rows: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """``rows``: id, at, text. (id, at, d0, d1, f0, f1, ..., n, first) of each row; d0 and d1: a 128-bit digest of its set of
+    shingles; n: their number; first: the hashes of its prefix."""
     names = [f"f{k}" for k in range(words)]
+    often = rows.sparkSession.sparkContext.broadcast(frequent(rows, shingle))
 
     def run(batches):
         for batch in batches:
-            got = np.zeros((batch.num_rows, 2 + words), np.uint64)
+            got, n, first = np.zeros((batch.num_rows, 2 + words), np.uint64), [], []
             for r, t in enumerate(batch.column(2).to_pylist()):
                 h = shingle_hashes(t, shingle)
-                got[r, :2] = np.frombuffer(xxhash.xxh3_128_digest(np.unique(h).tobytes(), SEED), np.uint64)
+                distinct = np.unique(h)
+                got[r, :2] = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes(), SEED), np.uint64)
                 got[r, 2:] = fingerprint(h, words)
+                n.append(len(distinct))
+                first.append(prefix(distinct, often.value, similarity).tobytes())
             got = got.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(2 + words))], ["id", "at", "d0", "d1", *names])
+            columns = [batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(2 + words)), pa.array(n, pa.int64()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "at", "d0", "d1", *names, "n", "first"])
 
     kinds = [f.dataType.simpleString() for f in rows.schema]
-    return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, d0 long, d1 long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, d0 long, d1 long, " + ", ".join(f"{n} long" for n in names) + ", n long, first binary")
 
 
 def _pairs_of_segments(batches, query: bool):
@@ -216,9 +248,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return p.join(nodes, "f0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Pairs of segments that make the keys: neighbours first, which are enough for close copies.
+#: Pairs of segments that make the keys: neighbours, which are enough for close copies.
 NEIGHBOURS = [(i, i + 1) for i in range(WIDE_SEGMENTS - 1)]
-OTHERS = [p for p in itertools.combinations(range(WIDE_SEGMENTS), 2) if p not in NEIGHBOURS]
 
 
 def _wide_keys(batches, chosen: list[tuple[int, int]]):
@@ -254,35 +285,76 @@ def _measured(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "node").join(right, "hub").select("node", "hub", far.alias("far")).where(F.col("far") <= most)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes aren't in one component yet."""
-    a, b = roots.select("node", F.col("root").alias("ra")), roots.select(F.col("node").alias("hub"), F.col("root").alias("rb"))
-    both = pairs.join(a, "node", "left").join(b, "hub", "left")
-    return both.where(F.coalesce("ra", "node") != F.coalesce("rb", "hub")).select(*pairs.columns)
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """(s, node, n, i) of each shingle s in the prefixes of ``nodes`` (node, n, first); i: its place."""
+
+    def run(batches):
+        for batch in batches:
+            first = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            size = [len(x) for x in first]
+            if sum(size):
+                columns = [np.concatenate(first), np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy(), size), np.concatenate([np.arange(k, dtype=np.int64) for k in size])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "node", "n", "i"])
+
+    return nodes.select("node", "n", "first").mapInArrow(run, "s long, node long, n long, i long")
+
+
+def _rooted(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """``index`` with root, that of the node's component or itself."""
+    return index.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(index: DataFrame) -> DataFrame:
+    """(s) of the shingles that nodes of several components have."""
+    return index.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+
+
+def _may(similarity: float) -> Column:
+    """Whether a shingle at place i of n and j of m can be the first one that two sets of this similarity share."""
+    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
+
+
+def _stars(index: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): the smallest node of each bucket with those of other components; of a component the hub that a node meets most often."""
+    hub = index.groupBy("s").agg(F.min(F.struct("node", "root", F.col("n").alias("m"), F.col("i").alias("j"))).alias("hub")).select("s", F.col("hub.node").alias("hub"), F.col("hub.root").alias("other"), "hub.m", "hub.j")
+    met = index.join(hub, "s").where((F.col("root") != F.col("other")) & _may(similarity)).groupBy("node", "hub", "other").agg(F.count(F.lit(1)).alias("times"))
+    return met.groupBy("node", "other").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("node", "hub")
+
+
+def across(index: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub): all pairs of nodes of different components that can have the similarity. In each bucket only the nodes of its
+    most frequent component aren't held against each other. ``index``: s, node, n, i, root."""
+    most = index.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = materialize(index.join(most, "s").select("s", "node", "n", "i", "root", (F.col("root") == F.col("most")).alias("is_most")), "simhash-across")
+    other = rows.where("NOT is_most").select("s", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    pairs = rows.join(other, "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & _may(similarity))
+    return pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
 
 
 def similar(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that verified links connect. ``texts_of``: (node, text) of the nodes in a table's column node.
+    """(node, root) of the nodes that verified links connect. ``nodes``: node, f0, f1, ..., n, first; ``texts_of``: (node, text)
+    of the nodes in a table's column node.
 
     First the keys of neighbouring segments: in each bucket a star around the smallest node, of which each node verifies its
-    closest; this gathers even a large group of copies with a link for each. Then all other keys, of each bucket the smallest and
-    the largest node, in one aggregate, and what the stars left: only pairs that aren't connected yet are verified."""
-    most = most_bits(similarity)
+    closest; this gathers even a large group of copies with a link for each. Then the prefixes: stars again, and at last all
+    pairs across what isn't connected yet."""
 
     def checked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "simhash-pairs")
         wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
         return materialize(verified(pairs, texts_of(wanted), shingle, similarity), "simhash-links")
 
     keys = _keys(nodes, NEIGHBOURS)
     star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    star = materialize(_measured(keys.join(star, "key").where("node != hub").select("node", "hub").distinct(), nodes, most), "simhash-pairs")
-    closest = materialize(star.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")), "simhash-pairs")
-    links = checked(closest)
+    star = _measured(keys.join(star, "key").where("node != hub").select("node", "hub").distinct(), nodes, most_bits(similarity))
+    links = checked(star.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")))
+    roots = materialize(components(links), "simhash-roots")
+
+    mixed = materialize(_mixed(_rooted(_prefixes(nodes), shared(roots))), "simhash-mixed")
+    index = materialize(_prefixes(nodes).join(shared(mixed), "s"), "simhash-index")
+    links = links.union(checked(_stars(_rooted(index, shared(roots)), similarity)))
     roots = materialize(components(links), "simhash-roots")
-    ends = _keys(nodes, OTHERS).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).where("hub < node").select("node", "hub").distinct()
-    later = _measured(_apart(ends, roots), nodes, most).select("node", "hub")
-    rest = _apart(star.select("node", "hub").join(closest, ["node", "hub"], "left_anti"), roots)
-    return components(links.union(checked(materialize(later.union(rest).distinct(), "simhash-pairs"))))
+    return components(links.union(checked(across(_rooted(index, shared(roots)), similarity))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -312,16 +384,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = located(docs)
     names = [f"f{k}" for k in range(WIDE_WORDS)]
     text = F.col(text_col).cast("string").alias("text")
-    p = materialize(set_prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS), "simhash-wide")
-    one = p.groupBy("d0", "d1").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in names))  # a node is a set of shingles
-    nodes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    p = set_prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS, similarity)
+    p = materialize(p.withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    least = materialize(p.groupBy("d0", "d1").agg(F.min("node").alias("node")), "simhash-nodes")  # a node is a set of shingles
+    nodes = materialize(p.select("node", "at", *names, "n", "first").join(least.select("node"), "node", "left_semi"), "simhash-nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
         return rows.select(F.col("__at").alias("at"), text).join(shared(some), "at").select("node", "text")
 
-    roots = materialize(similar(nodes.select("node", *names), texts_of, shingle, similarity), "simhash-roots")
-    named = nodes.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
+    roots = materialize(similar(nodes.drop("at"), texts_of, shingle, similarity), "simhash-roots")
+    named = least.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
     grouped = p.select("id", "at", "d0", "d1").join(named, ["d0", "d1"]).select("id", "at", "root")
     grouped = materialize(grouped, "simhash-grouped")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.at").alias("keep"))

@@ -167,6 +167,54 @@ def test_a_repeated_line_alone_makes_no_near_copies(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(6))
 
 
+def family(seed=21, size=240, pairs=60):
+    """Texts of 200 words that differ in 4 places from a common one, so most are below 0.8 to each other, and copies of some with 3 more changes."""
+    rnd = random.Random(seed)
+    base, own = [f"b{k}" for k in range(200)], lambda: f"w{rnd.randrange(10**9)}"
+    docs = []
+    for _ in range(size):
+        w = list(base)
+        for at in rnd.sample(range(200), 4):
+            w[at] = own()
+        docs.append(w)
+    for k in range(pairs):
+        w = list(docs[k])
+        for at in rnd.sample(range(200), 3):
+            w[at] = own()
+        docs.append(w)
+    return [(k, " ".join(w)) for k, w in enumerate(docs)]
+
+
+def groups_by_brute_force(docs, similarity=0.8):
+    sets = {i: {*zip(*(t.split()[k:] for k in range(5)), strict=False)} for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in sets}), len(links)
+
+
+def test_near_copies_inside_a_large_family_below(spark):
+    docs = family()
+    want, n_links = groups_by_brute_force(docs)
+    got = simhash_golay.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    assert n_links >= 60 and len(want) > 150
+
+
+def test_near_copies_are_all_found(spark):
+    docs, _ = near_copies(seed=31)
+    got = simhash_golay.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == groups_by_brute_force(docs)[0]
+
+
 def test_near_copies_odd_rows(odd, empty):
     got = simhash_golay.drop_near_copies(odd)
     ids = sorted((r["doc_id"] for r in got.collect()), key=str)
