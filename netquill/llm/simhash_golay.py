@@ -12,8 +12,8 @@ and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates a
 fingerprints are one node, so copies are never paired.
 
 *Groups by similarity* (:func:`drop_near_copies`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
-used: 27 segments of 23 bits, and a key for each pair of neighbouring segments (both nearest codewords). A star in each
-bucket gathers close copies with a link for each. The keys are a locality-sensitive hash, so what they miss is found by an
+used: 27 segments of 23 bits, and a key for each pair of neighbouring segments (both nearest codewords). The fingerprint
+takes each shingle once, as the similarity does. A star in each bucket gathers close copies with a link for each. The keys are a locality-sensitive hash, so what they miss is found by an
 exact set-similarity join (:func:`across`): with the shingles of all sets in one order, two sets of a similarity s share
 one of the first n - ceil(s n) + 1 of either. In each bucket of these every two nodes of different components are compared,
 but for what positions and sizes rule out. All candidates are verified on their whole shingle sets. The order puts shingles
@@ -155,7 +155,7 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
 
 def set_prints(rows: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
     """``rows``: id, at, text. (id, at, d0, d1, f0, f1, ..., n, first) of each row; d0 and d1: a 128-bit digest of its set of
-    shingles; n: their number; first: the hashes of its prefix."""
+    shingles; f0, f1, ...: the fingerprint of the set, each shingle once; n: their number; first: the hashes of its prefix."""
     names = [f"f{k}" for k in range(words)]
     often = rows.sparkSession.sparkContext.broadcast(frequent(rows, shingle))
 
@@ -163,10 +163,9 @@ def set_prints(rows: DataFrame, shingle: int, words: int, similarity: float) ->
         for batch in batches:
             got, n, first = np.zeros((batch.num_rows, 2 + words), np.uint64), [], []
             for r, t in enumerate(batch.column(2).to_pylist()):
-                h = shingle_hashes(t, shingle)
-                distinct = np.unique(h)
+                distinct = np.unique(shingle_hashes(t, shingle))
                 got[r, :2] = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes(), SEED), np.uint64)
-                got[r, 2:] = fingerprint(h, words)
+                got[r, 2:] = fingerprint(distinct, words)
                 n.append(len(distinct))
                 first.append(prefix(distinct, often.value, similarity).tobytes())
             got = got.view(np.int64)

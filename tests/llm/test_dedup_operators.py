@@ -215,6 +215,19 @@ def test_near_copies_are_all_found(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == groups_by_brute_force(docs)[0]
 
 
+def test_wide_fingerprints_take_each_shingle_once(spark):
+    rnd = random.Random(41)
+    own, line = " ".join(f"w{rnd.randrange(10**9)}" for _ in range(1000)), " ".join(f" l{k}" for k in range(9))
+    docs = [(k, f"{own} {' '.join([line] * times)}") for k, times in enumerate((1, 30, 100, 200))]
+    rows = spark.createDataFrame([(i, i, t) for i, t in docs], "id long, at long, text string")
+    words = [f"f{k}" for k in range(simhash_golay.WIDE_WORDS)]
+    f = [[r[w] for w in words] for r in simhash_golay.set_prints(rows, 5, len(words), 0.8).orderBy("id").collect()]
+    far = [sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(f[0], x, strict=True)) for x in f[1:]]
+    assert max(far) <= simhash_golay.most_bits(0.99)
+    got = simhash_golay.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [r["doc_id"] for r in got.collect()] == [0]
+
+
 def test_near_copies_odd_rows(odd, empty):
     got = simhash_golay.drop_near_copies(odd)
     ids = sorted((r["doc_id"] for r in got.collect()), key=str)
