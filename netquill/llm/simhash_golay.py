@@ -15,8 +15,8 @@ fingerprints are one node, so copies are never paired.
 used: 27 segments of 23 bits, and a key for each pair of neighbouring segments (both nearest codewords). The fingerprint
 takes each shingle once, as the similarity does. A star in each bucket gathers close copies with a link for each. The keys are a locality-sensitive hash, so what they miss is found by an
 exact set-similarity join (:func:`across`): with the shingles of all sets in one order, two sets of a similarity s share
-one of the first n - ceil(s n) + 1 of either. In each bucket of these every two nodes of different components are compared,
-but for what positions and sizes rule out. All candidates are verified on their whole shingle sets. The order puts shingles
+one of the first n - ceil(s n) + 1 of either. In each bucket of these every two nodes of different components meet; sizes
+and the number and places of the shingles that their prefixes share rule most out. All candidates are verified on their whole shingle sets. The order puts shingles
 that are frequent in a sample last; it decides about the number of candidates, not about the links.
 
 A node is a set of shingles (equal sets are copies); whatever else is linked was verified.
@@ -308,16 +308,24 @@ def _mixed(index: DataFrame) -> DataFrame:
     return index.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
 
 
-def _may(similarity: float) -> Column:
-    """Whether a shingle at place i of n and j of m can be the first one that two sets of this similarity share."""
-    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
+def _may(similarity: float, times: str, i: str, j: str) -> Column:
+    """Whether sets of n and m shingles can have the similarity if their prefixes share ``times``, the last ones at places ``i`` and ``j``.
+    All others they share come after these in both, and after the end of one prefix."""
+    beyond = F.greatest(*(F.ceil(similarity * F.col(c) - 1e-9) - 1 for c in ("n", "m")))
+    others = F.least(beyond, F.col("n") - F.col(i) - 1, F.col("m") - F.col(j) - 1)
+    return F.col(times) + others + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
+
+
+def _sizes(similarity: float) -> Column:
+    return F.least("n", "m") + 1e-6 >= similarity * F.greatest("n", "m")
 
 
 def _stars(index: DataFrame, similarity: float) -> DataFrame:
-    """(node, hub): the smallest node of each bucket with those of other components; of a component the hub that a node meets most often."""
+    """(node, hub): the smallest node of each bucket with those of other components that look similar; of a component the hub that
+    a node meets most often."""
     hub = index.groupBy("s").agg(F.min(F.struct("node", "root", F.col("n").alias("m"), F.col("i").alias("j"))).alias("hub")).select("s", F.col("hub.node").alias("hub"), F.col("hub.root").alias("other"), "hub.m", "hub.j")
-    met = index.join(hub, "s").where((F.col("root") != F.col("other")) & _may(similarity)).groupBy("node", "hub", "other").agg(F.count(F.lit(1)).alias("times"))
-    return met.groupBy("node", "other").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("node", "hub")
+    met = index.join(hub, "s").where((F.col("root") != F.col("other")) & _sizes(similarity)).groupBy("node", "hub", "other", "n", "m").agg(F.count(F.lit(1)).alias("times"), F.max("i").alias("i"), F.max("j").alias("j"))
+    return met.where(_may(similarity, "times", "i", "j")).groupBy("node", "other").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("node", "hub")
 
 
 def across(index: DataFrame, similarity: float) -> DataFrame:
@@ -326,8 +334,12 @@ def across(index: DataFrame, similarity: float) -> DataFrame:
     most = index.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     rows = materialize(index.join(most, "s").select("s", "node", "n", "i", "root", (F.col("root") == F.col("most")).alias("is_most")), "simhash-across")
     other = rows.where("NOT is_most").select("s", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
-    pairs = rows.join(other, "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & _may(similarity))
-    return pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+    pairs = rows.join(other, "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & _sizes(similarity))
+    low = F.col("node") < F.col("hub")
+    either = lambda a, b, name: F.when(low, F.col(a)).otherwise(F.col(b)).alias(name)
+    pairs = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"), either("n", "m", "n"), either("m", "n", "m"), either("i", "j", "i"), either("j", "i", "j"))
+    met = pairs.groupBy("node", "hub", "n", "m").agg(F.count(F.lit(1)).alias("times"), F.max("i").alias("i"), F.max("j").alias("j"))
+    return met.where(_may(similarity, "times", "i", "j")).select("node", "hub")
 
 
 def similar(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
