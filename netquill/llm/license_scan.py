@@ -9,7 +9,8 @@ Words are the runs of other characters than ASCII punctuation, blanks and contro
 rarest first. Of a template only the prefix enters the join (a block without any of its ``size - overlap + 1``
 rarest words can't match); length filter (the block must have ``overlap`` template words) and positional filter
 (words that can still follow in both) prune before the match is verified on the whole sets. Blocks are twice as
-long as the longest template and advance by its length, so an unbroken template lies wholly in some block.
+long as the longest template and start at every word. Only those that begin with a template word and hold one of a
+prefix are formed: any other match has its words in one of these too.
 
 The templates are a fixed list, so their index is a few hundred rows at most and is broadcast; rows of a document
 are combined before they are shuffled.
@@ -101,13 +102,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     base = located(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("id"), F.col("__at").alias("at"), words_of(F.col(text_col)).alias("words"))
     found = [places(F.col("words"), p.split()).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)]
     candidate = F.arrays_overlap(F.col("words"), _strings(sorted(prefixes)))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(longest))
-    blocks = F.transform(starts, lambda s: F.array_intersect(_strings(order), F.slice(F.col("words"), s + 1, 2 * longest)))
-    blocks = F.when(candidate, F.array_distinct(blocks)).otherwise(F.array().cast("array<array<string>>"))
+    among = lambda i, chosen: F.array_contains(_strings(sorted(chosen)), F.element_at("words", (i + 1).cast("int")))
+    rare = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))), lambda i: among(i, prefixes))
+    starts = F.array_distinct(F.flatten(F.transform(rare, lambda q: F.filter(F.sequence(F.greatest(q - (2 * longest - 1), F.lit(0)), q), lambda s: among(s, order)))))
+    blocks = F.transform(starts, lambda s: F.array_join(F.array_intersect(_strings(order), F.slice(F.col("words"), s + 1, 2 * longest)), " "))
+    blocks = F.when(candidate, F.array_distinct(blocks)).otherwise(F.array().cast("array<string>"))
     rows = base.select("id", "at", F.size("words").alias("n_words"), *found, blocks.alias("blocks"))
     every = F.concat(*(F.col(f"p{k}") for k in range(len(PHRASES))))
     labels = F.concat(*(F.when(F.size(f"p{k}") > 0, _strings([label])).otherwise(_strings([])) for k, (_, label) in enumerate(PHRASES)))
-    rows = rows.select("id", "at", "n_words", every.alias("all"), F.array_sort(F.array_distinct(labels)).alias("base"), F.explode_outer("blocks").alias("block"))
+    rows = rows.select("id", "at", "n_words", every.alias("all"), F.array_sort(F.array_distinct(labels)).alias("base"), F.explode_outer("blocks").alias("block")).withColumn("block", F.split("block", " "))
     rows = rows.select("id", "at", "n_words", "all", "base", "block", F.posexplode_outer("block").alias("j", "token"))
     shared = F.size(F.array_intersect(F.col("tokens"), F.col("block")))
     rest = F.least(F.col("size") - F.col("i"), F.size("block") - F.col("j"))  # this word and what can follow it in both

@@ -187,6 +187,34 @@ def test_licenses_against_brute_force(spark, odd):
     assert [g[-1] for g in got] == pytest.approx([w[-1] for w in want])
 
 
+CLEAR = "redistribution and use in source and binary forms with or without modification are permitted subject to the limitations in the disclaimer below provided that the following conditions are met"
+
+
+def test_licenses_at_every_offset(spark):
+    numbered = " ".join(f"{k} {w}" if k % 2 else w for k, w in enumerate(dict(license_scan.TEMPLATES)["bsd"].split()))
+    texts = [" ".join(["x"] * k + [t] + ["y"] * 50) for t in (CLEAR, numbered) for k in range(42)]
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "labels", "score")
+    assert [got[k] for k in range(84)] == [("bsd", 1.0)] * 84
+
+
+def test_licenses_against_every_start(spark):
+    rnd = random.Random(17)
+    words, docs = "the of a under license work public x y z gnu version".split(), []
+    for i in range(150):
+        t = rnd.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(rnd.randrange(30)):
+            t.insert(rnd.randrange(len(t)), rnd.choice(words))
+        docs.append((i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(90))) + " " + " ".join(t)))
+    longest, want = max(len(t.split()) for _, t in license_scan.TEMPLATES), {}
+    for i, text in docs:
+        w = text.split()
+        shares = [(len({*w[s : s + 2 * longest]} & {*t.split()}) / len({*t.split()}), label) for s in range(len(w)) for label, t in license_scan.TEMPLATES]
+        met = [(share, label) for share, label in shares if share >= license_scan.THRESHOLD - 1e-9]
+        want[i] = (",".join(sorted({label for _, label in met})), max((share for share, _ in met), default=0.0))
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).where("n_base = 0").collect()
+    assert len(got) > 80 and all((r["labels"], r["score"]) == (want[r["doc_id"]][0], pytest.approx(want[r["doc_id"]][1])) for r in got)
+
+
 def test_license_plan_is_native(odd, empty):
     plan = license_scan.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
