@@ -26,7 +26,8 @@ def expected(factors: DataFrame, evidence: DataFrame, background: float | None =
     """(group_id, idx, n) with a prior count of one, and the log likelihood, each evidence against the graph without. Beliefs are
     counted to the power ``beta``.
 
-    factors: factor_id, group_id (null: fixed), var_ids, states, values; evidence: sample_id, var_id, value."""
+    factors: factor_id, group_id (null: fixed), var_ids, states, values; evidence: sample_id, var_id, value and, if equal samples
+    are one, weight: how many."""
     states = factors.select(F.explode(F.arrays_zip("var_ids", "states")).alias("x")).select(F.col("x.var_ids").alias("var_id"), F.col("x.states").alias("states")).distinct()
     unary = evidence.join(states, "var_id").select(
         F.col("sample_id").cast("string").alias("graph_id"), F.concat(F.lit("evidence"), F.col("var_id").cast("string")).alias("factor_id"), F.lit(None).cast("long").alias("group_id"),
@@ -34,15 +35,17 @@ def expected(factors: DataFrame, evidence: DataFrame, background: float | None =
         F.when(F.col("states") == 2, F.array(1.0 - F.col("value"), F.col("value"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("states") - 1), lambda i: F.when(i == F.col("value").cast("int"), 1.0).otherwise(0.0))).cast("array<double>").alias("values"),
     )
     base = factors.select(F.col("factor_id").cast("string").alias("factor_id"), F.col("group_id").cast("long").alias("group_id"), "var_ids", "states", "values")
-    per = base.crossJoin(evidence.select(F.col("sample_id").cast("string").alias("graph_id")).distinct())
-    graphs = per.unionByName(unary)
+    weight = F.col("weight") if "weight" in evidence.columns else F.lit(1)
+    per = base.crossJoin(evidence.groupBy(F.col("sample_id").cast("string").alias("graph_id")).agg(F.max(weight.cast("double")).alias("weight")))
+    graphs = per.unionByName(unary.withColumn("weight", F.lit(None).cast("double")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _graph(pdf)
         ok = g.propagate()
         of = dict(zip(pdf["factor_id"], pdf["group_id"], strict=True))
-        rows = [(int(of[f]), i, float(x) ** beta, 0.0) for k, (f, _, _) in enumerate(g.factors) if ok and not pd.isna(of[f]) for i, x in enumerate(g.factor_belief(k).reshape(-1, order="F"))]
-        rows.append((None, None, 0.0, g.log_z() if ok else float("nan")))
+        w = float(pdf["weight"].max())
+        rows = [(int(of[f]), i, w * float(x) ** beta, 0.0) for k, (f, _, _) in enumerate(g.factors) if ok and not pd.isna(of[f]) for i, x in enumerate(g.factor_belief(k).reshape(-1, order="F"))]
+        rows.append((None, None, w, w * g.log_z() if ok else float("nan")))
         return pd.DataFrame(rows, columns=["group_id", "idx", "n", "ll"]).astype({"group_id": "Int64", "idx": "Int64"})
 
     got = cut(graphs.groupBy("graph_id").applyInPandas(run, "group_id long, idx long, n double, ll double"), "em")
@@ -50,9 +53,9 @@ def expected(factors: DataFrame, evidence: DataFrame, background: float | None =
         g = _graph(base.toPandas())  # the parameters of one graph
         g.propagate()
         background = g.log_z()
-    ll, n = got.where("group_id IS NULL").agg(F.sum("ll"), F.count(F.lit(1))).first()
+    ll, n = got.where("group_id IS NULL").agg(F.sum("ll"), F.sum("n")).first()
     counts = got.where("group_id IS NOT NULL").groupBy("group_id", "idx").agg((F.sum("n") + 1.0).alias("n"))
-    return counts, float(ll or 0.0) - n * background
+    return counts, float(ll or 0.0) - (n or 0.0) * background
 
 
 def learn(factors: DataFrame, evidence: DataFrame, rounds: int = 50, tolerance: float = 1e-3, beta: float = 1.0) -> tuple[DataFrame, float, list[float]]:

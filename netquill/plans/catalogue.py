@@ -522,11 +522,11 @@ def gibbs_marginals(spark, sf):
 
 @query()
 def em_learning(spark, sf):
-    """A hidden segment with two states behind status and priority of orders, learned from their distinct combinations."""
-    o = t(spark, sf, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+    """A hidden segment with two states behind status and priority of all orders, whose combinations weigh as much as they occur."""
+    o = t(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("weight"))
     code = lambda c, name: rel.dense_index(o, c, name)
     s = o.join(code("o_orderstatus", "s"), "o_orderstatus").join(code("o_orderpriority", "p"), "o_orderpriority")
-    ev = s.select(F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("sample_id"), F.explode(F.array(F.struct(F.lit(1).alias("var_id"), F.col("s").cast("double").alias("value")), F.struct(F.lit(2).alias("var_id"), F.col("p").cast("double").alias("value")))).alias("x")).select("sample_id", "x.var_id", "x.value")
+    ev = s.select(F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("sample_id"), "weight", F.explode(F.array(F.struct(F.lit(1).alias("var_id"), F.col("s").cast("double").alias("value")), F.struct(F.lit(2).alias("var_id"), F.col("p").cast("double").alias("value")))).alias("x")).select("sample_id", "weight", "x.var_id", "x.value")
     n = s.agg((F.max("s") + 1).cast("int").alias("ns"), (F.max("p") + 1).cast("int").alias("np"))
 
     def factor(fid: int, group: int | None, var_ids: list[int], states: list, values) -> Column:
@@ -535,7 +535,7 @@ def em_learning(spark, sf):
 
     hidden, half = F.lit(2), F.lit(0.5)
     f = n.select(F.inline(F.array(factor(0, None, [0], [hidden], F.array(half, half)), factor(1, 1, [1, 0], [F.col("ns"), hidden], F.array_repeat(half, F.col("ns") * 2)), factor(2, 2, [2, 0], [F.col("np"), hidden], F.array_repeat(half, F.col("np") * 2)))))
-    learned, _, _ = learning.learn(learning.randomised(f, 3), ev, rounds=3)
+    learned, _, _ = learning.learn(learning.randomised(f, 3), ev)
     return learned.select("factor_id", F.posexplode("values").alias("idx", "value"))
 
 

@@ -151,6 +151,17 @@ def test_em_improves(spark, rows):
     assert tied["prior"] == [0.5, 0.5]
 
 
+def test_weights_count_as_repeated_samples(spark, rows):
+    f = rows([("prior", None, [0], [2], [0.5, 0.5]), ("x", 1, [1, 0], [2, 2], [0.6, 0.4, 0.3, 0.7]), ("y", 2, [2, 0], [2, 2], [0.2, 0.8, 0.7, 0.3])], "factor_id string, group_id long, var_ids array<long>, states array<int>, values array<double>")
+    times = {(0, 0): 5, (0, 1): 1, (1, 1): 3}
+    every = rows([(f"{c}/{k}", v, float(c[v - 1])) for c, n in times.items() for k in range(n) for v in (1, 2)], "sample_id string, var_id long, value double")
+    once = rows([(str(c), v, float(c[v - 1]), n) for c, n in times.items() for v in (1, 2)], "sample_id string, var_id long, value double, weight long")
+    (a, ll_a), (b, ll_b) = learning.expected(f, every), learning.expected(f, once)
+    cells = lambda d: [r["n"] for r in d.orderBy("group_id", "idx").collect()]
+    assert cells(a) == pytest.approx(cells(b)) and ll_a == pytest.approx(ll_b)
+    assert sum(cells(b)) == pytest.approx(2 * (9 + 4))
+
+
 def test_annealed_learning(spark, rows):
     f = rows([("prior", None, [0], [2], [0.5, 0.5]), ("x", 1, [1, 0], [2, 2], [0.6, 0.4, 0.3, 0.7])], "factor_id string, group_id long, var_ids array<long>, states array<int>, values array<double>")
     ev = rows([(f"s{k}", 1, float(k % 3 == 0)) for k in range(6)], "sample_id string, var_id long, value double")
