@@ -2,9 +2,10 @@
 
 Every word of a text is drawn from one language of an unknown mixture; its likelihood under a language is the
 product of its letter-trigram probabilities (hashed, additively smoothed). Expectation-maximisation gives the
-proportions of the languages; the set of languages is that of the highest penalised likelihood among the best
-single language and the 2..``max_langs`` most probable ones, each further language costing ``penalty`` times
-half the logarithm of the number of words. Sets that a bound on their likelihood rules out aren't tried. The prediction is the language of the largest proportion.
+proportions of the languages, run until a bound shows that no others are likelier by more than a hundredth; the set
+of languages is selected by penalised likelihood, each further language costing ``penalty`` times half the logarithm of
+the number of words: it grows, whatever the number of languages, until no larger set can have a higher one.
+The prediction is the language of the largest proportion.
 
 The trigram counts are learned from a documented bound of about ``rows_per_lang`` texts a language, chosen by a
 hash of the identifier; predictions cover every row and whole texts.
@@ -86,27 +87,83 @@ def train(docs: DataFrame, keep: Column | None = None, id_col: str = "doc_id", t
     return Model(langs, np.log((n + alpha) / (n.sum(0) + alpha * used)).astype(np.float32))
 
 
-def _em(like: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihoods of the documents. like: languages x words, relative to each word's best language."""
-    pi = (allowed / allowed.sum(1, keepdims=True)).T
-    total = np.maximum(np.bincount(doc, weight, n_docs), 1e-12)
-    for _ in range(rounds):
-        r = like * pi[:, doc]
-        r *= weight / np.maximum(r.sum(0), 1e-300)
-        pi = np.stack([np.bincount(doc, x, n_docs) for x in r]) / total
-    ll = np.bincount(doc, np.log(np.maximum((like * pi[:, doc]).sum(0), 1e-300)), n_docs)
-    return pi.T, ll
-
-
-def _of(some: np.ndarray, n_docs: int, like: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _em(like: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, enough: np.ndarray | None = None, tolerance: float = 0.01, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions, log likelihood and an upper bound of it, of each document over its allowed languages.
+
+    like: languages x words, relative to each word's best language; each word counts once, in the proportions as in the
+    likelihood, so no round lowers it. The likelihood is concave: no proportions can beat it by more than the steepest
+    slope beyond the number of words, which is the bound. A document is done when the two are within ``tolerance``, or when
+    the bound is at most ``enough``."""
+    pi = allowed / allowed.sum(1, keepdims=True)
+    ll, bound = np.zeros(n_docs), np.full(n_docs, np.inf)
+    enough = np.full(n_docs, -np.inf) if enough is None else enough
+    some, l, d = np.arange(n_docs), like, doc  # what isn't done, its words, and their documents among it
+    for t in range(rounds + 1):
+        n = np.bincount(d, minlength=len(some))
+        now = pi[some]
+        r = l * now.T[:, d]
+        total = np.maximum(r.sum(0), 1e-300)
+        slope = np.stack([np.bincount(d, x / total, len(some)) for x in l], 1)
+        ll[some] = np.bincount(d, np.log(total), len(some))
+        bound[some] = np.minimum(bound[some], ll[some] + np.where(allowed[some] > 0, slope, 0).max(1) - n)
+        going = (bound[some] - ll[some] > tolerance) & (bound[some] > enough[some])
+        if t == rounds or not going.any():
+            break
+        pi[some] = now * slope / np.maximum(n, 1)[:, None]
+        if going.mean() < 0.7:  # leave out the words of what is done
+            pi[some[~going]] = now[~going]
+            number = np.cumsum(going) - 1
+            mine = going[d]
+            some, l, d = some[going], l[:, mine], number[d[mine]]
+    return pi, ll, bound
+
+
+def _of(some: np.ndarray, n_docs: int, like: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of some documents, these numbered anew."""
     number = np.full(n_docs, -1)
     number[some] = np.arange(len(some))
     mine = number[doc] >= 0
-    return like[:, mine], number[doc[mine]], size[mine]
+    return like[:, mine], number[doc[mine]]
+
 
+def mixtures(like: np.ndarray, doc: np.ndarray, n_docs: int, cost: np.ndarray, beam: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and penalised log likelihood of each document's best set of languages.
 
-def infer(model: Model, texts: list[str | None], max_langs: int = 3, penalty: float = 4.0, rounds: int = 12) -> tuple[list[str], np.ndarray]:
+    Sets grow by one language at a time: all extensions of the ``beam`` likeliest sets of a size are tried, which are all
+    sets there are of up to four languages. A document is done when the bound over all languages shows that no larger set
+    can have a higher penalised likelihood; a set is left when its bound shows that it can't."""
+    k, every = len(like), np.arange(n_docs)
+    single = np.stack([np.bincount(doc, np.log(x), n_docs) for x in like], 1)
+    pi = np.zeros((n_docs, k))
+    pi[every, single.argmax(1)] = 1.0
+    best = single.max(1)
+    some = np.flatnonzero(best < -cost) if k > 1 else every[:0]  # relative to each word's best language nothing is above 0
+    l, d = _of(some, n_docs, like, doc)
+    _, _, top = _em(l, d, len(some), np.ones((len(some), k)), best[some] + cost[some])
+    some, top = some[top > best[some] + cost[some]], top[top > best[some] + cost[some]]
+    kept, size = [[(j,) for j in np.argsort(-single[i], kind="stable")[:beam].tolist()] for i in some], 1
+    while len(some):
+        size += 1
+        wider = [sorted({tuple(sorted((*a, j))) for a in sets for j in range(k) if j not in a}) for sets in kept]
+        l, d = _of(some, n_docs, like, doc)
+        found: list[list] = [[] for _ in some]
+        for c in range(max(map(len, wider))):
+            has = np.array([i for i, w in enumerate(wider) if len(w) > c])
+            allowed = np.zeros((len(has), k))
+            allowed[np.repeat(np.arange(len(has)), size), [j for i in has for j in wider[i][c]]] = 1.0
+            mine, extra = some[has], (size - 1) * cost[some[has]]
+            p, ll, _ = _em(*(_of(has, len(some), l, d) if len(has) < len(some) else (l, d)), len(has), allowed, best[mine] + extra)
+            up = ll - extra > best[mine]
+            best[mine[up]], pi[mine[up]] = (ll - extra)[up], p[up]
+            for i, x in zip(has, ll.tolist(), strict=True):
+                found[i].append((-x, wider[i][c]))
+        going = (top - size * cost[some] > best[some]) & (size < k)
+        kept = [[a for _, a in sorted(f)[:beam]] for f, g in zip(found, going, strict=True) if g]
+        some, top = some[going], top[going]
+    return pi, best
+
+
+def infer(model: Model, texts: list[str | None], penalty: float = 4.0) -> tuple[list[str], np.ndarray]:
     """(predicted language, its proportion) of each text."""
     n, k = len(texts), len(model.langs)
     lang, score = ["und"] * n, np.zeros(n)
@@ -114,38 +171,19 @@ def infer(model: Model, texts: list[str | None], max_langs: int = 3, penalty: fl
     known = [i for i in range(n) if norms[i]]
     if not known or not k:
         return lang, score
-    ll, doc, size = [], [], []
+    ll, doc = [], []
     for d, i in enumerate(known):
         grams, starts = trigrams(norms[i])
         if len(starts):
             ll.append(np.add.reduceat(model.logp[grams], starts, axis=0).astype(np.float64))
             doc.append(np.full(len(starts), d))
-            size.append(np.diff(np.append(starts, len(grams))))
     if not ll:
         return lang, score
-    ll, doc, size = np.concatenate(ll), np.concatenate(doc), np.concatenate(size).astype(np.float64)
-    m, top = len(known), ll.max(1)
-    like = np.exp((ll - top[:, None]).T)
-    single = np.stack([np.bincount(doc, ll[:, i], m) for i in range(k)], 1)
-    base = np.bincount(doc, top, m)
+    ll, doc = np.concatenate(ll), np.concatenate(doc)
+    m = len(known)
+    like = np.exp(np.maximum(ll - ll.max(1)[:, None], -700.0).T)
     words = np.bincount(doc, minlength=m)
-    best = single.max(1)
-    pi = (np.arange(k)[None, :] == single.argmax(1)[:, None]).astype(float)
-    cost = penalty * 0.5 * np.log(np.maximum(words, 2))  # of each further language
-    some = np.flatnonzero(best < base - cost) if k > 1 else words[:0]  # no set is more likely than each word's best language
-    if len(some):
-        l, d, w = _of(some, m, like, doc, size)
-        full, most = _em(l, d, len(some), np.ones((len(some), k)), w, rounds)
-        open_ = best[some] < most + base[some] - cost[some]  # no subset is more likely than all languages
-        some, full = some[open_], full[open_]
-    if len(some):
-        l, d, w = _of(some, m, like, doc, size)
-        rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        for s in range(2, min(max_langs, k) + 1):
-            p, l2 = _em(l, d, len(some), (rank < s).astype(float), w, rounds)
-            value = l2 + base[some] - (s - 1) * cost[some]
-            better = value > best[some]
-            best[some[better]], pi[some[better]] = value[better], p[better]
+    pi, _ = mixtures(like, doc, m, penalty * 0.5 * np.log(np.maximum(words, 2)))
     for d, i in enumerate(known):
         j = int(pi[d].argmax())
         lang[i], score[i] = model.langs[j], min(1.0, float(pi[d, j]))
