@@ -99,7 +99,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         raise ValueError("no template")
     lookup = docs.sparkSession.range(1).select(F.inline(F.array(*entries)))
 
-    base = located(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("id"), F.col("__at").alias("at"), words_of(F.col(text_col)).alias("words"))
+    base = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "at").select("id", "at", words_of(F.col("text")).alias("words"))
     found = [places(F.col("words"), p.split()).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)]
     candidate = F.arrays_overlap(F.col("words"), _strings(sorted(prefixes)))
     among = lambda i, chosen: F.array_contains(_strings(sorted(chosen)), F.element_at("words", (i + 1).cast("int")))
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for the same rows: every block is compared with every template, without filters."""
+    """DuckDB SQL for the same rows: the block from every word on is compared with every template, without filters."""
     longest = max(len(t.split()) for _, t in TEMPLATES)
     values = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))})" for label, t in TEMPLATES)
     places_sql = " + ".join(
@@ -137,7 +137,7 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT *, {places_sql} AS p FROM d),
 t AS (SELECT * FROM (VALUES {values}) AS t(label, tokens, least)),
-blocks AS (SELECT rid, list_slice(w, s.i + 1, s.i + {2 * longest}) AS block FROM d, unnest(range(0, len(w), {longest})) AS s(i)),
+blocks AS (SELECT rid, list_slice(w, s.i + 1, s.i + {2 * longest}) AS block FROM d, unnest(range(0, len(w))) AS s(i)),
 m AS (SELECT rid, label, len(list_intersect(tokens, block)) AS n, len(tokens) AS size FROM blocks, t WHERE len(list_intersect(tokens, block)) >= least),
 g AS (SELECT rid, max(n / size) AS best, list(DISTINCT label) AS found FROM m GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min([x.s FOR x IN p])::BIGINT AS first_word, list_max([x.s FOR x IN p])::BIGINT AS last_word,
