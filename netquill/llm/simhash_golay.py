@@ -6,18 +6,27 @@ nearest, and all within 4 bits, of which there are 1 or 6. If two segments diffe
 nearest codeword of either is within 4 bits of the other, so an index row (nearest) and a query row (all
 nearby) meet.
 
-*Links up to 3 bits* (:func:`links_within_3`, :func:`connecting_within_3`). A 64-bit fingerprint has three segments. At most 3 errors leave
-two segments with at most one error each, so the keys are pairs of segments with one codeword each: 3 index rows
-and at most 108 query rows a distinct fingerprint; keys of 24 bits; candidates are verified in the join. Equal
-fingerprints are one node, so copies are never paired.
+*Links up to 3 bits* (:func:`links_within_3`, :func:`connecting_within_3`). A 64-bit fingerprint has three segments. Of at most 3
+errors either one segment has none and another one at most, or each has exactly one. So the keys are, for the first case, a
+segment as it is with a codeword of another (6 ordered pairs), and for the second, codewords of the first two segments with
+one half of the third as it is, of which a half is without error (2 halves): 8 index rows and at most 108 query rows a
+distinct fingerprint, of keys of 33 and 34 bits, so that unrelated fingerprints seldom meet among less than 10^10.
+Candidates are verified in the join. Equal fingerprints are one node, so copies are never paired.
 
 *Groups by similarity* (:func:`drop_near_copies`). For a Jaccard similarity of 0.8 and more a wide fingerprint is
 used: 27 segments of 23 bits, and a key for each pair of neighbouring segments (both nearest codewords). The fingerprint
-takes each shingle once, as the similarity does. A star in each bucket gathers close copies with a link for each. The keys are a locality-sensitive hash, so what they miss is found by an
-exact set-similarity join (:func:`across`): with the shingles of all sets in one order, two sets of a similarity s share
-one of the first n - ceil(s n) + 1 of either. In each bucket of these every two nodes of different components meet; sizes
-and the number and places of the shingles that their prefixes share rule most out. All candidates are verified on their whole shingle sets. The order puts shingles
-that are frequent in a sample last; it decides about the number of candidates, not about the links.
+takes each shingle once, as the similarity does. A star in each bucket gathers close copies with a link for each. The keys
+are a locality-sensitive hash, so what they miss is found by an exact set-similarity join (:func:`across`).
+
+For that the shingles of all documents are counted and put in one order, rarest first; two sets of a similarity s share
+one of the first n - ceil(s n) + 1 of either. Counting deals the hashes of all shingles by their bits, packed; very
+frequent ones, which a sample shows, aren't dealt (no task may get a third of all rows) but come last in the order. Of what
+is counted only shingles that several rows have come back. In each bucket a star around the node in whose order the
+shingle comes first, which is the one with the fewest rare shingles, gathers what is linked; then every two nodes of
+different components meet. Sizes, the shingles that no other component has, and a sketch of each set (a bit for each
+residue of the hashes, set if an odd number of shingles has it: two sets differ in at least as many shingles as their
+sketches in bits) rule pairs out within the join, and what their prefixes share after it. None of these loses a pair. All
+candidates are verified on their whole shingle sets.
 
 A node is a set of shingles (equal sets are copies); whatever else is linked was verified.
 
@@ -36,11 +45,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netquill.llm.common import materialize, shared
-from netquill.llm.exact_stream import located
-from netquill.llm.graph import components
+from netquill.llm.exact_stream import located, unused
+from netquill.operators.components import components
+from netquill.plans.checkpoint import row_numbers
 
 SEED = 42
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -100,6 +111,37 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.array([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)], np.uint64)
 
 
+class _Words(dict):
+    """Hashes of words, of so many at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_words = _Words()
+
+
+def _mixed_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes, made of those of their words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(w) - size + 1)
+    h = w[:n]
+    for k in range(1, min(size, len(w))):
+        h = _mixed_bits(h) + w[k : k + n]
+    return np.unique(_mixed_bits(h))
+
+
 def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """``words`` 64-bit words; a bit is set if it is in over half the hashes. The first word takes the hashes as they are."""
     if not len(hashes):
@@ -107,8 +149,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     h = np.empty((len(hashes), words), np.uint64)
     h[:, 0] = hashes
     for k in range(1, words):
-        x = (h[:, k - 1] ^ (h[:, k - 1] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        h[:, k] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h[:, k] = _mixed_bits(h[:, k - 1])
     ones = np.zeros(64 * words, np.int64)
     for i in range(0, len(h), 255 * 64):
         bits = np.unpackbits(h[i : i + 255 * 64].view(np.uint8), axis=1, bitorder="little")
@@ -129,68 +170,188 @@ def prints(rows: DataFrame, shingle: int, words: int = 1) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, " + ", ".join(f"{n} long" for n in names))
 
 
-def frequent(rows: DataFrame, shingle: int, sample: int = 10_000, least: int = 3, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted hashes) that ``least`` of about ``sample`` rows of ``rows`` (id, at, text) have, and how many have them."""
+def frequent(rows: DataFrame, shingle: int, sample: int = 10_000, least: int = 10, most: int = 500_000) -> np.ndarray:
+    """Shingles that ``least`` of about ``sample`` rows of ``rows`` (node, text) have, rarest first. They aren't dealt out to be
+    counted; which ones are here decides about the order only."""
 
     def run(batches):
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle)).view(np.int64))], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], ["s"])
 
-    some = rows.where(F.pmod(F.xxhash64("at"), F.lit(max(1, rows.count() // sample))) == 0).select("text").mapInArrow(run, "s long")
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(max(1, rows.count() // sample))) == 0).select("text").mapInArrow(run, "s long")
     got = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).toArrow()
-    hashes, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return got.column("s").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of a set's distinct hashes, rarest first: another set of this similarity has one of these among its own."""
-    rare, n = np.zeros(len(hashes), np.int64), len(hashes)
-    if len(often[0]) and n:
-        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
-        rare = np.where(often[0][at] == hashes, often[1][at], 0)
-    return hashes[np.lexsort((hashes, rare))][: n - math.ceil(similarity * n - 1e-9) + 1]
+def _ranks(often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(often)
+    return often[order], order.astype(np.int64)
 
 
-def set_prints(rows: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
-    """``rows``: id, at, text. (id, at, d0, d1, f0, f1, ..., n, first) of each row; d0 and d1: a 128-bit digest of its set of
-    shingles; f0, f1, ...: the fingerprint of the set, each shingle once; n: their number; first: the hashes of its prefix."""
-    names = [f"f{k}" for k in range(words)]
-    often = rows.sparkSession.sparkContext.broadcast(frequent(rows, shingle))
+def _rank(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The place of each hash among the frequent ones, -1 where it isn't one."""
+    if not len(often[0]) or not len(hashes):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
+    return np.where(often[0][at] == hashes, often[1][at], -1)
+
+
+def prefix_length(n: Column, similarity: float) -> Column:
+    return n - F.ceil(similarity * n - 1e-9) + 1
+
+
+def sketch(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    """A bit for each residue of the hashes: whether an odd number of them has it."""
+    odd = np.bincount(((hashes >> np.uint64(7)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+FREQUENT = 1 << 62  # keys of frequent shingles; those of others, a count and a part of the hash, are below
+
+
+def set_prints(rows: DataFrame, shingle: int, words: int, similarity: float, often: np.ndarray | None = None) -> DataFrame:
+    """``rows``: id, node, text. (id, node, d0, d1, f0, ..., q0, ..., n, c, last) of each row; d0 and d1: a 128-bit digest of its set
+    of shingles; f0, ...: the fingerprint of the set, each shingle once; q0, ...: its sketch; n: their number; c: how many aren't
+    frequent; last: the keys of the frequent ones that the prefix reaches to."""
+    names = [f"f{k}" for k in range(words)] + [f"q{k}" for k in range(words)]
+    held = rows.sparkSession.sparkContext.broadcast(_ranks(np.zeros(0, np.uint64) if often is None else often))
 
     def run(batches):
         for batch in batches:
-            got, n, first = np.zeros((batch.num_rows, 2 + words), np.uint64), [], []
+            got, n, c, last = np.zeros((batch.num_rows, 2 + 2 * words), np.uint64), [], [], []
             for r, t in enumerate(batch.column(2).to_pylist()):
-                distinct = np.unique(shingle_hashes(t, shingle))
+                distinct = shingle_set(t, shingle)
                 got[r, :2] = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes(), SEED), np.uint64)
-                got[r, 2:] = fingerprint(distinct, words)
+                got[r, 2 : 2 + words] = fingerprint(distinct, words)
+                got[r, 2 + words :] = sketch(distinct, words)
+                rank = _rank(distinct, held.value)
+                rank = np.sort(rank[rank >= 0])
                 n.append(len(distinct))
-                first.append(prefix(distinct, often.value, similarity).tobytes())
+                c.append(len(distinct) - len(rank))
+                reach = len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1 - c[-1]
+                last.append((FREQUENT + rank[: max(0, reach)]).tobytes())
             got = got.view(np.int64)
-            columns = [batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(2 + words)), pa.array(n, pa.int64()), pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "at", "d0", "d1", *names, "n", "first"])
+            columns = [batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(2 + 2 * words)), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(last, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "d0", "d1", *names, "n", "c", "last"])
+
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, node long, d0 long, d1 long, " + ", ".join(f"{n} long" for n in names) + ", n long, c long, last binary")
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit numbers, all first ones, then all second ones: equal bytes stand together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
 
-    kinds = [f.dataType.simpleString() for f in rows.schema]
-    return rows.mapInArrow(run, f"id {kinds[0]}, at {kinds[1]}, d0 long, d1 long, " + ", ".join(f"{n} long" for n in names) + ", n long, first binary")
 
+TOKENS_A_TASK = 2_000_000
+TOKENS_A_BLOCK = 500_000
 
-def _pairs_of_segments(batches, query: bool):
+
+def shared_shingles(rows: DataFrame, shingle: int, often: np.ndarray, tokens: int) -> DataFrame:
+    """(node, key) of each shingle of ``rows`` (node, text) that several rows have and that isn't frequent, the key being its number
+    of rows and a part of its hash. ``tokens``: how many shingles there are about, which sets the number of tasks and bytes."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TOKENS_A_TASK))
+    width = min(7, max(5, -(-(tokens.bit_length() + 7) // 8)))  # of less than one in a hundred the rest of the hash is another's
+    held = spark.sparkContext.broadcast(_ranks(often))
+
+    def blocks(s: list, node: list, size: list):
+        h, of = np.concatenate(s), np.repeat(np.array(node, np.int64), size)
+        to = (h >> np.uint64(8)) % np.uint64(4 * parts)
+        order = np.argsort(to, kind="stable")
+        h, of, to = h[order], of[order], to[order].astype(np.int64)
+        ends = np.append(np.flatnonzero(np.diff(to)) + 1, len(to)).tolist()
+        begins = [0, *ends[:-1]]
+        low = h >> np.uint64(64 - 8 * width)
+        yield pa.RecordBatch.from_arrays([pa.array(to[begins].astype(np.int32)), pa.array([_planes(low[a:b], width) for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([_planes(of[a:b], 8) for a, b in zip(begins, ends, strict=True)], pa.binary())], ["part", "s", "nodes"])
+
+    def dealt(batches):
+        s, node, size, held_now = [], [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = shingle_set(t, shingle)
+                h = h[_rank(h, held.value) < 0]
+                if len(h):
+                    s.append(h)
+                    node.append(i)
+                    size.append(len(h))
+                    held_now += len(h)
+                if held_now >= TOKENS_A_BLOCK:
+                    yield from blocks(s, node, size)
+                    s, node, size, held_now = [], [], [], 0
+        if s:
+            yield from blocks(s, node, size)
+
+    def counted(batches):
+        s, node = [], []
+        for batch in batches:
+            s += [_unplaned(x, width) for x in batch.column(1).to_pylist()]
+            node += [_unplaned(x, 8) for x in batch.column(2).to_pylist()]
+        if not s:
+            return
+        s, node = np.concatenate(s), np.concatenate(node)
+        order = np.argsort(s, kind="stable")
+        s, node = s[order], node[order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.diff(np.append(first, len(s)))
+        some = np.repeat(n > 1, n)
+        key = (np.minimum(np.repeat(n, n)[some], (1 << (62 - 8 * width)) - 1).astype(np.int64) << (8 * width)) | s[some].astype(np.int64)
+        node = node[some].astype(np.int64)
+        order = np.argsort(node, kind="stable")  # rows of a node together take less room
+        for a in range(0, len(key), 100_000):
+            at = order[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(key[at])], ["node", "key"])
+
+    out = rows.select("node", "text").mapInArrow(dealt, "part int, s binary, nodes binary")
+    return out.repartition(parts, "part").mapInArrow(counted, "node long, key long")
+
+
+def prefixes(nodes: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """(s, node, n, i) of the shingles s in the prefixes of ``nodes`` (node, n, c, last) that other rows have, too; i: their place.
+    ``keys``: node, key of all that aren't frequent. What no other row has comes first."""
+    w = W.partitionBy("node")
+    place = F.col("c") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("key")) - 1
+    rare = keys.join(nodes.select("node", "n", "c"), "node").withColumn("i", place).where(F.col("i") < prefix_length(F.col("n"), similarity)).select(F.col("key").alias("s"), "node", "n", "i")
+
+    def run(batches):
+        for batch in batches:
+            last = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            size = [len(x) for x in last]
+            if sum(size):
+                node, n, c = (np.repeat(batch.column(k).to_numpy(), size) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(last), node, n, c + np.concatenate([np.arange(k) for k in size]))], ["s", "node", "n", "i"])
+
+    return rare.union(nodes.where("length(last) > 0").select("node", "n", "c", "last").mapInArrow(run, "s long, node long, n long, i long"))
+
+
+def _segment_keys(batches, query: bool):
     """(key, f, root) of rows (f, root)."""
     for batch in batches:
         f, root = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         seg = [((f >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS_64]
         each = [nearby(s) for s in seg] if query else [nearest(s)[:, None] for s in seg]
-        for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            a, b = each[i][:, :, None], each[j][:, None, :]
-            key = np.where((a < 0) | (b < 0), -1, (p << 24) | (a << 12) | b).reshape(len(f), -1)
-            at = np.nonzero(key >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].astype(np.int32)), pa.array(f[at[0]].view(np.int64)), pa.array(root[at[0]])], ["key", "f", "root"])
+        for family, (i, j) in enumerate(itertools.permutations(range(3), 2)):  # segment i without error, j with one at most
+            key = np.where(each[j] < 0, -1, (family << 36) | (seg[i][:, None] << 12) | each[j])
+            yield _keyed(key, f, root)
+        a, b = each[0][:, :, None], each[1][:, None, :]
+        both = np.where((a < 0) | (b < 0), -1, (a << 12) | b).reshape(len(f), -1)
+        for family, half in ((6, seg[2] & 1023), (7, seg[2] >> 10)):  # one error in each segment, so none in a half of the third
+            yield _keyed(np.where(both < 0, -1, (family << 36) | (half[:, None] << 24) | both), f, root)
+
+
+def _keyed(key: np.ndarray, f: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    at = np.nonzero(key >= 0)
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(f[at[0]].view(np.int64)), pa.array(root[at[0]])], ["key", "f", "root"])
 
 
 def _rows(rooted: DataFrame, query: bool) -> DataFrame:
-    return rooted.mapInArrow(lambda x: _pairs_of_segments(x, query), "key int, f long, root long")
+    return rooted.mapInArrow(lambda x: _segment_keys(x, query), "key long, f long, root long")
 
 
 def _spread(nodes: DataFrame) -> DataFrame:
@@ -237,14 +398,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """(id, fingerprint, component_id) of each row; links: fingerprints that differ in at most 3 bits."""
     rows = docs.select(F.col(id_col).alias("id"), F.lit(0).alias("at"), F.col(text_col).cast("string").alias("text"))
     p = materialize(prints(rows, shingle).select("id", "f0"), "simhash")
-    least = materialize(p.groupBy("f0").agg(F.min("id").alias("rep")), "simhash-nodes")
+    least = materialize(p.groupBy("f0").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     comp = components(connecting_within_3(least.select("f0")))
     comp = materialize(comp, "simhash-roots")
     linked = least.join(comp, least.f0 == comp.node).select("f0", "root", "rep")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("low"))
     named = linked.join(lowest, "root").select(F.col("f0").alias("node"), "low")
-    nodes = materialize(least.join(named, least.f0 == named.node, "left").select("f0", F.coalesce("low", "rep").alias("component_id")), "simhash-components")
-    return p.join(nodes, "f0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    several = least.join(named, least.f0 == named.node, "left").where("n > 1 OR low IS NOT NULL").select("f0", F.coalesce("low", "rep").alias("low"))
+    several = materialize(several, "simhash-components")  # all other rows are components of their own
+    return p.join(shared(several), "f0", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.coalesce("low", "id").alias("component_id"))
 
 
 #: Pairs of segments that make the keys: neighbours, which are enough for close copies.
@@ -284,20 +446,6 @@ def _measured(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "node").join(right, "hub").select("node", "hub", far.alias("far")).where(F.col("far") <= most)
 
 
-def _prefixes(nodes: DataFrame) -> DataFrame:
-    """(s, node, n, i) of each shingle s in the prefixes of ``nodes`` (node, n, first); i: its place."""
-
-    def run(batches):
-        for batch in batches:
-            first = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            size = [len(x) for x in first]
-            if sum(size):
-                columns = [np.concatenate(first), np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy(), size), np.concatenate([np.arange(k, dtype=np.int64) for k in size])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "node", "n", "i"])
-
-    return nodes.select("node", "n", "first").mapInArrow(run, "s long, node long, n long, i long")
-
-
 def _rooted(index: DataFrame, roots: DataFrame) -> DataFrame:
     """``index`` with root, that of the node's component or itself."""
     return index.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -321,20 +469,30 @@ def _sizes(similarity: float) -> Column:
 
 
 def _stars(index: DataFrame, similarity: float) -> DataFrame:
-    """(node, hub): the smallest node of each bucket with those of other components that look similar; of a component the hub that
-    a node meets most often."""
-    hub = index.groupBy("s").agg(F.min(F.struct("node", "root", F.col("n").alias("m"), F.col("i").alias("j"))).alias("hub")).select("s", F.col("hub.node").alias("hub"), F.col("hub.root").alias("other"), "hub.m", "hub.j")
+    """(node, hub): in each bucket the node whose prefix has the shingle first, with those of other components that look similar; of
+    a component the hub that a node meets most often."""
+    hub = index.groupBy("s").agg(F.min(F.struct(F.col("i").alias("j"), "node", "root", F.col("n").alias("m"))).alias("hub")).select("s", F.col("hub.node").alias("hub"), F.col("hub.root").alias("other"), "hub.m", "hub.j")
     met = index.join(hub, "s").where((F.col("root") != F.col("other")) & _sizes(similarity)).groupBy("node", "hub", "other", "n", "m").agg(F.count(F.lit(1)).alias("times"), F.max("i").alias("i"), F.max("j").alias("j"))
     return met.where(_may(similarity, "times", "i", "j")).groupBy("node", "other").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("node", "hub")
 
 
-def across(index: DataFrame, similarity: float) -> DataFrame:
+SKETCH = [f"q{k}" for k in range(WIDE_WORDS)]
+
+
+def across(index: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, hub): all pairs of nodes of different components that can have the similarity. In each bucket only the nodes of its
-    most frequent component aren't held against each other. ``index``: s, node, n, i, root."""
+    most frequent component aren't held against each other. ``index``: s, node, n, i, root, of the shingles that several
+    components have; ``nodes``: node, q0, ..."""
     most = index.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rows = materialize(index.join(most, "s").select("s", "node", "n", "i", "root", (F.col("root") == F.col("most")).alias("is_most")), "simhash-across")
-    other = rows.where("NOT is_most").select("s", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
-    pairs = rows.join(other, "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & _sizes(similarity))
+    rows = index.join(most, "s").select("s", "node", "n", "i", "root", (F.col("root") == F.col("most")).alias("is_most"))
+    # Of the prefix, what isn't in the index is in no set of another component: at most ``can`` shingles are shared with one.
+    can = index.groupBy("node").agg((F.first("n") - prefix_length(F.first("n"), similarity) + F.count(F.lit(1))).alias("can")).where("can > 0")
+    rows = materialize(rows.join(can, "node").join(nodes.select("node", *SKETCH), "node"), "simhash-across")
+    other = rows.where("NOT is_most").select("s", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"), F.col("can").alias("can2"), *(F.col(q).alias(f"o{q}") for q in SKETCH))
+    least = similarity / (1 + similarity) * (F.col("n") + F.col("m"))  # shingles that a pair of this similarity shares
+    differ: Column = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f"o{q}"))) for q in SKETCH), F.lit(0))
+    likely = _sizes(similarity) & (F.least("can", "can2") + 1e-6 >= least) & (differ <= F.col("n") + F.col("m") - 2 * least + 1e-6)
+    pairs = rows.join(other, "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & likely)
     low = F.col("node") < F.col("hub")
     either = lambda a, b, name: F.when(low, F.col(a)).otherwise(F.col(b)).alias(name)
     pairs = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"), either("n", "m", "n"), either("m", "n", "m"), either("i", "j", "i"), either("j", "i", "j"))
@@ -342,9 +500,9 @@ def across(index: DataFrame, similarity: float) -> DataFrame:
     return met.where(_may(similarity, "times", "i", "j")).select("node", "hub")
 
 
-def similar(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that verified links connect. ``nodes``: node, f0, f1, ..., n, first; ``texts_of``: (node, text)
-    of the nodes in a table's column node.
+def similar(nodes: DataFrame, index: Callable[[], DataFrame], texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that verified links connect. ``nodes``: node, f0, ..., q0, ..., n; ``index``: gives s, node, n, i of
+    the shared shingles of their prefixes; ``texts_of``: (node, text) of the nodes in a table's column node.
 
     First the keys of neighbouring segments: in each bucket a star around the smallest node, of which each node verifies its
     closest; this gathers even a large group of copies with a link for each. Then the prefixes: stars again, and at last all
@@ -361,11 +519,14 @@ def similar(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingl
     links = checked(star.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")))
     roots = materialize(components(links), "simhash-roots")
 
-    mixed = materialize(_mixed(_rooted(_prefixes(nodes), shared(roots))), "simhash-mixed")
-    index = materialize(_prefixes(nodes).join(shared(mixed), "s"), "simhash-index")
-    links = links.union(checked(_stars(_rooted(index, shared(roots)), similarity)))
+    def mixed(rows: DataFrame) -> DataFrame:
+        rooted = _rooted(rows, shared(roots))
+        return rooted.join(shared(materialize(_mixed(rooted), "simhash-mixed")), "s", "left_semi")
+
+    rows = materialize(mixed(index()).drop("root"), "simhash-index")
+    links = links.union(checked(_stars(_rooted(rows, shared(roots)), similarity)))
     roots = materialize(components(links), "simhash-roots")
-    return components(links.union(checked(across(_rooted(index, shared(roots)), similarity))))
+    return components(links.union(checked(across(mixed(rows), nodes, similarity))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -373,7 +534,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     def sets(batches):
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
 
     def alike(batches):
@@ -392,22 +553,29 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The row with the smallest identifier of each group of near copies, with all columns of ``docs``."""
-    rows = located(docs)
-    names = [f"f{k}" for k in range(WIDE_WORDS)]
+    at = unused(docs, "__at")
+    rows = located(docs, at)
+    # A row's node is a number of its file and its place there, so it is the same in every pass.
+    files = materialize(row_numbers(rows.select(F.col(f"{at}.file").alias("file")).distinct(), "file", name="k"), "simhash-files")
     text = F.col(text_col).cast("string").alias("text")
-    p = set_prints(rows.select(F.col(id_col).alias("id"), F.col("__at").alias("at"), text), shingle, WIDE_WORDS, similarity)
-    p = materialize(p.withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    src = rows.select(F.col(id_col).alias("id"), F.col(at).alias("at"), text).join(shared(files, 2_000_000), F.col("at.file") == F.col("file"))
+    src = src.select("id", (F.shiftleft("k", 40) + F.col("at.row")).alias("node"), "text")
+    often = frequent(src.select("node", "text"), shingle)
+    p = materialize(set_prints(src, shingle, WIDE_WORDS, similarity, often), "simhash-wide")
     least = materialize(p.groupBy("d0", "d1").agg(F.min("node").alias("node")), "simhash-nodes")  # a node is a set of shingles
-    nodes = materialize(p.select("node", "at", *names, "n", "first").join(least.select("node"), "node", "left_semi"), "simhash-nodes")
+    nodes = materialize(p.drop("id", "d0", "d1").join(least.select("node"), "node", "left_semi"), "simhash-nodes")
+
+    def index() -> DataFrame:
+        tokens = p.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        return materialize(prefixes(nodes, shared_shingles(src, shingle, often, tokens), similarity), "simhash-prefixes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        some = materialize(nodes.select("node", "at").join(wanted, "node", "left_semi"), "simhash-wanted")
-        return rows.select(F.col("__at").alias("at"), text).join(shared(some), "at").select("node", "text")
+        return src.join(shared(materialize(wanted, "simhash-wanted")), "node", "left_semi").select("node", "text")
 
-    roots = materialize(similar(nodes.drop("at"), texts_of, shingle, similarity), "simhash-roots")
+    roots = materialize(similar(nodes, index, texts_of, shingle, similarity), "simhash-roots")
     named = least.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
-    grouped = p.select("id", "at", "d0", "d1").join(named, ["d0", "d1"]).select("id", "at", "root")
-    grouped = materialize(grouped, "simhash-grouped")
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.at").alias("keep"))
-    gone = materialize(grouped.join(materialize(first, "simhash-first"), "root").where(F.col("at") != F.col("keep")).select(F.col("at").alias("__at")), "simhash-gone")
-    return rows.join(shared(gone), "__at", "left_anti").drop("__at")
+    grouped = materialize(p.select("id", "node", "d0", "d1").join(named, ["d0", "d1"]).select("id", "node", "root"), "simhash-grouped")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.node").alias("keep"))
+    gone = grouped.join(shared(materialize(first, "simhash-first")), "root").where(F.col("node") != F.col("keep"))
+    gone = gone.join(shared(files, 2_000_000), F.shiftrightunsigned("node", 40) == F.col("k")).select(F.struct("file", F.col("node").bitwiseAND(F.lit((1 << 40) - 1)).alias("row")).alias(at))
+    return rows.join(shared(materialize(gone, "simhash-gone")), at, "left_anti").drop(at)

@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from netquill.llm import exact_stream, graph, simhash_golay
+from netquill.llm import exact_stream, simhash_golay
+from netquill.operators.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -41,6 +42,40 @@ def test_exact_state_is_on_disk_and_plans_native(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == 8
 
 
+def multiplied(spark, tmp_path, name="__at"):
+    """Rows that a scan multiplies in different ways, each twice, with a column of the locator's name."""
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(k, f"text number {k % 3} with five words and more", k) for k in range(4)], f"doc_id long, text string, {name} long").write.parquet(path)
+    d = spark.read.parquet(path)
+    return [d.crossJoin(spark.range(2)), d.withColumn("e", F.explode(F.array(F.lit(1), F.lit(2)))), d.union(d), spark.read.parquet(path, path), d.withColumn("_metadata", F.lit("mine")).union(d.withColumn("_metadata", F.lit("x")))]
+
+
+def test_rows_of_joins_generators_and_unions_are_rows_of_their_own(spark, tmp_path):
+    for many in multiplied(spark, tmp_path):
+        assert many.count() == 8
+        got = exact_stream.report(many).collect()
+        assert len(got) == 8 and sum(r["kept"] for r in got) == 3
+        assert sorted(r["group_size"] for r in got) == [2, 2, 2, 2, 4, 4, 4, 4]
+        for drop in (exact_stream.drop_copies, simhash_golay.drop_near_copies):
+            kept = drop(many)
+            assert kept.columns == many.columns and kept.count() == 3
+
+
+def test_a_plain_scan_is_located_where_it_is(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    spark.range(10).write.parquet(path)
+    d = spark.read.parquet(path)
+    assert exact_stream._one_scan(d.where("id > 3").select("id")) and not exact_stream._one_scan(d.limit(3)) and not exact_stream._one_scan(d.distinct())
+    assert exact_stream.located(d.where("id > 3"), "here").select("here").distinct().count() == 6
+
+
+def test_texts_of_single_rows_are_not_moved(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(k, f"text {k // 2 if k < 6 else k}") for k in range(50)], "doc_id long, text string").write.parquet(path)
+    got = exact_stream.report(spark.read.parquet(path))
+    assert got.where("group_size = 2").count() == 6 and got.where("kept").count() == 47
+
+
 # --- Golay code and links
 
 
@@ -91,7 +126,7 @@ def test_connecting_links_connect_the_same(spark):
     some = simhash_golay.connecting_within_3(nodes)
     edges = some.collect()
     assert all((e["a"] ^ e["b"]).bit_count() <= 3 for e in edges)
-    roots = lambda d: sorted(map(tuple, graph.components(d).collect()))
+    roots = lambda d: sorted(map(tuple, components(d).collect()))
     every = simhash_golay.links_within_3(nodes)
     assert roots(some) == roots(every)
     assert len(edges) < every.count() / 4
@@ -111,7 +146,7 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
 
 
@@ -219,7 +254,7 @@ def test_wide_fingerprints_take_each_shingle_once(spark):
     rnd = random.Random(41)
     own, line = " ".join(f"w{rnd.randrange(10**9)}" for _ in range(1000)), " ".join(f" l{k}" for k in range(9))
     docs = [(k, f"{own} {' '.join([line] * times)}") for k, times in enumerate((1, 30, 100, 200))]
-    rows = spark.createDataFrame([(i, i, t) for i, t in docs], "id long, at long, text string")
+    rows = spark.createDataFrame([(i, i, t) for i, t in docs], "id long, node long, text string")
     words = [f"f{k}" for k in range(simhash_golay.WIDE_WORDS)]
     f = [[r[w] for w in words] for r in simhash_golay.set_prints(rows, 5, len(words), 0.8).orderBy("id").collect()]
     far = [sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(f[0], x, strict=True)) for x in f[1:]]
@@ -228,6 +263,47 @@ def test_wide_fingerprints_take_each_shingle_once(spark):
     assert [r["doc_id"] for r in got.collect()] == [0]
 
 
+def banded(seed=51, families=170, size=14):
+    """Families in which pairs of all similarities from 0.5 up occur."""
+    rnd, docs = random.Random(seed), []
+    for g in range(families):
+        base = [f"g{g}w{k}" for k in range(400)]
+        for _ in range(size):
+            w = list(base)
+            for at in rnd.sample(range(400), rnd.randrange(8)):
+                w[at] = f"x{rnd.randrange(10**9)}"
+            docs.append(" ".join(w))
+    return list(enumerate(docs))
+
+
+def linked_pairs(docs):
+    sets = {i: {*zip(*(t.split()[k:] for k in range(5)), strict=False)} for i, t in docs}
+    return [(i, j, s) for i in sets for j in sets if i < j and i // 14 == j // 14 and (s := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.8]
+
+
+@pytest.mark.parametrize("saturated", [False, True])
+def test_recall_in_bands_of_similarity(spark, monkeypatch, saturated):
+    """Every pair is in one group, in each band of similarity; also if all documents share every key of close copies."""
+    docs = banded()
+    pairs = linked_pairs(docs)
+    if saturated:
+        monkeypatch.setattr(simhash_golay, "_keys", lambda nodes, chosen: nodes.select(F.lit(1).cast("long").alias("key"), "node"))
+    left = {r["doc_id"] for r in simhash_golay.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    bands = [sum(lo <= s < lo + 0.05 for *_, s in pairs) for lo in (0.8, 0.85, 0.9, 0.95)]
+    assert min(bands) > 1000
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j, _ in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    assert sorted(left) == sorted({find(i) for i in root})  # which pairs are linked decides which documents stay, so none is missed
+
+
 def test_near_copies_odd_rows(odd, empty):
     got = simhash_golay.drop_near_copies(odd)
     ids = sorted((r["doc_id"] for r in got.collect()), key=str)
