@@ -28,7 +28,8 @@ def shared(table: DataFrame, most_rows: int = 200_000) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = 256) -> None:
-    """Ship the package to the workers and bound what one Arrow batch of long texts can hold."""
+    """Ship the package to the workers, and set the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``rows`` unless
+    it is less already: Python holds the texts of a batch and what is made of them, and rows may be long."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))

@@ -69,39 +69,48 @@ def loaded(path: str) -> Encoder:
 
 
 class Packer:
-    """Packs one task's documents. ``out`` collects (doc, start, length, crc, doc tokens, sequence, offset)."""
+    """Packs one task's documents. ``out`` collects (doc, start, length, crc, doc tokens, sequence, offset). A piece is (doc, its
+    identifiers, where they start in the document, the document's tokens); what is buffered holds no more than its own."""
 
     def __init__(self, tokens: int, segments: int, loss: int, first_id: int):
         self.limit = np.array([tokens, segments, loss], np.int64)
         self.next, self.out = first_id, []
         self.size = np.zeros((2 * BUFFER, 3), np.int64)
-        self.held: list = []  # (doc, ids, start, loss_from) of each buffered remainder
+        self.held: list = []  # (piece, loss_from) of each buffered remainder
 
     def add(self, doc, ids: np.ndarray, loss_from: int) -> None:
         step = int(min(self.limit[0], self.limit[2]))  # a piece of so many tokens is within both limits
         full = len(ids) - len(ids) % step
         for at in range(0, full, step):
+            piece = (doc, ids[at : at + step], at, len(ids))
             if step == self.limit[0]:
-                self._emit([(doc, ids, at, at + step)])
+                self._emit([piece])
             else:
-                self._hold(doc, ids, at, at + step, loss_from)
+                self._hold(piece, loss_from)
         if full < len(ids):
-            self._hold(doc, ids, full, len(ids), loss_from)
+            self._hold((doc, ids[full:], full, len(ids)), loss_from)
         if len(self.held) >= BUFFER:
             self.pack(BUFFER // 2)
 
-    def _hold(self, doc, ids, start: int, stop: int, loss_from: int) -> None:
+    @staticmethod
+    def _size(piece, loss_from: int) -> tuple[int, int, int]:
+        _, ids, start, _ = piece
+        return len(ids), 1, max(0, start + len(ids) - max(start, loss_from))
+
+    def _hold(self, piece, loss_from: int) -> None:
+        doc, ids, start, total = piece
+        piece = (doc, ids.copy(), start, total)  # not the whole document's
         if len(self.held) == len(self.size):
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.size[len(self.held)] = (stop - start, 1, max(0, stop - max(start, loss_from)))
-        self.held.append((doc, ids, start, stop, loss_from))
+        self.size[len(self.held)] = self._size(piece, loss_from)
+        self.held.append((piece, loss_from))
 
     def _take(self, i: int):
         got, last = self.held[i], self.held.pop()
         if i < len(self.held):
             self.held[i] = last
             self.size[i] = self.size[len(self.held)]
-        return got
+        return got[0]
 
     def pack(self, leave: int) -> None:
         weight = 1.0 / self.limit
@@ -115,43 +124,44 @@ class Packer:
                 if value[i] < 0:
                     break
                 free -= self.size[i]
-                pieces.append(self._take(i)[:4])
+                pieces.append(self._take(i))
             if self.held and free[0] and free[1] and free[2]:  # nothing fits: cut the largest
                 i = int(self.size[: len(self.held), 0].argmax())
                 n = int(min(free[0], free[2], self.size[i, 0] - 1))
-                doc, ids, start, stop, loss_from = self.held[i]
+                (doc, ids, start, total), loss_from = self.held[i]
                 if n > 0:
-                    pieces.append((doc, ids, start, start + n))
-                    self.held[i] = (doc, ids, start + n, stop, loss_from)
-                    self.size[i] = (stop - start - n, 1, max(0, stop - max(start + n, loss_from)))
+                    pieces.append((doc, ids[:n], start, total))
+                    rest = (doc, ids[n:], start + n, total)
+                    self.held[i], self.size[i] = (rest, loss_from), self._size(rest, loss_from)
             self._emit(pieces)
 
     def finish(self) -> None:
         self.pack(0)
 
     def _emit(self, pieces: list) -> None:
-        total = sum(stop - start for _, _, start, stop in pieces)
+        total = sum(len(ids) for _, ids, _, _ in pieces)
         if total < self.limit[0] and not self.held and total & (total - 1):  # the last one: cut at powers of two
             room, part = 1 << (total.bit_length() - 1), []
-            for k, (doc, ids, start, stop) in enumerate(pieces):
-                n = min(room, stop - start)
-                part.append((doc, ids, start, start + n))
+            for k, (doc, ids, start, n_doc) in enumerate(pieces):
+                n = min(room, len(ids))
+                part.append((doc, ids[:n], start, n_doc))
                 room -= n
                 if not room:
-                    rest = ([(doc, ids, start + n, stop)] if start + n < stop else []) + pieces[k + 1 :]
+                    rest = ([(doc, ids[n:], start + n, n_doc)] if n < len(ids) else []) + pieces[k + 1 :]
                     break
             self._emit(part)
             return self._emit(rest)
         offset = 0
-        for doc, ids, start, stop in pieces:
-            self.out.append((doc, start, stop - start, zlib.crc32(ids[start:stop].astype("<u4").tobytes()), len(ids), self.next, offset))
-            offset += stop - start
+        for doc, ids, start, n_doc in pieces:
+            self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n_doc, self.next, offset))
+            offset += len(ids)
         self.next += 1
         return None
 
 
 def pack(df: DataFrame, tokenizer: str, tokens: int = 1024, segments: int = 128, loss: int | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", loss_from: str | None = None) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece. ``segments``: pieces a sequence may
+    hold; where texts are shorter than ``tokens`` / ``segments`` on average this limit, and not the tokens, ends sequences."""
     if min(tokens, segments, loss or tokens) < 1:
         raise ValueError("limits must be positive")
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.greatest(F.lit(0), F.coalesce(F.col(loss_from).cast("long"), F.lit(0))).alias("__from") if loss_from else F.lit(0).alias("__from"))

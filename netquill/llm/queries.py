@@ -57,7 +57,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), segments=1024)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

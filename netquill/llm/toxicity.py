@@ -4,12 +4,13 @@ Features are hashed character n-grams (3 to 6 characters, inside blank-padded wo
 Over labelled texts each gets the log-count ratio ``r`` of its smoothed share among toxic and clean texts;
 those whose ratio is significant (|r| at least ``min_z`` standard errors) become columns valued ``r``, and a
 logistic regression over them gives the score. All counting is distributed; what reaches the driver is
-bounded by ``max_features`` and by ``max_rows``, the documented bound on the labelled rows that train.
+bounded by ``max_features``, by ``max_rows``, the documented bound on the labelled rows that train, and by
+``max_columns``, the most columns that one of them trains with (those of the largest ratios).
 
 Cases: a null or empty text has no n-gram and gets the score of the intercept; without labelled rows of both
 classes the score is the smoothed base rate (0 without any); texts of any length are read whole; repeated
 rows each return a row; labelled rows with a null label, identifier or text are not learned from (a document
-labelled both ways counts once for each label); an empty table returns an empty table; only the named
+labelled both ways counts once for each label, rows of one identifier once, with the smallest of their texts); an empty table returns an empty table; only the named
 columns are read.
 """
 
@@ -89,7 +90,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarra
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_features: int = 20_000, min_z: float = 4.0, alpha: float = 1.0, l2: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_features: int = 20_000, max_columns: int = 4_000, min_z: float = 4.0, alpha: float = 1.0, l2: float = 1e-3) -> Model:
     """Fit on at most about ``max_rows`` labelled rows, chosen by a hash of their identifier. ``keep``: which rows of
     ``labels`` may be learned from."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -102,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col
             found = [np.unique(buckets(t)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "ids"])
 
-    sample = texts.join(F.broadcast(lab), "__id").select("__y", "__text")  # max_rows bounds the broadcast side
+    sample = texts.join(F.broadcast(lab), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).select("__y", "__text")  # max_rows bounds the broadcast side
     sample = materialize(sample.mapInArrow(features, "y int, ids binary"), "toxic-sample")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
@@ -136,7 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col
                 b = np.frombuffer(b, "<i4")
                 at = np.searchsorted(ids, b)
                 at[at == len(ids)] = 0
-                found.append(at[ids[at] == b].astype("<i4").tobytes() if len(ids) else b"")
+                at = at[ids[at] == b] if len(ids) else at[:0]
+                if len(at) > max_columns:
+                    at = np.sort(at[np.argsort(-np.abs(r[at]), kind="stable")[:max_columns]])
+                found.append(at.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "cols"])
 
     got = sample.mapInArrow(columns, "y int, cols binary").collect()  # at most max_rows rows

@@ -2,13 +2,14 @@
 
 A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins. The hosts
 of pages that rules allow are trusted seeds and those of pages that rules block are blocked seeds, each weighted
-by the share of the host's pages. Personalised PageRank carries trust along host edges (a link to another host
+by the share of the host's pages. Personalised PageRank (its sum over walks of every length, not scaled by 1 - damping) carries trust along host edges (a link to another host
 passes its host's trust on, divided among its links) and distrust against them (who links to a blocked host is
 distrusted); an isolated seed whose pages all match has the value 1. Pages without a rule are blocked if their
 host's distrust exceeds its trust by ``threshold``.
 
 Links are the absolute and protocol-relative ones in href attributes; links within a host count for nothing. Ranks
-are a table of hosts; each round is an aggregate and joins, written to the shared folder.
+are a table of hosts; each round is an aggregate and joins, written to the shared folder, and adds the walks that are
+a link longer, until these add less than a tolerance to any host.
 
 Cases: a null url or one without ``://`` has an empty host and path and fits no rule and is allowed; a null page has
 no links; repeated rows count as pages each; an empty table gives an empty table; only the named columns are read.
@@ -20,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquill.llm.common import ascii_lower, materialize
+from netquill.plans.checkpoint import free
 
 # The rules, as (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>]+)"""
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 100, 0.5, 1e-4
 BROADCAST_HOSTS = 100_000
 
 
@@ -55,8 +57,9 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranks(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds. seeds: host, trust, distrust; edges: src, dst, n."""
+def ranks(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust): the seeds' weights and what reaches a host from them, round by round, until no host gets
+    ``tolerance`` or ``rounds`` are over. seeds: host, trust, distrust; edges: src, dst, n."""
     edges = materialize(edges, "host-edges")
     if edges.isEmpty():
         return seeds
@@ -64,12 +67,17 @@ def ranks(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     into = edges.groupBy("dst").agg(F.sum("n").alias("i"))
     edges = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("o")).alias("forth"), (F.col("n") / F.col("i")).alias("back")), "host-edges")
     seeds = materialize(seeds, "host-seeds")
-    now = seeds
+    now = total = seeds
     for _ in range(rounds):
         forth = edges.join(now.where("trust > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("forth") * F.col("trust") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
         back = edges.join(now.where("distrust > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"))
-        now = materialize(seeds.union(forth).union(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-ranks")
-    return now
+        both = lambda d: d.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        now = materialize(both(forth.union(back)), "host-ranks")
+        before, total = total, materialize(both(total.union(now)), "host-ranks")
+        free(before)
+        if (now.agg(F.max(F.greatest("trust", "distrust"))).first()[0] or 0.0) < tolerance:
+            break
+    return total
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -86,7 +94,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the same rows, with a common table expression for each round."""
+    """DuckDB SQL for the same rows; the walks from the seeds by recursion, all rounds without a tolerance."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     order = sorted(RULES, key=lambda r: -(len(r[1]) + len(r[2])))
 
@@ -94,23 +102,17 @@ def oracle_sql() -> str:
         return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{what(v, h, p)}'" for v, h, p in order) + " END"
 
     href = HREF.replace("'", "''")
-    sql = f"""
-WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{upper}', '{lower}') AS host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages),
+    return f"""
+WITH RECURSIVE u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{upper}', '{lower}') AS host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages),
 r AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM u),
 s AS (SELECT host, avg((coalesce(ruled, '') = 'allow')::INT) AS trust, avg((coalesce(ruled, '') = 'block')::INT) AS distrust FROM r WHERE host <> '' GROUP BY host),
 l AS (SELECT host AS src, unnest(list_distinct([translate(regexp_extract(x, '//(.*)$', 1), '{upper}', '{lower}') FOR x IN regexp_extract_all(coalesce(html, ''), '{href}', 1)])) AS dst FROM u),
 e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 w AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM e),
-r0 AS (SELECT * FROM s)"""
-    for k in range(ROUNDS):
-        sql += f""",
-r{k + 1} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT * FROM s
-  UNION ALL SELECT dst, {DAMPING} * forth * trust, 0 FROM w JOIN r{k} ON src = host
-  UNION ALL SELECT src, 0, {DAMPING} * back * distrust FROM w JOIN r{k} ON dst = host) GROUP BY host)"""
-    return (
-        sql
-        + f"""
+a AS (SELECT src AS at, dst AS host, {DAMPING} * forth AS forth, 0.0::DOUBLE AS back FROM w UNION ALL SELECT dst, src, 0, {DAMPING} * back FROM w),
+p AS (SELECT 0 AS k, host, trust, distrust FROM s
+  UNION ALL SELECT k + 1, a.host, sum(forth * trust), sum(back * distrust) FROM p JOIN a ON a.at = p.host WHERE k < {ROUNDS} GROUP BY k, a.host),
+f AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM p GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN f.distrust - f.trust >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM r LEFT JOIN r{ROUNDS} f ON r.host = f.host
+FROM r LEFT JOIN f ON r.host = f.host
 """
-    )

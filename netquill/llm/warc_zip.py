@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm.common import materialize, scratch
+from netquill.llm.common import materialize, scratch, shared
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"
@@ -194,12 +194,12 @@ def records_of(uri: str) -> Iterator[dict]:
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Write the rows' records to packages in the shared folder; (path, records, bytes) of each package."""
+    """Write the rows' records to packages in the shared folder; (path, records, bytes, id_kind) of each package."""
     spark = pages.sparkSession
     p = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     twice = p.where(F.col("size") >= least).groupBy("digest").agg(F.min("page").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep")
-    p = p.join(twice, "digest", "left").select("page", "url", "payload", "digest", F.when(~F.col("page").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers"))
+    p = p.join(shared(materialize(twice, "warc-twice")), "digest", "left").select("page", "url", "payload", "digest", F.when(~F.col("page").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers"))
     to = scratch(spark, "warc")
 
     def run(batches):
@@ -216,17 +216,22 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         if package is not None:
             yield _manifest([package.close()])
 
-    return materialize(p.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    whole = pages.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    return materialize(p.mapInArrow(run, "path string, records long, bytes long").withColumn("id_kind", F.lit("long" if whole else "string")), "warc-manifest")
 
 
 def _manifest(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["path", "records", "bytes"])
 
 
-def read(spark: SparkSession, manifest: DataFrame, id_kind: str = "long", id_col: str = "page_id") -> DataFrame:
+def read(spark: SparkSession, manifest: DataFrame, id_kind: str | None = None, id_col: str = "page_id") -> DataFrame:
     """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record; the digest of a response is
-    computed from what was read and must be that of its header. ``manifest``: has a column path."""
-    kind = pa.int64() if id_kind in ("long", "bigint", "int") else pa.string()
+    computed from what was read and must be that of its header. ``manifest``: has a column path and, unless ``id_kind`` (long or
+    string) is given, one that says which identifiers are."""
+    if id_kind is None:
+        first = manifest.select("id_kind").first()
+        id_kind = first[0] if first else "long"
+    kind = pa.int64() if id_kind == "long" else pa.string()
 
     def batch_of(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * 7

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netquill.llm import decontam, queries, simhash_golay, toxicity
+from netquill.llm import decontam, queries, toxicity
 from netquill.llm.common import materialize, prepare, table
 
 SF = "/root/testdata/sf0.001"
@@ -56,10 +56,30 @@ def test_pipeline(spark):
             want = toxicity.score(before, model).where("predicted = 1").select("doc_id")
             assert sorted(gone.collect()) == sorted(want.collect())
         if name == "exact_dedup":
-            low = F.lower(F.coalesce("text", F.lit("")))
-            assert after.select(low).distinct().count() == after.count() or after.select("text").distinct().count() == after.count()
+            norm = {r["doc_id"]: (r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for r in before.collect()}
+            last = {}
+            for i in sorted(norm):
+                last[norm[i]] = i
+            assert sorted(r["doc_id"] for r in after.collect()) == sorted(last.values())
         if name == "simhash_near_dedup":
-            assert sorted(simhash_golay.drop_near_copies(before).select("doc_id").collect()) == sorted(after.select("doc_id").collect())
+            docs_ = [(r["doc_id"], r["text"] or "") for r in before.collect()]
+            sets = {}
+            for i, text in docs_:
+                words = text.encode().lower().split()
+                sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+            root = {i: i for i in sets}
+
+            def find(x, root=root):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i in sets:
+                for j in sets:
+                    if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                        a, b = find(i), find(j)
+                        root[max(a, b)] = min(a, b)
+            assert sorted(r["doc_id"] for r in after.collect()) == sorted({find(i) for i in sets})
         if name == "benchmark_decontamination":
             hit = decontam.hits(before, table(spark, SF, "benchmark")).select("doc_id").distinct()
             assert sorted(gone.collect()) == sorted(hit.collect())

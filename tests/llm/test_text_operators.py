@@ -1,7 +1,9 @@
 """Language, tokens, toxicity, licenses: against libraries, brute force and held-out rows."""
 
+import itertools
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -78,7 +80,56 @@ def test_language_mixture(spark):
     assert lang == "en" and 0.5 < score < 0.85  # about two thirds
     (lang,), (score,) = langid.infer(model, [" ".join(words["fr"] * 5)])
     assert lang == "fr" and score == 1.0  # one language: the penalty keeps the set small
-    assert langid.infer(model, [mixed], max_langs=1)[1][0] == 1.0
+
+
+def likelihoods(seed, k=4):
+    """Words of one document: their likelihood in each language relative to the best, and the cost of a further language."""
+    rng = np.random.default_rng(seed)
+    n, mix = int(rng.integers(1, 200)), rng.dirichlet([0.2] * k)
+    ll = -rng.gamma(2, 3, size=(n, k))
+    ll[np.arange(n), rng.choice(k, size=n, p=mix)] += rng.gamma(2, 3, size=n)
+    return np.exp(ll - ll.max(1)[:, None]).T, 2 * np.log(max(n, 2))
+
+
+def plain_em(like, langs, rounds=3000):
+    pi, course = np.ones(len(langs)) / len(langs), []
+    for _ in range(rounds):
+        r = like[langs] * pi[:, None]
+        course.append(np.log(r.sum(0)).sum())
+        pi = (r / r.sum(0)).mean(1)
+    return pi, course
+
+
+def test_mixtures_against_all_sets_of_languages():
+    for seed in range(60):
+        like, cost = likelihoods(seed)
+        every = [list(s) for size in range(1, 5) for s in itertools.combinations(range(4), size)]
+        best = max(every, key=lambda s: plain_em(like, s)[1][-1] - (len(s) - 1) * cost)
+        pi, course = plain_em(like, best)
+        got, value = langid.mixtures(like, np.zeros(like.shape[1], int), 1, np.array([cost]))
+        assert value[0] == pytest.approx(course[-1] - (len(best) - 1) * cost, abs=0.05)
+        assert np.diff(course).min(initial=0) > -1e-9  # the likelihood that the rounds raise is the one that is penalised
+        assert np.flatnonzero(got[0] > 1e-6).tolist() == [x for x, p in zip(best, pi, strict=True) if p > 1e-6] or value[0] >= course[-1] - (len(best) - 1) * cost - 1e-3
+
+
+def test_likelihood_rises_and_the_bound_holds():
+    for seed in range(20):
+        like, _ = likelihoods(seed)
+        doc, all_ = np.zeros(like.shape[1], int), np.ones((1, 4))
+        course = [langid._em(like, doc, 1, all_, tolerance=0.0, rounds=r) for r in (0, 1, 2, 5, 20, 400)]
+        lls, bounds = [c[1][0] for c in course], [c[2][0] for c in course]
+        assert all(b >= a - 1e-9 for a, b in zip(lls, lls[1:], strict=False))
+        assert min(bounds) >= lls[-1] - 1e-9
+
+
+def test_four_languages_in_one_text(spark):
+    docs, words = corpus(spark)
+    es = "el los las una para con por como pero sus más está también".split()
+    model = langid.train(docs.union(spark.createDataFrame([(1000 + k, " ".join(random.Random(k).choices(es, k=30)), "es") for k in range(80)], docs.schema)))
+    logp, (grams, starts) = model.logp, langid.trigrams(langid.normalise(" ".join(w for x in (words["en"], words["de"], words["fr"], es) for w in x * 9)))
+    ll = np.add.reduceat(logp[grams], starts, axis=0).astype(float)
+    pi, _ = langid.mixtures(np.exp(ll - ll.max(1)[:, None]).T, np.zeros(len(ll), int), 1, np.array([2 * np.log(len(ll))]))
+    assert (pi[0] > 0.1).all()
 
 
 def test_language_odd_rows(spark, odd, empty):
@@ -148,6 +199,52 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert {r["predicted"] for r in toxicity.score(odd, one).collect()} == {0}
 
 
+def plain_scores(docs, labels, texts, alpha=1.0, min_z=4.0, l2=1e-3):
+    """The same classifier from strings, dictionaries and dense matrices."""
+
+    def grams(text):
+        import regex
+
+        padded = f" {regex.sub(r'[^\p{L}\p{M}\p{N}]+', ' ', (text or '').lower())} ".replace("  ", " ") if text else ""
+        return {padded[i : i + n] for n in (3, 4, 5, 6) for i in range(len(padded) - n + 1) if " " not in padded[i + 1 : i + n - 1]}
+
+    y = np.array([labels[i] for i, _ in docs], float)
+    sets = [grams(t) for _, t in docs]
+    seen = {g: (sum(g in s for s, t in zip(sets, y, strict=True) if t), sum(g in s for s, t in zip(sets, y, strict=True) if not t)) for g in set().union(*sets)}
+    r = {}
+    for g, (p, q) in seen.items():
+        x = np.log((p + alpha) / (y.sum() + alpha)) - np.log((q + alpha) / ((1 - y).sum() + alpha))
+        if p + q >= 2 and abs(x) / np.sqrt(1 / (p + alpha) + 1 / (q + alpha)) >= min_z:
+            r[g] = x
+    columns = sorted(r)
+    matrix = lambda rows: np.array([[r[g] if g in s else 0.0 for g in columns] for s in rows])
+    x, w, b = matrix(sets), np.zeros(len(columns)), 0.0
+    for _ in range(20_000):
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        step = 1 / (0.25 * ((x**2).sum(1).max() + 1) + l2)
+        w, b = w - step * (x.T @ g + l2 * w), b - step * g.sum()
+    return 1 / (1 + np.exp(-(matrix([grams(t) for t in texts]) @ w + b)))
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels = labelled(spark, 150)
+    model = toxicity.train(docs, labels)
+    got = by_id(toxicity.score(docs, model), "score")
+    rows, of = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()], {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    want = plain_scores(rows, of, [t for _, t in rows])
+    assert [got[i][0] for i, _ in rows] == pytest.approx(list(want), abs=0.02)
+
+
+def test_toxicity_repeated_identifiers_and_wide_rows(spark):
+    docs, labels = labelled(spark)
+    many = docs.union(docs.where("doc_id = 5").crossJoin(spark.range(200)).select("doc_id", "text"))
+    a, b = toxicity.train(docs, labels), toxicity.train(many, labels)
+    assert a.ids.tolist() == b.ids.tolist() and a.weights.tolist() == pytest.approx(b.weights.tolist(), abs=1e-5)
+    few = toxicity.train(docs, labels, max_columns=5)
+    got = toxicity.score(docs, few).join(labels, "doc_id")
+    assert got.where("predicted != toxic").count() < 5
+
+
 # --- licenses
 
 
@@ -157,7 +254,7 @@ def brute_licenses(text, templates, threshold=license_scan.THRESHOLD):
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
     hits = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     longest, best, found = max(len(t.split()) for _, t in templates), 0.0, {label for _, label in hits}
-    for i in range(0, max(len(w), 1), longest):
+    for i in range(max(len(w), 1)):
         block = set(w[i : i + 2 * longest])
         for label, t in templates:
             share = len(block & set(t.split())) / len(set(t.split()))
@@ -221,6 +318,15 @@ def test_license_plan_is_native(odd, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_rows_of_joins_and_generators_are_rows_of_their_own(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(k, f"x licensed under the mit license {k}", "z") for k in range(4)], "doc_id long, text string, __at string").write.parquet(path)
+    d = spark.read.parquet(path)
+    for many in (d.crossJoin(spark.range(2)), d.withColumn("e", F.explode(F.array(F.lit(1), F.lit(2)))), d.union(d), spark.read.parquet(path, path)):
+        got = license_scan.scan(many)
+        assert got.count() == 8 and got.where("labels = 'mit'").count() == 8
+
+
 def test_ascii_lower(spark):
     d = spark.createDataFrame([("ÀBKİz",), ("ABC",)], "t string").select(ascii_lower(F.col("t")).alias("x"))
     assert [r["x"] for r in d.collect()] == ["ÀbKİz", "abc"]

@@ -90,6 +90,12 @@ def test_archive_round_trip(spark):
     assert {v["url"] for (i, _), v in got.items() if i == 5} == {"u%0D%0AX: y"}
 
 
+def test_archive_of_string_identifiers(spark):
+    p = pages(spark).where("page_id IS NOT NULL AND page_id > 0").withColumn("page_id", F.concat(F.lit("p"), "page_id"))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc_zip.read(spark, warc_zip.write(p)).collect()}
+    assert got["p1"] == ("response", None) and got["p2"] == ("revisit", "p1") and len(got) == 7
+
+
 def test_archive_of_nothing_and_damage(spark, tmp_path):
     assert warc_zip.read(spark, warc_zip.write(pages(spark).limit(0))).count() == 0
     with pytest.raises(ValueError):
@@ -209,6 +215,54 @@ def test_packing_limits():
         assert all(sum(x for x, _ in s) <= tokens and len(s) <= segments and sum(y for _, y in s) <= loss for s in by_seq.values())
 
 
+def test_each_choice_is_the_largest_dot_product(monkeypatch):
+    """Every piece that a sequence takes whole is, of what is buffered and fits, the one with the largest product."""
+    tokens, segments, loss, rnd, checked = 64, 6, 40, random.Random(4), 0
+    p = packing.Packer(tokens, segments, loss, 0)
+    limits, state = np.array([tokens, segments, loss], float), {}
+    take, emit = p._take, p._emit
+
+    def taken(i):
+        nonlocal checked
+        free = state.setdefault("free", limits.copy())
+        sizes = p.size[: len(p.held)]
+        fitting = [k for k in range(len(sizes)) if (sizes[k] <= free).all()]
+        products = {k: float((sizes[k] / limits) @ (free / limits)) for k in fitting}
+        assert i in products and products[i] >= max(products.values()) - 1e-12
+        free -= sizes[i]
+        checked += 1
+        return take(i)
+
+    def emitted(pieces):
+        state.clear()
+        return emit(pieces)
+
+    monkeypatch.setattr(p, "_take", taken)
+    monkeypatch.setattr(p, "_emit", emitted)
+    for k in range(200):
+        p.add(k, np.arange(rnd.randrange(1, 50), dtype=np.uint32), rnd.randrange(20))
+    p.finish()
+    assert checked > 150
+
+
+def test_short_texts_are_padded_little():
+    for segments, most in ((1024, 0.01), (128, 0.7)):
+        p = packing.Packer(1024, segments, 1024, 0)
+        for k in range(20_000):
+            p.add(k, np.arange(3, dtype=np.uint32), 0)
+        p.finish()
+        used, sequences = sum(x[2] for x in p.out), len({x[5] for x in p.out})
+        assert used == 60_000 and 1 - used / (1024 * sequences) <= most
+
+
+def test_buffer_holds_only_its_own_tokens():
+    p = packing.Packer(1024, 1024, 1024, 0)
+    for k in range(300):
+        p.add(k, np.zeros(1_000_001, np.uint32), 0)
+        p.out.clear()
+    assert len(p.held) == 300 and sum(ids.base.nbytes if ids.base is not None else ids.nbytes for (_, ids, _, _), _ in p.held) < 2_000_000
+
+
 def test_loss_column(spark, odd):
     docs = odd.limit(3).withColumn("prompt", F.lit(4))
     assert packing.pack(docs, PATH, tokens=16, loss=8, loss_from="prompt").count() >= 3
@@ -259,10 +313,14 @@ def test_leaks_in_long_texts_and_blocks(spark, odd, empty):
     item = "this benchmark question asks for the capital of a country that nobody has ever named before today"
     b = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (4, "another question about rivers and mountains which is long enough for a window")], "item_id long, text string")
     docs = odd.select("doc_id", "text", "item_id").union(spark.createDataFrame([(100, "word " * 50_000 + item.upper() + "?!" + " word" * 9, "x"), (101, item.replace("capital", "capitol"), "x"), (102, item[:50], "x")], "doc_id long, text string, item_id string"))
-    for chars in (20_000_000, 60):
+    for chars in (2_000_000, 60):
         got = sorted(tuple(r) for r in decontam.hits(docs, b, block_chars=chars).collect())
         assert got == [(100, 1, 0), (101, 1, 0)] or got == [(100, 1, 0), (101, 1, 1)]
-    kept = decontam.drop_leaks(docs, b)
-    assert kept.columns == docs.columns and kept.count() == docs.count() - 2
+        kept = decontam.drop_leaks(docs.withColumn("__at", F.lit(1)), b, block_chars=chars)
+        assert kept.columns == [*docs.columns, "__at"] and kept.count() == docs.count() - 2
+    twice = b.union(spark.createDataFrame([(7, item), (None, item), (1, "one more text of the item with the number one, long enough to have a window")], b.schema))
+    for chars in (2_000_000, 60):
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontam.hits(docs, twice, block_chars=chars).collect())
+        assert got == {(d, i): 1 for d in (100, 101) for i in (1, 7, None)}
     assert decontam.hits(empty, b).count() == 0 and decontam.hits(docs, b.limit(0)).count() == 0
     assert decontam.drop_leaks(docs, b.limit(0)).count() == docs.count()
