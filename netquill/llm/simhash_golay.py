@@ -37,6 +37,7 @@ another; an empty table returns an empty table; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable
@@ -111,35 +112,57 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.array([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)], np.uint64)
 
 
-class _Words(dict):
-    """Hashes of words, of so many at most."""
+def _mixed_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
 
+CHUNK, LONG = 1 << 16, 1 << 13  # bytes of a text, of a word
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_BYTES = _mixed_bits(np.arange(1, 257, dtype=np.uint64))
 
-_words = _Words()
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def _mixed_bits(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+@functools.cache
+def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+
+def _hashes(joined: bytes, size: int) -> np.ndarray:
+    """A polynomial hash of the bytes of each shingle of words that single blanks separate."""
+    c = np.frombuffer(joined, np.uint8)
+    gap = np.flatnonzero(c == 32)
+    start, end = np.append(0, gap + 1), np.append(gap, len(c))
+    n = max(1, len(start) - size + 1)
+    up, down = _both_powers(1 << (len(c)).bit_length())
+    sums = np.empty(len(c) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTES[c] * up[: len(c)], out=sums[1:])
+    first, last = start[:n], end[min(size, len(start)) - 1 :]
+    return _mixed_bits((sums[last] - sums[first]) * down[first])
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted hashes, made of those of their words."""
+    """The distinct shingles of a text as sorted hashes; texts are worked off in chunks, which overlap by a shingle less a word."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(w) - size + 1)
-    h = w[:n]
-    for k in range(1, min(size, len(w))):
-        h = _mixed_bits(h) + w[k : k + n]
-    return np.unique(_mixed_bits(h))
+    joined = b" ".join(words)
+    if len(joined) > LONG:  # a word of any length takes little room
+        words = [w if len(w) <= LONG else xxhash.xxh3_128_hexdigest(w).encode() for w in words]
+        joined = b" ".join(words)
+    if len(joined) <= CHUNK:
+        return np.unique(_hashes(joined, size))
+    parts, at, step = [], 0, max(size, len(words) * CHUNK // len(joined))
+    while at == 0 or at + size <= len(words):
+        parts.append(_hashes(b" ".join(words[at : at + step + size - 1]), size))
+        at += step
+    return np.unique(np.concatenate(parts))
 
 
 def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
@@ -249,8 +272,8 @@ def _unplaned(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-TOKENS_A_TASK = 2_000_000
-TOKENS_A_BLOCK = 500_000
+TOKENS_A_TASK = 1_000_000
+TOKENS_A_BLOCK = 250_000
 
 
 def shared_shingles(rows: DataFrame, shingle: int, often: np.ndarray, tokens: int) -> DataFrame:
