@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netquill.operators.factor_graph import cell_states
-from netquill.plans.checkpoint import cut
+from netquill.plans.checkpoint import cut, free
 
 
 class NotConverged(RuntimeError):
@@ -38,7 +38,7 @@ def propagate(factors: DataFrame, links: DataFrame, tolerance: float = 1e-6, swe
     edge = cut(cs.select("factor_id", "var_id", "state").distinct(), "edges")
     f2v = edge.withColumn("p", F.lit(1.0))
     differences: list[float] = []
-    v2f = f2v
+    v2f, kept = f2v, []  # the last two sweeps' messages: beliefs of cells come from those before the last
     for sweep in range(1, sweeps + 1):
         m = f2v.select("factor_id", "var_id", "state", (F.col("p") <= 0).cast("int").alias("z"), _log(F.col("p")).alias("l"))
         total = m.groupBy("var_id", "state").agg(F.sum("z").alias("tz"), F.sum("l").alias("tl"))
@@ -55,6 +55,8 @@ def propagate(factors: DataFrame, links: DataFrame, tolerance: float = 1e-6, swe
         new = cut(sent.join(old, ["factor_id", "var_id", "state"]).select("factor_id", "var_id", "state", (F.col("p") * (1 - damping) + F.col("old") * damping).alias("p"), F.abs(F.col("p") - F.col("old")).alias("change")), "f2v")
         differences.append(new.agg(F.max("change")).first()[0] or 0.0)
         f2v = new.drop("change")
+        kept.append(new)
+        free(*kept[:-2])
         if differences[-1] <= tolerance:
             break
         if sweep >= 50 and sum(b > a for a, b in zip(differences, differences[1:], strict=False)) >= 10:

@@ -113,32 +113,49 @@ def relation_values(state: DataFrame, inputs: DataFrame, variables: DataFrame, t
     return merged.agg((F.min(v) if gate == "min" else F.product(v)).alias("value"), ((F.count(F.lit(1)) == 1) & F.bool_and("negated")).alias("is_damper"))
 
 
-def step(state: DataFrame, inputs: DataFrame, variables: DataFrame, scenarios: DataFrame, transfer: str = "hill", gate: str = "min") -> DataFrame:
-    """The state after one synchronous step, as tables."""
+def step(state: DataFrame, inputs: DataFrame, variables: DataFrame, scenarios: DataFrame, transfer: str = "hill", gate: str = "min", keep_larger: bool = False) -> DataFrame:
+    """The state after one synchronous step, as tables. A stimulus holds its variable, or with ``keep_larger`` is its least value."""
     r = relation_values(state, inputs, variables, transfer, gate)
     up = r.groupBy("scenario_id", F.col("output_var").alias("var_id")).agg(F.max(F.when(~F.col("is_damper"), F.col("value"))).alias("up"), F.min(F.when(F.col("is_damper"), F.col("value"))).alias("low"))
     s = state.join(up, ["scenario_id", "var_id"], "left").join(scenarios, ["scenario_id", "var_id"], "left")
     driven = F.col("up").isNotNull() | F.col("low").isNotNull()
     y = F.coalesce("up", "value") * F.coalesce("low", F.lit(1.0))
     y = F.when(driven, scalar.modified(y, F.col("inh"), F.col("act"))).otherwise(F.col("value"))
-    return s.select("scenario_id", "var_id", F.coalesce("stim", y).alias("value"))
+    return s.select("scenario_id", "var_id", (F.greatest("stim", y) if keep_larger else F.coalesce("stim", y)).alias("value"))
 
 
-def simulate_table(variables: DataFrame, inputs: DataFrame, scenarios: DataFrame, steps: int, default: float = 0.0, transfer: str = "hill", gate: str = "min", every: int = 5) -> DataFrame:
-    """(scenario_id, var_id, t, value) of a network too large for one task, stepped as tables; stops where nothing changes."""
+def _near(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of ``b`` whose values are all those of the scenario's state ``a``."""
+    both = a.select("scenario_id", "var_id", F.col("value").alias("end")).join(b, ["scenario_id", "var_id"])
+    return both.groupBy(*keys).agg(F.max(F.abs(F.col("value") - F.col("end"))).alias("far")).where(F.col("far") <= TOLERANCE).select(*keys)
+
+
+def simulate_table(variables: DataFrame, inputs: DataFrame, scenarios: DataFrame, default: float = 0.0, transfer: str = "hill", gate: str = "min", rounds: int = 100, keep_larger: bool = False) -> DataFrame:
+    """The rows of :func:`simulate` for a network too large for one task, stepped as tables. Each state is written once, with its
+    step; a scenario is stepped until it reaches an attractor, which is found as :func:`simulate` finds it."""
     driven = inputs.select(F.col("output_var").alias("var_id"), F.lit(True).alias("driven")).distinct()
     grid = scenarios.select("scenario_id").distinct().crossJoin(variables.select("var_id")).join(scenarios, ["scenario_id", "var_id"], "left").join(driven, "var_id", "left")
     x = F.coalesce("stim", "init", F.lit(default)).cast("double")
-    state = cut(grid.select("scenario_id", "var_id", F.when(F.col("driven"), x).otherwise(scalar.modified(x, F.col("inh"), F.col("act"))).alias("value")), "bool")
-    track = state.withColumn("t", F.lit(0))
-    for t in range(1, steps + 1):
-        new = step(state, inputs, variables, scenarios, transfer, gate)
-        new = cut(new, "bool") if t % every == 0 or t == steps else new
-        track = track.unionByName(new.withColumn("t", F.lit(t)))
-        if t % every == 0 and not new.alias("a").join(state.withColumnRenamed("value", "old"), ["scenario_id", "var_id"]).where(F.abs(F.col("value") - F.col("old")) > TOLERANCE).take(1):
+    first = grid.select("scenario_id", "var_id", F.when(F.col("driven"), x).otherwise(scalar.modified(x, F.col("inh"), F.col("act"))).alias("value"), F.lit(0).alias("t"))
+    states, ends = [cut(first, "bool")], None
+    track = lambda: first.sparkSession.read.schema(states[0].schema).parquet(*(s._cut_path for s in states))
+    for t in range(1, max(rounds, int(1.2 * variables.count())) + 2):
+        live = states[-1] if ends is None else states[-1].join(ends, "scenario_id", "left_anti")
+        new = cut(step(live.drop("t"), inputs, variables, scenarios, transfer, gate, keep_larger).withColumn("t", F.lit(t)), "bool")
+        if new.isEmpty():
             break
-        state = new
-    return track
+        found = _near(new, states[-1], ["scenario_id"])
+        found = found if t % 2 else found.union(_near(new, states[t // 2], ["scenario_id"]))
+        found = cut(found.distinct(), "bool-found")
+        if not found.isEmpty():
+            back = _near(new.join(found, "scenario_id", "left_semi"), track(), ["scenario_id", "t"]).groupBy("scenario_id").agg(F.max("t").alias("again"))
+            back = back.select("scenario_id", F.lit(t).alias("last"), "again")
+            ends = cut(back if ends is None else ends.union(back), "bool-ends")
+        states.append(new)
+    out = track() if ends is None else track().join(ends, "scenario_id", "left")
+    reached = F.lit(False) if ends is None else F.col("again").isNotNull()
+    inside = F.lit(False) if ends is None else F.coalesce(F.col("t") > F.col("again"), F.lit(False))
+    return out.select("scenario_id", "var_id", "t", "value", inside.alias("in_attractor"), reached.alias("reached"))
 
 
 def expanded(track: DataFrame, length: int) -> DataFrame:
@@ -185,7 +202,7 @@ def initial_values(variables: DataFrame, inputs: DataFrame, default: float) -> D
     variables: var_id, source_id (null: accessory)."""
     cyc = on_cycles(inputs.select("input_var", "output_var")).withColumnRenamed("node", "var_id").withColumn("on", F.lit(True))
     driven = inputs.select(F.col("output_var").alias("var_id"), F.lit(True).alias("driven")).distinct()
-    v = variables.join(cyc, "var_id", "left").join(driven, "var_id", "left")
+    v = variables.select("var_id", "source_id").join(cyc, "var_id", "left").join(driven, "var_id", "left")
     return v.select("var_id", F.when(F.col("driven").isNull() | (F.col("on").isNotNull() & F.col("source_id").isNotNull()), F.lit(default)).otherwise(0.0).alias("init"))
 
 

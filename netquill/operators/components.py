@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquill.plans.checkpoint import cut
+from netquill.plans.checkpoint import cut, free
 
 
 BROADCAST_EDGES = 100_000
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(F.broadcast(least) if small_table else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        old, e = e, cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        free(old)
     else:
         raise RuntimeError(f"no fixpoint within {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
@@ -65,8 +66,8 @@ def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     for _ in range(rounds):
         while True:  # trim
             n = e.count()
-            e2 = cut(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"), "cycles")
-            e = e2
+            old, e = e, cut(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"), "cycles")
+            free(old)
             if e.count() == n:
                 break
         if not n:
@@ -76,13 +77,15 @@ def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         while before != (now := _state(color)):
             before = now
             got = e.join(color, e.s == color.node).groupBy(F.col("t").alias("node")).agg(F.min("c").alias("m"))
-            color = cut(color.join(got, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")), "colors")
+            old, color = color, cut(color.join(got, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")), "colors")
+            free(old)
         same = cut(e.join(color.select(F.col("node").alias("s"), F.col("c").alias("cs")), "s").join(color.select(F.col("node").alias("t"), F.col("c").alias("ct")), "t").where("cs = ct").select("s", "t", F.col("cs").alias("c")), "colors")
         back = cut(color.where("node = c").select("node"), "back")
         n_back = -1
         while n_back != (n_now := back.count()):
             n_back = n_now
-            back = cut(back.union(same.join(back.select(F.col("node").alias("t")), "t", "left_semi").select(F.col("s").alias("node"))).distinct(), "back")
+            old, back = back, cut(back.union(same.join(back.select(F.col("node").alias("t")), "t", "left_semi").select(F.col("s").alias("node"))).distinct(), "back")
+            free(old)
         scc = back.join(color, "node").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
         in_cycle = back.join(color, "node").join(scc.where("n > 1"), "c").select("node")
         found = cut(found.union(in_cycle).distinct(), "found")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from netquill.functions.scalar import affinity_strength, modification_type
 from netquill.operators.components import components
 from netquill.operators.relational import adjusted_rand, impact_summary, least_affinity
-from netquill.plans.checkpoint import cut, row_numbers
+from netquill.plans.checkpoint import cut, free
 
 
 def target_modifications(interactions: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -72,28 +74,73 @@ def compare_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.join(sx, "k").join(sy, "k").select("k", "n", "n_clusters", F.try_divide(F.col("s") - e, (F.col("sx") + F.col("sy")) / 2 - e).alias("ari"))
 
 
+MOST_EXACT = 10**9  # rows up to which draws are exact; of more, normal ones with the same mean and variance
+
+
+def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of ``n`` drawn without replacement are among the ``good``."""
+    total = good + bad
+    if total.max(initial=0) < MOST_EXACT:
+        return rng.hypergeometric(good, bad, n)
+    mean = n * good / np.maximum(total, 1)
+    var = mean * (bad / np.maximum(total, 1)) * np.maximum(total - n, 0) / np.maximum(total - 1, 1)
+    return np.clip(np.rint(rng.normal(mean, np.sqrt(var))), np.maximum(0, n - bad), np.minimum(n, good)).astype(np.int64)
+
+
 def permutation_null(df: DataFrame, a: str, b: str, times: int = 10_000, seed: int = 1) -> DataFrame:
-    """(rep, ari): the index with labels ``b`` dealt anew in each repetition by a seeded hash."""
-    base = cut(row_numbers(df.select(a, b), a, b), "null")
-    reps = df.sparkSession.range(times).withColumnRenamed("id", "rep")
-    right = reps.crossJoin(base.select("rn", b)).withColumn("h", F.xxhash64("rep", "rn", F.lit(seed)))
-    right = right.select("rep", b, F.row_number().over(W.partitionBy("rep").orderBy("h", "rn")).alias("rn"))
-    got = base.select("rn", F.col(a).alias("cluster")).join(right, "rn").select("rep", "rn", "cluster", F.col(b).alias("y"))
-    x = base.select(F.col("rn").alias("member"), F.col(a).alias("cluster"))
-    return compare_grid(x, got.select(F.col("rep").alias("k"), F.col("rn").alias("member"), F.col("y").alias("cluster"))).select(F.col("k").alias("rep"), "ari")
-
-
-def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 30, least: float = 1e-5) -> DataFrame:
-    """(member, cluster) by expansion and inflation of a column-stochastic matrix. edges: a, b, weight; undirected."""
+    """(rep, ari): the index with labels ``b`` dealt anew in each repetition. Only the labels' counts matter, so no row is dealt:
+    each repetition draws a contingency table with the same margins, cell by cell. What is broadcast are the two margins."""
+    ka = np.array([r[0] for r in df.groupBy(a).agg(F.count(F.lit(1)).alias("n")).orderBy(a).select("n").collect()], np.int64)  # a row a label
+    kb = np.array([r[0] for r in df.groupBy(b).agg(F.count(F.lit(1)).alias("n")).orderBy(b).select("n").collect()], np.int64)
+    two = lambda x: x * (x - 1) / 2.0
+    sa, sb, n = two(ka.astype(float)).sum(), two(kb.astype(float)).sum(), float(ka.sum())
+    expected, most = (sa * sb / two(n) if n > 1 else 0.0), (sa + sb) / 2
+    held = df.sparkSession.sparkContext.broadcast((ka, kb))
+
+    def run(batches):
+        for pdf in batches:
+            ka, kb = held.value
+            reps = pdf["id"].to_numpy()
+            for at in range(0, len(reps), 500):  # one generator for each block of repetitions, so any partitioning draws the same
+                for block in np.unique(reps[at : at + 500] // 500):
+                    rng = np.random.default_rng([seed, int(block)])
+                    left = np.tile(kb, (500, 1))
+                    s = np.zeros(500)
+                    for size in ka:
+                        want, rest = np.full(500, size), left.sum(1)
+                        for j in range(len(kb)):
+                            rest = rest - left[:, j]
+                            got = _hypergeometric(rng, left[:, j], rest, want)
+                            s += two(got.astype(float))
+                            left[:, j] -= got
+                            want = want - got
+                    mine = reps[at : at + 500][reps[at : at + 500] // 500 == block]
+                    value = (s - expected) / (most - expected) if most != expected else np.full(500, np.nan)
+                    yield pd.DataFrame({"rep": mine, "ari": value[mine % 500]})
+
+    out = df.sparkSession.range(times).mapInPandas(run, "rep long, ari double")
+    return out.select("rep", F.when(~F.isnan("ari"), F.col("ari")).alias("ari"))
+
+
+def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 30, least: float = 1e-5, most: int = 500) -> DataFrame:
+    """(member, cluster) by expansion and inflation of a column-stochastic matrix. edges: a, b, weight; undirected. After each
+    round a column keeps its ``most`` largest entries of at least ``least`` and is scaled to one again, which bounds what the next
+    expansion makes of it to ``most`` squared."""
     sym = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight"))
     nodes = sym.select("a").distinct()
     m = sym.groupBy("a", "b").agg(F.max("weight").alias("w")).union(nodes.select("a", F.col("a").alias("b"), F.lit(1.0)))
-    scaled = lambda d: d.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("b"))).where(F.col("w") >= least)
+    share = F.col("w") / F.sum("w").over(W.partitionBy("b"))
+
+    def scaled(d: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "a"))
+        return d.withColumn("w", share).where(F.col("w") >= least).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").withColumn("w", share)
+
     m = cut(scaled(m), "mcl")
     before = None
     for _ in range(rounds):
         sq = m.alias("x").join(m.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v")), "b").groupBy("a", "c").agg(F.sum(F.col("w") * F.col("v")).alias("w"))
-        m = cut(scaled(sq.select("a", F.col("c").alias("b"), F.pow("w", F.lit(inflation)).alias("w"))), "mcl")
+        old, m = m, cut(scaled(sq.select("a", F.col("c").alias("b"), F.pow("w", F.lit(inflation)).alias("w"))), "mcl")
+        free(old)
         now = m.agg(F.count(F.lit(1)), F.round(F.sum(F.pow("w", F.lit(2.0))), 6)).first()
         if now == before:
             break

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquill.plans.checkpoint import cut
+
 
 class Graph:
     def __init__(self, rows):
@@ -81,6 +83,8 @@ class Graph:
             out += (len(fs) - 1) * float((b * np.log(b)).sum())
         for i, (_, _, t) in enumerate(self.factors):
             b = self.factor_belief(i)
+            if not b.any():
+                return float("-inf")  # the evidence is impossible
             ok = (b > 0) & (t > 0)
             out += float((b[ok] * (np.log(t[ok]) - np.log(b[ok]))).sum())
         return out
@@ -109,8 +113,8 @@ class Graph:
         for _, vs, t in self.factors:
             free = [v for v in vs if v not in x]
             if free:
-                cut = t[tuple(x[v] if v in x else slice(None) for v in vs)]
-                cells = np.argwhere(cut > 1e-12)
+                given = t[tuple(x[v] if v in x else slice(None) for v in vs)]
+                cells = np.argwhere(given > 1e-12)
                 cell = cells[rng.integers(len(cells))] if len(cells) else [0] * len(free)
                 x.update({v: int(s) for v, s in zip(free, cell, strict=True)})
         return x
@@ -142,7 +146,8 @@ def _seed(seed: int, key) -> int:
 
 def marginals(factors: DataFrame, tolerance: float = 1e-6, rounds: int = 10_000, maximise: bool = False, damping: float = 0.0, fall_back: int = 0, seed: int = 1) -> DataFrame:
     """(graph_id, var_id, state, p, log_z, converged). Where propagation doesn't converge and ``fall_back`` is positive, so many
-    Gibbs draws give the marginals and log_z is null; without it the graph has no rows."""
+    Gibbs draws give the marginals and log_z is null; without it the graph has one row with only its identifier and converged
+    false."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, gid, rows = _graph(pdf), pdf["graph_id"].iloc[0], []
@@ -152,22 +157,46 @@ def marginals(factors: DataFrame, tolerance: float = 1e-6, rounds: int = 10_000,
         elif fall_back and not maximise:
             draws = g.sample(np.random.default_rng(_seed(seed, gid)), fall_back)
             rows = [(gid, v, s, float((draws[:, k] == s).mean()), None, False) for k, v in enumerate(g.by_var) for s in range(g.states[v])]
-        return pd.DataFrame(rows, columns=["graph_id", "var_id", "state", "p", "log_z", "converged"])
+        else:
+            rows = [(gid, None, None, None, None, False)]
+        return pd.DataFrame(rows, columns=["graph_id", "var_id", "state", "p", "log_z", "converged"]).astype({"var_id": "Int64", "state": "Int32"})
 
     kind = factors.schema["graph_id"].dataType.simpleString()
     return factors.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, var_id long, state int, p double, log_z double, converged boolean")
 
 
 def most_probable(factors: DataFrame, tolerance: float = 1e-6, rounds: int = 10_000) -> DataFrame:
-    """(graph_id, var_id, state) of the max-product assignment."""
+    """(graph_id, var_id, state, converged) of the max-product assignment; a graph that doesn't converge has one row without
+    assignment and converged false."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _graph(pdf)
-        g.propagate(tolerance, rounds, maximise=True)
-        return pd.DataFrame([(pdf["graph_id"].iloc[0], v, s) for v, s in g.best().items()], columns=["graph_id", "var_id", "state"])
+        g, gid = _graph(pdf), pdf["graph_id"].iloc[0]
+        ok = g.propagate(tolerance, rounds, maximise=True)
+        rows = [(gid, v, s, True) for v, s in g.best().items()] if ok else [(gid, None, None, False)]
+        return pd.DataFrame(rows, columns=["graph_id", "var_id", "state", "converged"]).astype({"var_id": "Int64", "state": "Int32"})
 
     kind = factors.schema["graph_id"].dataType.simpleString()
-    return factors.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, var_id long, state int")
+    return factors.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, var_id long, state int, converged boolean")
+
+
+def prior_and_posterior(factors: DataFrame, evidence: DataFrame, base: DataFrame | None = None, fall_back: int = 500, **options) -> DataFrame:
+    """(graph_id, sample_id, var_id, state, prior, posterior, converged): the marginals of every graph without evidence (or under
+    that of ``base``) and under each sample's. Graphs and samples are dealt out together, a task for each pair; what doesn't
+    converge falls back to Gibbs draws.
+
+    evidence: sample_id, graph_id, var_id, values (of the variable's states); base: the same without sample_id."""
+    keyed = factors.select(F.col("graph_id").cast("string").alias("g"), F.col("factor_id").cast("string").alias("factor_id"), "var_ids", "states", "values")
+    unary = lambda e: (F.concat(F.lit("evidence"), F.col("var_id").cast("string")).alias("factor_id"), F.array(F.col("var_id").cast("long")).alias("var_ids"), F.array(F.size("values")).alias("states"), F.col("values").cast("array<double>").alias("values"))
+    seen = evidence.select(F.to_json(F.struct(F.col("graph_id").cast("string").alias("g"), F.col("sample_id").cast("string").alias("s"))).alias("graph_id"), F.col("graph_id").cast("string").alias("g"), "var_id", "values")
+    pairs = seen.select("graph_id", "g").distinct()
+    after = pairs.join(keyed, "g").select("graph_id", "factor_id", "var_ids", "states", "values").unionByName(seen.select("graph_id", *unary(seen)))
+    alone = keyed.select(F.to_json(F.struct("g")).alias("graph_id"), "factor_id", "var_ids", "states", "values")
+    if base is not None:
+        alone = alone.unionByName(base.select(F.to_json(F.struct(F.col("graph_id").cast("string").alias("g"))).alias("graph_id"), *unary(base)))
+    m = marginals(after.unionByName(alone), fall_back=fall_back, **options)
+    m = cut(m.select(F.get_json_object("graph_id", "$.g").alias("g"), F.get_json_object("graph_id", "$.s").alias("s"), "var_id", "state", "p", "converged"), "beliefs")
+    prior = m.where("s IS NULL").select("g", "var_id", "state", F.col("p").alias("prior"))
+    return m.where("s IS NOT NULL").join(prior, ["g", "var_id", "state"]).select(F.col("g").alias("graph_id"), F.col("s").alias("sample_id"), "var_id", "state", "prior", F.col("p").alias("posterior"), "converged")
 
 
 def gibbs_samples(factors: DataFrame, draws: int = 500, burn_in: int = 0, restarts: int = 1, seed: int = 1) -> DataFrame:

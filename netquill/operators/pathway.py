@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netquill.operators.relational import without_currency
+from netquill.operators.relational import dense_index, without_currency
 from netquill.plans.checkpoint import cut
 
 FAN_IN = 3
+# Chances of the expected state and of each other one; steepness and bounds of perturbation factors.
 MATCH, MISMATCH = 0.999, 0.0005
+STEEPNESS, LEAST = 10, 4.5e-6
 #: Edge labels whose smallest state counts; MEMBER takes the largest, INHIBITOR the opposite state.
 SMALLEST = ("INPUT", "CATALYST", "ACTIVATOR", "COMPLEX")
 
@@ -50,8 +52,8 @@ def perturbation_values(spark, labels: list[str]) -> DataFrame:
     grid = spark.range(2**n).select(F.col("id").alias("idx"), *((F.floor(F.col("id") / 2**k) % 2).cast("double").alias(f"s{k}") for k in range(n)))
     p = [F.col(f"s{k + 1}") for k in range(len(labels))]
     e = (F.least(*p) if len(p) > 1 else p[0]) if set(labels) == {"MEMBER"} else reduce(Column.__add__, p, F.lit(0.0)) / max(1, len(p))
-    low = F.exp(-10 * e)
-    clamp = lambda x: F.least(F.greatest(x, F.lit(4.5e-6)), F.lit(1 - 4.5e-6))
+    low = F.exp(-STEEPNESS * e)
+    clamp = lambda x: F.least(F.greatest(x, F.lit(LEAST)), F.lit(1 - LEAST))
     return grid.select("idx", F.when(F.col("s0") == 1, clamp(1 - low)).otherwise(clamp(low)).alias("val"))
 
 
@@ -181,3 +183,39 @@ def gene_regulatory(participants: DataFrame, reactions: DataFrame) -> DataFrame:
     """(reaction_id) of black-box events without input and with one output and some regulator."""
     n = participants.groupBy("reaction_id").agg(F.count_if(F.col("role") == "INPUT").alias("i"), F.count_if(F.col("role") == "OUTPUT").alias("o"), F.count_if(F.col("role").isin("ACTIVATOR", "INHIBITOR")).alias("r"))
     return n.where("i = 0 AND o = 1 AND r > 0").join(reactions.where("is_black_box"), "reaction_id", "left_semi").select("reaction_id")
+
+
+def edge_factors(edges: DataFrame) -> DataFrame:
+    """(factor_id, names, values) of a three-state factor [target, parents...] for each target, parents ordered by label and name.
+    Each list of labels, of which there are few, has its values made once. Targets must have their fan-in split."""
+    parents = edges.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("label", "parent"))).alias("p"))
+    rows = cut(parents.select("target", F.transform("p", lambda x: x["label"]).alias("labels"), F.transform("p", lambda x: x["parent"]).alias("parents")), "factors")
+    spark, tables = edges.sparkSession, []
+    for r in rows.select("labels").distinct().collect():  # at most the multisets of a few labels
+        cells = F.transform(F.array_sort(F.collect_list(F.struct("idx", "val"))), lambda c: c["val"])
+        tables.append(factor_values(spark, list(r["labels"])).agg(cells.alias("values")).select(F.array(*map(F.lit, r["labels"])).alias("labels"), "values"))
+    if not tables:
+        return rows.select(F.col("target").alias("factor_id"), F.col("parents").alias("names"), F.array().cast("array<double>").alias("values"))
+    values = F.broadcast(reduce(DataFrame.union, tables))
+    return rows.join(values, "labels").select(F.col("target").alias("factor_id"), F.concat(F.array("target"), "parents").alias("names"), "values")
+
+
+def network(relations: DataFrame, participants: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variables, inputs) of a Boolean network, as simulation and injection take them.
+
+    variables: var_id, name, source_id (the entity, null for accessory nodes), gene (of proteins), identical (accessory nodes use
+    the identity), output (whether a reaction gives it), driven (whether a relation leads to it); inputs: rel_id, output_var,
+    input_var, negated. relations: rel, input, negated, output; entities: entity_id, gene and, where it tells proteins, class."""
+    r = cut(relations.select("rel", "input", "negated", "output").distinct(), "relations")
+    names = cut(dense_index(r.select(F.col("input").alias("name")).union(r.select("output")), "name", "var_id"), "names")
+    gene = F.when(F.col("class") == "protein", F.col("gene")) if "class" in entities.columns else F.col("gene")
+    known = entities.select(F.col("entity_id").cast("string").alias("name"), F.col("entity_id").alias("source_id"), gene.alias("gene"))
+    given = participants.where("role = 'OUTPUT'").select(F.col("entity_id").cast("string").alias("name"), F.lit(True).alias("o")).distinct()
+    driven = r.select(F.col("output").alias("name"), F.lit(True).alias("d")).distinct()
+    v = names.join(known, "name", "left").join(given, "name", "left").join(driven, "name", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    v = v.select(F.col("var_id").cast("long").alias("var_id"), "name", "source_id", "gene", F.col("source_id").isNull().alias("identical"), yes("o").alias("output"), yes("d").alias("driven"))
+    ids = dense_index(r, "rel", "rel_id")
+    end = lambda c: names.select(F.col("name").alias(c), F.col("var_id").cast("long").alias(f"{c}_var"))
+    i = r.join(ids, "rel").join(end("input"), "input").join(end("output"), "output").select("rel_id", "output_var", "input_var", "negated")
+    return cut(v, "variables"), cut(i, "inputs")

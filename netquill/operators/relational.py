@@ -67,7 +67,11 @@ def subset_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(first, *(F.col(f"`{c}`").alias(names[c]) for c in rest if c in names))
 
 
-def without_currency(entities: DataFrame, names: str = "names", currency: tuple[str, ...] = ("ATP", "ADP", "Pi", "H2O", "GTP", "GDP", "CO2", "H+")) -> DataFrame:
+# Names of currency molecules.
+CURRENCY = ("ATP", "ADP", "Pi", "H2O", "GTP", "GDP", "CO2", "H+")
+
+
+def without_currency(entities: DataFrame, names: str = "names", currency: tuple[str, ...] = CURRENCY) -> DataFrame:
     """Entities none of whose names is a currency molecule's."""
     return entities.where(~F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, currency))), F.lit(False)))
 
@@ -99,6 +103,21 @@ def with_degrees(pairs: DataFrame, a: str = "gene1", b: str = "gene2") -> DataFr
     return pairs.join(d.select(F.col("gene").alias(a), F.col("degree").alias("d1")), a).join(d.select(F.col("gene").alias(b), F.col("degree").alias("d2")), b)
 
 
+def among(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows whose key ``other`` has."""
+    return df.join(other.select(key), key, "left_semi")
+
+
+def not_among(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows whose key ``other`` hasn't."""
+    return df.join(other.select(key), key, "left_anti")
+
+
+def with_property(scores: DataFrame, properties: DataFrame, key: str, score: str) -> DataFrame:
+    """The mean score of each key that has a property, with it."""
+    return properties.join(scores.groupBy(key).agg(F.avg(score).alias(score)), key)
+
+
 def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.distinct().exceptAll(right.distinct())
 
@@ -132,6 +151,16 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", F.try_divide(F.col("s") - expected, most - expected).alias("ari"))
 
 
+def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Pearson's r of two columns, n, and their smallest values."""
+    return df.agg(F.corr(a, b).alias("r"), F.count(F.lit(1)).alias("n"), F.min(a).alias("least_a"), F.min(b).alias("least_b"))
+
+
+def counted_if(df: DataFrame, key: list[str], conditions: dict[str, Column]) -> DataFrame:
+    """How many rows of each key meet each condition."""
+    return df.groupBy(*key).agg(*(F.count_if(c).alias(k) for k, c in conditions.items()))
+
+
 def least_affinity(evidence: DataFrame, key: list[str], value: str, median: str | None = None, kind: str | None = None) -> DataFrame:
     """Smallest assay value of each interaction among the evidence with a median and a type; null if there is none."""
     ok = F.lit(True)
@@ -165,14 +194,28 @@ def auc(track: DataFrame, key: str | list[str], order: str | list[str], value: s
 
 
 def ecdf(df: DataFrame, group: str | list[str], value: str = "value", name: str = "cpd") -> DataFrame:
-    """Adds the share of the group's values up to each row's. Counts come from distinct values, so a group's rows are combined first."""
+    """Adds the share of the group's values up to each row's. Counts come from distinct values, and a group with many of them is
+    counted in ranges, so no group is gathered."""
+    from netquill.plans.checkpoint import running_totals
+
     keys = [group] if isinstance(group, str) else group
     each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*keys)
-    cum = each.select(*keys, value, (F.sum("__n").over(w.orderBy(value)) / F.sum("__n").over(w)).alias(name))
+    cum = running_totals(each, keys, value, "__n", "__c").select(*keys, value, (F.col("__c") / F.col("__c_total")).alias(name))
     return df.join(cum, [*keys, value], "left")
 
 
+def medians(df: DataFrame, group: str, value: str = "value", name: str = "median") -> DataFrame:
+    """(group, median) of values that aren't null: the middle one, or the mean of the middle two. Counted in ranges as the ECDF."""
+    from netquill.plans.checkpoint import running_totals
+
+    each = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    cum = running_totals(each, [group], value, "__n", "__c")
+    holds = lambda at: (F.col("__c") >= at) & (F.col("__c") - F.col("__n") < at)
+    low, high = F.floor((F.col("__c_total") + 1) / 2), F.floor(F.col("__c_total") / 2) + 1
+    middle = cum.where(holds(low) | holds(high)).groupBy(group).agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    return middle.select(group, ((F.col("a") + F.col("b")) / 2).alias(name))
+
+
 def first_of(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key: an aggregate, so nothing is sorted and a hot key is combined before it moves."""
     rest = [c for c in df.columns if c not in key]
@@ -181,10 +224,19 @@ def first_of(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFr
     return got.select(*key, *(F.col(f"__first.__{c}").alias(c) for c in rest)).select(*df.columns)
 
 
+def top_of(df: DataFrame, key: list[str], order: list[Column | str], n: int, name: str = "place") -> DataFrame:
+    """The first ``n`` rows of each key in order, with their place. The limit reaches below the shuffle: each task passes on its own
+    first ``n`` of a key, so a hot key moves few rows."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long")).where(F.col(name) <= n)
+
+
 def rising_steps(series: DataFrame, order: str, value: str) -> DataFrame:
-    """One row: how often a value exceeds the one before it."""
-    w = W.orderBy(order)
-    return series.select((F.col(value) > F.lag(value).over(w)).alias("up")).agg(F.count_if("up").alias("n_rises"))
+    """One row: how often a value exceeds the one before it. ``order`` must be distinct."""
+    from netquill.plans.checkpoint import cut, row_numbers
+
+    n = cut(row_numbers(series.select(F.col(order).alias("at"), F.col(value).alias("now")), "at").select("rn", "now"), "series")
+    before = n.select((F.col("rn") + 1).alias("rn"), F.col("now").alias("before"))
+    return n.join(before, "rn").agg(F.count_if(F.col("now") > F.col("before")).alias("n_rises"))
 
 
 def normalised(df: DataFrame, group: list[str], value: str, name: str = "p") -> DataFrame:

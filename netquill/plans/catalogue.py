@@ -6,9 +6,7 @@ brands or event types, data types event types, network pairs (supplier, part) or
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,33 +14,12 @@ from netquill.functions import scalar
 from netquill.operators import belief, boolnet, components, drug, factor_graph, kernel, learning, network, observations, pathway
 from netquill.operators import relational as rel
 from netquill.plans.checkpoint import cut
-from netquill.session import ship
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from netquill.plans.registry import CHAIN, FI, ORACLE_SQL, QUERIES, chain, fi, obs, query, r6, t, vectors
+from netquill.sources import readers
 
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-
-def obs(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "events").select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("data_type"), "value", "ts", "event_id")
-
-
-def r6(c, n: int = 6):
-    return F.round(c, n)
+TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 # --- scans, projections, filters
@@ -50,8 +27,9 @@ def r6(c, n: int = 6):
 
 @query("SELECT l_orderkey, l_linenumber, d.k AS data_type, d.v AS value FROM lineitem, unnest([{'k': 'quantity', 'v': l_quantity}, {'k': 'discount', 'v': l_discount}, {'k': 'tax', 'v': l_tax}]) AS u(d)")
 def obs_unpivot(spark, sf):
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return li.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "discount", "tax"], "data_type", "value")
+    wide = t(spark, sf, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("line"), *(F.col(f"l_{c}").cast("string").alias(c) for c in ("quantity", "discount", "tax")))
+    keys = F.split("gene", "/")
+    return readers.cells_of(wide, "number").select(F.get(keys, F.lit(0)).cast("long").alias("l_orderkey"), F.get(keys, F.lit(1)).cast("int").alias("l_linenumber"), F.col("sample_id").alias("data_type"), "value")
 
 
 @query("SELECT event_id, CASE WHEN value IS NULL THEN NULL WHEN value >= 20 AND value < 100 THEN 0 ELSE 1 END AS state2, CASE WHEN value < 20 THEN 0 WHEN value < 100 THEN 1 ELSE 2 END AS state3 FROM events")
@@ -62,8 +40,8 @@ def obs_discretize(spark, sf):
 
 @query("SELECT user_id, round(avg(value), 6) AS score FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def maf_mean_score(spark, sf):
-    m = obs(spark, sf).where("data_type = 'purchase'").groupBy("sample_id").agg(F.avg("value").alias("score"))
-    return m.select(F.col("sample_id").alias("user_id"), r6("score").alias("score"))
+    m = obs(spark, sf).where("data_type = 'purchase'").select("sample_id", F.col("data_type").alias("gene"), F.col("value").alias("score"))
+    return readers.mean_scores(m).select(F.col("sample_id").alias("user_id"), r6("score").alias("score"))
 
 
 @query("WITH m AS (SELECT user_id, event_type, avg(value) AS s FROM events GROUP BY ALL) SELECT u.user_id, g.event_type, round(coalesce(m.s, (SELECT min(s) FROM m)), 6) AS score FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) g LEFT JOIN m ON m.user_id = u.user_id AND m.event_type = g.event_type")
@@ -99,10 +77,10 @@ def interaction_type(spark, sf):
     return t(spark, sf, "orders").groupBy("o_orderpriority", scalar.modification_type(F.col("o_orderpriority")).alias("modification")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_brand, '#.*$', '') AS gene, nullif(split_part(p_brand, '#', 2), '') AS data_type FROM part")
+@query("SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN replace(p_name, ' ', '_') END AS gene, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN p_type END AS data_type FROM part")
 def name_suffix_split(spark, sf):
-    p = t(spark, sf, "part")
-    return p.select("p_partkey", F.substring_index("p_brand", "#", 1).alias("gene"), F.when(F.col("p_brand").contains("#"), F.substring_index("p_brand", "#", -1)).alias("data_type"))
+    p = t(spark, sf, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), F.lit("_"), "p_type").alias("name"))
+    return rel.split_names(p, "name", ["ECONOMY", "STANDARD"]).select("p_partkey", "gene", "data_type")
 
 
 # --- networks
@@ -110,16 +88,9 @@ def name_suffix_split(spark, sf):
 
 @query("SELECT count(*) AS n_pairs, count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT l_partkey) AS n_parts FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
 def fi_pairs_distinct(spark, sf):
-    p = t(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("l_suppkey").alias("n_suppliers"), F.count_distinct("l_partkey").alias("n_parts"))
-
-
-def fi(spark, sf) -> DataFrame:
     li = t(spark, sf, "lineitem")
-    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("gene1"), F.concat(F.lit("p"), "l_partkey").alias("gene2")).distinct()
-
-
-FI = "fi AS (SELECT DISTINCT 's' || l_suppkey AS gene1, 'p' || l_partkey AS gene2 FROM lineitem), b AS (SELECT gene1 AS gene, gene2 AS other FROM fi UNION SELECT gene2, gene1 FROM fi), deg AS (SELECT gene, count(DISTINCT other) AS d FROM b GROUP BY gene)"
+    p = readers.distinct_pairs(li.where("l_quantity <= 25").select("l_suppkey", "l_partkey"), li.where("l_quantity > 20").select("l_suppkey", "l_partkey"))
+    return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("gene1").alias("n_suppliers"), F.count_distinct("gene2").alias("n_parts"))
 
 
 @query(f"WITH {FI} SELECT gene, d AS degree FROM deg")
@@ -144,49 +115,21 @@ def fi_ising_factor(spark, sf):
 # --- factor graphs: order status -> priority -> return flag, a chain of two pairwise factors
 
 
-CHAIN = """f1 AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*)::DOUBLE AS v FROM orders GROUP BY ALL),
-f2 AS (SELECT o_orderpriority AS b, l_returnflag AS c, count(*)::DOUBLE AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
-j AS (SELECT a, f1.b, c, f1.v * f2.v AS v FROM f1 JOIN f2 ON f1.b = f2.b)"""
-
-
-def chain(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(factors, links, names) of the chain; names: var_id, state, label."""
-    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
-    f1 = o.groupBy(F.col("o_orderstatus").alias("x"), F.col("o_orderpriority").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-    f2 = o.join(li, o.o_orderkey == li.l_orderkey).groupBy(F.col("o_orderpriority").alias("x"), F.col("l_returnflag").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-    counts = cut(f1.select(F.lit(1).alias("factor_id"), "x", "y", "v").union(f2.select(F.lit(2), "x", "y", "v")), "chain")
-    label = counts.where("factor_id = 1").select(F.lit(1).alias("var_id"), F.col("x").alias("label")).union(counts.select(F.lit(2), F.when(F.col("factor_id") == 1, F.col("y")).otherwise(F.col("x")))).union(counts.where("factor_id = 2").select(F.lit(3), "y"))
-    names = cut(label.distinct().withColumn("state", F.dense_rank().over(W.partitionBy("var_id").orderBy("label")) - 1), "chain")
-    n = names.groupBy("var_id").agg(F.count(F.lit(1)).cast("int").alias("states"))
-    links = cut(n.where("var_id < 3").select(F.col("var_id").alias("factor_id"), F.lit(0).alias("pos"), "var_id", "states").union(n.where("var_id > 1").select(F.col("var_id") - 1, F.lit(1), "var_id", "states")), "chain")
-    sides = counts.join(names.select((F.col("var_id")).alias("factor_id"), F.col("label").alias("x"), F.col("state").alias("sx")), ["factor_id", "x"]).join(names.select((F.col("var_id") - 1).alias("factor_id"), F.col("label").alias("y"), F.col("state").alias("sy")), ["factor_id", "y"])
-    size = links.groupBy("factor_id").agg(F.max(F.when(F.col("pos") == 0, F.col("states"))).alias("n0"), F.product("states").cast("int").alias("size"))
-    grid = size.select("factor_id", "n0", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("idx"))
-    cells = grid.join(sides, (grid.factor_id == sides.factor_id) & (F.col("idx") == F.col("sx") + F.col("sy") * F.col("n0")), "left").select(grid.factor_id, "idx", F.coalesce("v", F.lit(0.0)).alias("v"))
-    factors = cells.groupBy("factor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda c: c["v"]).alias("values"))
-    return cut(factors, "chain"), links, names
-
-
-def vectors(factors: DataFrame, links: DataFrame, graph=1) -> DataFrame:
-    """Kernel rows (graph_id, factor_id, var_ids, states, values)."""
-    v = links.groupBy("factor_id").agg(F.array_sort(F.collect_list(F.struct("pos", "var_id", "states"))).alias("x"))
-    return v.join(factors, "factor_id").select(F.lit(graph).alias("graph_id"), F.col("factor_id").cast("string").alias("factor_id"), F.transform("x", lambda x: x["var_id"].cast("long")).alias("var_ids"), F.transform("x", lambda x: x["states"].cast("int")).alias("states"), "values")
-
-
 MARGINALS = """SELECT 1 AS var_id, a AS label, round(sum(v) / (SELECT sum(v) FROM j), 6) AS p FROM j GROUP BY a
 UNION ALL SELECT 2, b, round(sum(v) / (SELECT sum(v) FROM j), 6) FROM j GROUP BY b UNION ALL SELECT 3, c, round(sum(v) / (SELECT sum(v) FROM j), 6) FROM j GROUP BY c"""
 
 
 @query(f"WITH {CHAIN} {MARGINALS}")
 def pgm_pair_marginal(spark, sf):
-    """Exact marginals by joining the two factors on the variable they share."""
-    o, li = t(spark, sf, "orders"), t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
-    f1 = o.groupBy(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("v1"))
-    f2 = o.join(li, o.o_orderkey == li.l_orderkey).groupBy(F.col("o_orderpriority").alias("b"), F.col("l_returnflag").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("v2"))
-    j = f1.join(f2, "b").select(F.explode(F.array(*(F.struct(F.lit(k + 1).alias("var_id"), F.col(c).alias("label")) for k, c in enumerate("abc")))).alias("x"), (F.col("v1") * F.col("v2")).alias("v"))
-    each = j.groupBy("x.var_id", "x.label").agg(F.sum("v").alias("v"))
-    return rel.normalised(each, ["var_id"], "v").select("var_id", "label", r6("p").alias("p"))
+    """Exact marginals of the chain: each factor is multiplied with what the other sends through the variable they share."""
+    factors, links, names = chain(spark, sf)
+    sides = factor_graph.marginal(factors, links).where("var_id = 2")  # each factor summed to the shared variable
+    message = sides.select((3 - F.col("factor_id")).alias("factor_id"), "state", F.col("val").alias("p"))
+    states = factor_graph.cell_states(factors, links).where("var_id = 2").select("factor_id", "idx", "state")
+    joint = factor_graph.multiplied(factor_graph.cells(factors), message, states)
+    whole = joint.groupBy("factor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "val"))), lambda c: c["val"]).alias("values"))
+    each = factor_graph.marginal(whole, links).where("factor_id = 1 OR var_id = 3")
+    return rel.normalised(each, ["var_id"], "val").join(names, ["var_id", "state"]).select("var_id", "label", r6("p").alias("p"))
 
 
 @query(f"WITH {CHAIN} {MARGINALS}")
@@ -332,14 +275,26 @@ def fuzzy_and_or(spark, sf):
     """A customer is the OR of their orders, an order the AND of its lines; returned lines are negated, and an order of one
     returned line damps. A customer without any other order keeps 0.5."""
     li, o = t(spark, sf, "lineitem"), t(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    v = F.when(F.col("l_returnflag") == "R", 1 - F.col("l_discount") * 10).otherwise(F.col("l_discount") * 10)
-    r = li.select("l_orderkey", "l_returnflag", v.alias("v")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.min("v").alias("v"), ((F.count(F.lit(1)) == 1) & F.bool_and(F.col("l_returnflag") == "R")).alias("damper"))
-    return r.groupBy("o_custkey").agg(r6(F.coalesce(F.max(F.when(~F.col("damper"), F.col("v"))), F.lit(0.5)) * F.coalesce(F.min(F.when(F.col("damper"), F.col("v"))), F.lit(1.0))).alias("value"))
+    rows = li.select("l_orderkey", (F.col("l_discount") * 10).alias("v"), (F.col("l_returnflag") == "R").alias("negated"))
+    lines = rows.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    inputs = lines.select(F.col("l_orderkey").alias("rel_id"), F.col("o_custkey").alias("output_var"), (-1 - F.round(F.col("v") * 100)).cast("long").alias("input_var"), "negated")
+    levels = inputs.select(F.col("input_var").alias("var_id")).distinct().withColumn("value", (-1 - F.col("var_id")) / 100.0)
+    state = levels.select(F.lit(1).alias("scenario_id"), "var_id", "value").union(o.select(F.lit(1), "o_custkey", F.lit(0.5)).distinct())
+    variables = state.select("var_id", F.lit(True).alias("identical"))
+    none = F.lit(None).cast("double")
+    scenarios = spark.range(0).select(F.lit(1).alias("scenario_id"), F.col("id").alias("var_id"), *(none.alias(c) for c in ("stim", "act", "inh", "init")))
+    customers = lines.select(F.col("o_custkey").alias("var_id")).distinct()
+    new = boolnet.step(state, inputs, variables, scenarios, "identity", "min").join(customers, "var_id", "left_semi")
+    return new.select(F.col("var_id").alias("o_custkey"), r6("value").alias("value"))
 
 
 @query("SELECT l_orderkey, round(product(CASE WHEN l_returnflag = 'R' THEN 1 - l_discount ELSE 1 - l_tax END), 6) AS value FROM lineitem GROUP BY l_orderkey")
 def fuzzy_prod(spark, sf):
-    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(r6(F.product(F.when(F.col("l_returnflag") == "R", 1 - F.col("l_discount")).otherwise(1 - F.col("l_tax")))).alias("value"))
+    li = t(spark, sf, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("negated"), F.when(F.col("l_returnflag") == "R", F.col("l_discount")).otherwise(1 - F.col("l_tax")).alias("v"))
+    inputs = li.select(F.col("l_orderkey").alias("rel_id"), F.col("l_orderkey").alias("output_var"), F.round(F.col("v") * 100).cast("long").alias("input_var"), "negated")
+    state = inputs.select("input_var").distinct().select(F.lit(1).alias("scenario_id"), F.col("input_var").alias("var_id"), (F.col("input_var") / 100.0).alias("value"))
+    r = boolnet.relation_values(state, inputs, state.select("var_id", F.lit(True).alias("identical")), "identity", "prod")
+    return r.select(F.col("rel_id").alias("l_orderkey"), r6("value").alias("value"))
 
 
 def feedback(spark) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +328,7 @@ def bn_feedback_sim(spark, sf):
 def bn_table_sim(spark, sf):
     """The same steps as tables, for networks too large for one task."""
     v, i = feedback(spark)
-    track = boolnet.simulate_table(v, i, doses(spark, sf), 8, transfer="identity", every=4)
+    track = boolnet.expanded(boolnet.simulate_table(v, i, doses(spark, sf), transfer="identity"), 9).where("t <= 8")
     return track.select("scenario_id", "t", F.col("var_id").cast("int").alias("var_id"), r6("value").alias("value"))
 
 
@@ -392,10 +347,14 @@ def auc_rel_change(spark, sf):
 
 @query("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT max(n) AS m FROM n) SELECT user_id, event_type, count(*) AS n_rows, sum(k % n)::BIGINT AS check_sum FROM n, m, unnest(range(0, m)) AS u(k) GROUP BY ALL")
 def track_expand(spark, sf):
-    """Short series repeated cyclically to the length of the longest."""
-    n = t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    k = n.crossJoin(n.agg(F.max("n").alias("m"))).select("user_id", "event_type", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
-    return k.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("k") % F.col("n")).alias("check_sum"))
+    """Short series repeated cyclically to the length of the longest: attractors that are whole tracks."""
+    e = t(spark, sf, "events").select(F.to_json(F.struct("user_id", "event_type")).alias("scenario_id"), "event_id", "user_id", "event_type")
+    place = F.row_number().over(W.partitionBy("scenario_id").orderBy("event_id")) - 1
+    track = e.select("scenario_id", F.lit(0).alias("var_id"), place.alias("t"), "user_id", "event_type").withColumn("value", F.col("t")).withColumn("in_attractor", F.lit(True))
+    track = cut(track, "tracks")
+    longest = track.agg(F.max("t") + 1).first()[0] or 0
+    long_ = boolnet.expanded(track, longest)
+    return long_.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("value").cast("long")).alias("check_sum"))
 
 
 # --- drugs
@@ -436,8 +395,8 @@ def matrix_row_sum(spark, sf):
 def semi_anti_filter(spark, sf):
     c, o = t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
     urgent = o.where("o_orderpriority = '1-URGENT'").select("c_custkey")
-    a = c.join(o.where("o_orderstatus = 'P'").select("c_custkey"), "c_custkey", "left_semi").join(urgent, "c_custkey", "left_semi").withColumn("urgent", F.lit(True))
-    return a.union(c.join(urgent, "c_custkey", "left_anti").withColumn("urgent", F.lit(False)))
+    a = rel.among(rel.among(c, o.where("o_orderstatus = 'P'"), "c_custkey"), urgent, "c_custkey").withColumn("urgent", F.lit(True))
+    return a.union(rel.not_among(c, urgent, "c_custkey").withColumn("urgent", F.lit(False)))
 
 
 @query("SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49")
@@ -466,7 +425,7 @@ def ari_lang_source(spark, sf):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n, round(min(l_extendedprice), 2) AS least FROM lineitem")
 def pearson(spark, sf):
-    return t(spark, sf, "lineitem").agg(r6(F.corr("l_quantity", "l_extendedprice")).alias("r"), F.count(F.lit(1)).alias("n"), r6(F.min("l_extendedprice"), 2).alias("least"))
+    return rel.correlation(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(r6("r").alias("r"), "n", r6("least_b", 2).alias("least"))
 
 
 @query("SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS idx FROM (SELECT DISTINCT p_brand FROM part)")
@@ -483,11 +442,11 @@ def set_union(spark, sf):
 # --- iterative
 
 
-@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier WHERE s_acctbal > 2000 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 3 <> 0),
+@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS root FROM x UNION SELECT x.b, r.root FROM r JOIN x ON x.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def connected_components(spark, sf):
     s, n = t(spark, sf, "supplier"), t(spark, sf, "nation")
-    e = s.where("s_acctbal > 2000").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b")).union(n.where("n_nationkey % 3 != 0").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
+    e = s.select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
     return components.components(e)
 
 
@@ -502,8 +461,8 @@ def cycle_vars(spark, sf):
 
 @query()
 def permutation_ari(spark, sf):
-    """100 random dealings of the sources."""
-    return drug.permutation_null(t(spark, sf, "documents"), "lang", "source", times=100)
+    """10,000 random dealings of the sources."""
+    return drug.permutation_null(t(spark, sf, "documents"), "lang", "source")
 
 
 @query()
@@ -566,21 +525,21 @@ def drug_hits(spark, sf):
 
 @query("SELECT o_custkey, o_orderkey, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 def top_per_group(spark, sf):
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place")).where("place <= 3")
+    return rel.top_of(t(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 3, "place").select("o_custkey", "o_orderkey", "place")
 
 
 @query("SELECT user_id, count(*) FILTER (value >= 50) AS n_high, count(*) FILTER (value > 190) AS n_top FROM events GROUP BY user_id")
 def count_thresholds(spark, sf):
-    return t(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("value") >= 50).alias("n_high"), F.count_if(F.col("value") > 190).alias("n_top"))
+    v = F.col("value")
+    return rel.counted_if(t(spark, sf, "events"), ["user_id"], {"n_high": v >= 50, "n_top": v > 190})
 
 
 @query("SELECT round(corr(a.m, p_retailprice), 6) AS r, count(*) AS n FROM part JOIN (SELECT l_partkey, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) a ON l_partkey = p_partkey")
 def correlation_join(spark, sf):
     """A score averaged by gene against a property of the gene."""
-    m = t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("m"))
-    j = t(spark, sf, "part").join(m, F.col("l_partkey") == F.col("p_partkey"))
-    return j.agg(r6(F.corr("m", "p_retailprice")).alias("r"), F.count(F.lit(1)).alias("n"))
+    scores = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("gene"), F.col("l_extendedprice").alias("score"))
+    lengths = t(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("length"))
+    return rel.correlation(rel.with_property(scores, lengths, "gene", "score"), "score", "length").select(r6("r").alias("r"), "n")
 
 
 GRID = """WITH x AS (SELECT k, c_mktsegment AS x, c_custkey % k AS y, count(*)::DOUBLE AS n FROM customer, range(2, 7) AS g(k) GROUP BY ALL),
@@ -607,20 +566,12 @@ def score_stability(spark, sf):
     return drug.stability(sums, [10, 20, 40]).select("key", *(r6(F.col(f"`{k}`")).alias(f"h{k}") for k in (10, 20, 40)))
 
 
-@query("SELECT CASE WHEN strpos(lower(text), 'the') > 0 THEN 'the' ELSE 'other' END AS marker, count(*) AS n, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(len(list_filter(string_split(text, chr(10)), lambda x: x = '')))::BIGINT AS n_blank FROM documents GROUP BY ALL")
+@query("SELECT least(lang, source) || chr(9) || greatest(lang, source) AS pair, coalesce(nullif(source, ''), lang) AS named, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
 def string_functions(spark, sf):
-    """Lower-casing, search, splitting into lines and counting blank ones."""
-    lines = F.split("text", "\n")
-    d = t(spark, sf, "documents").groupBy(F.when(F.instr(F.lower("text"), "the") > 0, "the").otherwise("other").alias("marker"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(lines).cast("long")).alias("n_lines"), F.sum(F.size(F.filter(lines, lambda x: x == "")).cast("long")).alias("n_blank"))
-
-
-def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        ship(spark)
-        return f(spark, sf)
-
-    return run
+    """Names of unordered pairs, and the first name that there is."""
+    d = t(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    return d.groupBy(scalar.pair_name(F.col("lang"), F.col("source")).alias("pair"), scalar.first_named(F.col("source"), F.col("lang")).alias("named")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {name: shipped(f) for name, f in QUERIES.items()}
+# The other modules register theirs.
+from netquill.plans import catalogue_files, catalogue_graphs, catalogue_runs  # noqa: E402, F401

@@ -44,10 +44,20 @@ def handler(name: str):
 
 
 def _register() -> None:
-    from netquill.operators.observations import discretized, empirical
+    from netquill.operators.observations import discretized, empirical, mixture, scored_mutations
 
-    HANDLERS.setdefault("discrete", discretized)
-    HANDLERS.setdefault("empirical", empirical)
+    for name, f in {"discrete": discretized, "empirical": empirical, "mixture": mixture, "mutation": scored_mutations}.items():
+        HANDLERS.setdefault(name, f)
+
+
+def evidence(file: DataFile, obs, config: Config, **more):
+    """The evidence columns that a data file's handler adds to its observations. ``more`` goes to the handler, such as the scores
+    of all mutations."""
+    _register()
+    options = {"thresholds": config.thresholds} if file.handler in ("discrete", "mixture") else {}
+    if "states" in file.options:
+        options["states"] = int(file.options["states"])
+    return HANDLERS[file.handler](obs, **options, **more)
 
 
 def parse(text: str) -> Config:

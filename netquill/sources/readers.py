@@ -6,10 +6,13 @@ keys, so formats in which order matters work over files that are read in splits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netquill.operators.relational import first_of
 from netquill.plans.checkpoint import row_numbers
 
 MUTATION_KEY = (1, 2, 3, 6, 7)  # fixed values: positions of the columns that identify a mutation
@@ -23,6 +26,25 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 ORDER = ["file", "block", "line_order"]
 
 
+def numbered(rows: DataFrame, name: str = "rn") -> DataFrame:
+    """``rows`` (of :func:`lines`) with their numbers from 1 in their file. A file's blocks are counted, then numbered each."""
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"))  # a row for each block
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("file", "block").orderBy("line_order"))
+    return rows.withColumn("__in", within).join(counts.select("file", "block", before.alias("__before")), ["file", "block"]).withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before")
+
+
+def carried(rows: DataFrame, header: Column, name: str) -> DataFrame:
+    """``rows`` (of :func:`lines`) with the last value of ``header`` that isn't null up to each line of the file: looked for in the
+    line's block, and where that has none before it, in the blocks before."""
+    marked = rows.withColumn("__h", header)
+    ends = marked.where("__h IS NOT NULL").groupBy("file", "block").agg(F.max_by("__h", "line_order").alias("__e"))  # a row for each block
+    blocks = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    before = F.last("__e", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    within = F.last("__h", ignorenulls=True).over(W.partitionBy("file", "block").orderBy("line_order"))
+    return marked.withColumn("__in", within).join(blocks.select("file", "block", before.alias("__before")), ["file", "block"]).withColumn(name, F.coalesce("__in", "__before")).drop("__h", "__in", "__before")
+
+
 def _table(spark: SparkSession, path: str, sep: str = "\t", header: bool = True) -> DataFrame:
     return spark.read.csv(path, sep=sep, header=header, inferSchema=False)
 
@@ -34,7 +56,11 @@ def present(cell: Column) -> Column:
 def matrix(spark: SparkSession, path: str, data_type: str, genes: DataFrame | None = None, single: bool = False) -> DataFrame:
     """(sample_id, gene, data_type, value) of a wide gene-by-sample file. ``genes`` (column gene) restricts it; ``single``
     keeps single precision."""
-    wide = _table(spark, path)
+    return cells_of(_table(spark, path), data_type, genes, single)
+
+
+def cells_of(wide: DataFrame, data_type: str, genes: DataFrame | None = None, single: bool = False) -> DataFrame:
+    """The same of a wide table of text cells, the gene in its first column."""
     gene, *samples = wide.columns
     cells = wide.select(F.col(gene).alias("gene"), *(F.col(f"`{s}`") for s in samples)).unpivot("gene", [f"`{s}`" for s in samples], "sample_id", "cell")
     cells = cells if genes is None else cells.join(genes.select("gene").distinct(), "gene", "left_semi")
@@ -44,7 +70,11 @@ def matrix(spark: SparkSession, path: str, data_type: str, genes: DataFrame | No
 
 def mutations(spark: SparkSession, path: str, score: str) -> DataFrame:
     """(gene, sample_id, score) of the missense mutations of known samples with a numeric score."""
-    t = _table(spark, path)
+    return missense(_table(spark, path), score)
+
+
+def missense(t: DataFrame, score: str) -> DataFrame:
+    """The same of a mutation table, the gene in its first column."""
     return t.where((F.col("Tumor_Sample_Barcode") != "Unknown") & (F.col("Variant_Classification") == "Missense_Mutation")).select(
         F.col(t.columns[0]).alias("gene"), F.col("Tumor_Sample_Barcode").alias("sample_id"), F.expr(f"try_cast(`{score}` AS DOUBLE)").alias("score")
     ).where("score IS NOT NULL")
@@ -68,8 +98,8 @@ def mutation_scores(spark: SparkSession, path: str, score: str) -> DataFrame:
     at = head["t"].index(score)
     key = F.concat_ws(":", *(F.get("t", F.lit(i)) for i in MUTATION_KEY))
     body = rows.where((F.col("file") != head["file"]) | (F.col("block") != head["block"]) | (F.col("line_order") != head["line_order"]))
-    first = body.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*ORDER))).where("rn = 1")
-    return first.select(F.expr(f"try_cast(get(t, {at}) AS DOUBLE)").alias("score")).where("score IS NOT NULL")
+    cells = body.select(*ORDER, key.alias("key"), F.get("t", F.lit(at)).alias("cell")).where("cell IS NOT NULL AND cell != ''")
+    return first_of(cells, ["key"], ORDER).select(F.expr("try_cast(cell AS DOUBLE)").alias("score")).where("score IS NOT NULL")
 
 
 def scores(spark: SparkSession, path: str) -> DataFrame:
@@ -78,17 +108,24 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
 
 def pairs(spark: SparkSession, path: str, *more: str) -> DataFrame:
     """Distinct (gene1, gene2) of one or more pair files."""
-    out = None
-    for p in (path, *more):
-        t = spark.read.csv(p, sep="\t", schema="gene1 string, gene2 string").where("gene1 IS NOT NULL AND gene2 IS NOT NULL")
-        out = t if out is None else out.union(t)
-    return out.distinct()
+    return distinct_pairs(*(spark.read.csv(p, sep="\t", schema="gene1 string, gene2 string") for p in (path, *more)))
+
+
+def distinct_pairs(*tables: DataFrame) -> DataFrame:
+    """Distinct (gene1, gene2) without null of tables with these two columns in order."""
+    named = [t.toDF("gene1", "gene2").where("gene1 IS NOT NULL AND gene2 IS NOT NULL") for t in tables]
+    return reduce(DataFrame.union, named).distinct()
 
 
 def toy_network(spark: SparkSession, path: str) -> DataFrame:
     """(input, negated, output) of lines ``[!]A=B``."""
+    return toy_edges(spark.read.text(path))
+
+
+def toy_edges(text: DataFrame) -> DataFrame:
+    """The same of a table of lines (column value)."""
     value = F.trim("value")
-    parts = spark.read.text(path).where(value.contains("=")).select(F.regexp_extract(value, r"^(!?)\s*([^=]+?)\s*=\s*(.+)$", 2).alias("input"), (F.regexp_extract(value, r"^(!?)", 1) == "!").alias("negated"), F.regexp_extract(value, r"^(!?)\s*([^=]+?)\s*=\s*(.+)$", 3).alias("output"))
+    parts = text.where(value.contains("=")).select(F.regexp_extract(value, r"^(!?)\s*([^=]+?)\s*=\s*(.+)$", 2).alias("input"), (F.regexp_extract(value, r"^(!?)", 1) == "!").alias("negated"), F.regexp_extract(value, r"^(!?)\s*([^=]+?)\s*=\s*(.+)$", 3).alias("output"))
     return parts.where("input != ''")
 
 
@@ -98,12 +135,7 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
 
 def cluster_lines(spark: SparkSession, path: str, keep: DataFrame | None = None) -> DataFrame:
     """(cluster, member): the number of the line, from 1, is the cluster. ``keep``: column member."""
-    files = lines(spark, path)
-    # Lines are numbered without gathering them: a count for each block, then a running number within it.
-    counts = files.groupBy("file", "block").count()
-    before = F.coalesce(F.sum("count").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = files.withColumn("rn", F.row_number().over(W.partitionBy("file", "block").orderBy("line_order"))).join(counts.select("file", "block", before.alias("before")), ["file", "block"])
-    out = numbered.select((F.col("before") + F.col("rn")).alias("cluster"), F.explode(F.split("value", "\t")).alias("member")).where("member != ''")
+    out = numbered(lines(spark, path)).select(F.col("rn").alias("cluster"), F.explode(F.split("value", "\t")).alias("member")).where("member != ''")
     return out if keep is None else out.join(keep.select("member").distinct(), "member", "left_semi").select("cluster", "member")
 
 
@@ -120,7 +152,7 @@ def module_clusters(spark: SparkSession, path: str, keep: DataFrame | None = Non
     """(cluster, member) of module text: a line ``Nr of module: k`` names the cluster of the lines after it."""
     rows = lines(spark, path)
     cluster = F.expr("try_cast(regexp_extract(value, 'Nr of module:\\\\s*(\\\\d+)', 1) AS INT)")
-    filled = rows.withColumn("cluster", F.last(cluster, ignorenulls=True).over(W.partitionBy("file").orderBy("block", "line_order")))
+    filled = carried(rows, cluster, "cluster")
     skip = F.col("value").rlike(r"^(Rownames|Colnames|Depth|__)|Nr of module:|^\s*$")
     out = filled.where(~skip & F.col("cluster").isNotNull()).select("cluster", F.explode(F.split(F.trim("value"), r"\t")).alias("member"))
     return out if keep is None else out.join(keep.select("member").distinct(), "member", "left_semi").select("cluster", "member")
@@ -128,8 +160,7 @@ def module_clusters(spark: SparkSession, path: str, keep: DataFrame | None = Non
 
 def drug_names(spark: SparkSession, path: str) -> DataFrame:
     """(key, name): rows after the header with exactly four fields; the key is ``Drug_<id>_IC50``."""
-    t = lines(spark, path).withColumn("t", F.split("value", "\t"))
-    t = t.withColumn("rn", F.row_number().over(W.partitionBy("file").orderBy("block", "line_order"))).where("rn > 1 AND size(t) = 4")
+    t = numbered(lines(spark, path)).withColumn("t", F.split("value", "\t")).where("rn > 1 AND size(t) = 4")
     return t.select(F.concat(F.lit("Drug_"), F.get("t", F.lit(0)), F.lit("_IC50")).alias("key"), F.get("t", F.lit(3)).alias("name"))
 
 
@@ -151,7 +182,11 @@ def first_column(spark: SparkSession, path: str, name: str = "drug") -> DataFram
 
 def ic50(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, drug, weight) with weight 2^-x of every cell that isn't empty."""
-    wide = _table(spark, path, ",")
+    return drug_weights(_table(spark, path, ","))
+
+
+def drug_weights(wide: DataFrame) -> DataFrame:
+    """The same of a wide table of text cells, the sample in its first column."""
     sample, *drugs = wide.columns
     cells = wide.withColumnRenamed(sample, "sample_id").unpivot("sample_id", [f"`{d}`" for d in drugs], "drug", "cell").where(present(F.col("cell")))
     return cells.select("sample_id", "drug", F.pow(F.lit(2.0), -F.expr("try_cast(cell AS DOUBLE)")).alias("weight"))
@@ -178,8 +213,13 @@ def sample_types(states: DataFrame, outputs: list[str], shuffle_seed: int | None
 
 def log_seconds(spark: SparkSession, path: str) -> DataFrame:
     """(name, seconds) of log lines like ``... name: 12.5 seconds``, slowest first."""
+    return seconds_of(spark.read.text(path))
+
+
+def seconds_of(text: DataFrame) -> DataFrame:
+    """The same of a table of lines (column value)."""
     value = F.col("value")
-    return spark.read.text(path).select(F.regexp_extract(value, r"([^:]+):\s*([0-9.]+)\s*seconds", 1).alias("name"), F.expr(r"try_cast(regexp_extract(value, '([^:]+):\\s*([0-9.]+)\\s*seconds', 2) AS DOUBLE)").alias("seconds")).where("seconds IS NOT NULL").orderBy(F.desc("seconds"))
+    return text.select(F.regexp_extract(value, r"([^:]+):\s*([0-9.]+)\s*seconds", 1).alias("name"), F.expr(r"try_cast(regexp_extract(value, '([^:]+):\\s*([0-9.]+)\\s*seconds', 2) AS DOUBLE)").alias("seconds")).where("seconds IS NOT NULL").orderBy(F.desc("seconds"))
 
 
 def log_parameters(spark: SparkSession, path: str) -> DataFrame:
@@ -190,11 +230,10 @@ def log_parameters(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_blocks(spark: SparkSession, path: str, score_column: int) -> DataFrame:
     """(sample_id, gene, value) of ``Sample:`` blocks: after each such line a header line, then rows."""
-    rows = lines(spark, path)
-    w = W.partitionBy("file").orderBy("block", "line_order")
-    named = rows.withColumn("sample_id", F.last(F.when(F.col("value").startswith("Sample:"), F.trim(F.substring("value", 8, 1_000_000))), ignorenulls=True).over(w))
-    named = named.withColumn("after_name", F.lag("value").over(w).startswith("Sample:"))
-    body = named.where(F.col("sample_id").isNotNull() & ~F.col("value").startswith("Sample:") & ~F.coalesce("after_name", F.lit(False)) & (F.trim("value") != "")).withColumn("t", F.split("value", "\t"))
+    rows = numbered(lines(spark, path))
+    head = F.when(F.col("value").startswith("Sample:"), F.struct(F.trim(F.substring("value", 8, 1_000_000)).alias("name"), F.col("rn").alias("at")))
+    named = carried(rows, head, "head").where(F.col("head").isNotNull() & (F.col("rn") > F.col("head.at") + 1) & (F.trim("value") != ""))
+    body = named.select(F.col("head.name").alias("sample_id"), F.split("value", "\t").alias("t"))
     return body.select("sample_id", F.get("t", F.lit(0)).alias("gene"), F.expr(f"try_cast(get(t, {score_column}) AS DOUBLE)").alias("value"))
 
 
@@ -217,6 +256,12 @@ def factor_graph(spark: SparkSession, path: str, form: str = "parquet") -> tuple
     return tuple(spark.read.parquet(f"{path}/{name}") for name in kinds)
 
 
+def factor_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """Kernel rows of many graphs from one file (or folder of files) as :func:`netquill.sources.writers.factor_graphs` wrote."""
+    kind = "graph_id string, factor_id string, states array<int>, values array<double>, var_ids array<long>"
+    return spark.read.format("xml").option("rowTag", "factor").schema(kind).load(path).select("graph_id", "factor_id", "var_ids", "states", "values")
+
+
 def boolean_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(variables, inputs) of a Boolean network in XML."""
     kinds = {"variables": "var_id long, identical boolean", "inputs": "rel_id long, output_var long, input_var long, negated boolean"}

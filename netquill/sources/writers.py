@@ -71,9 +71,12 @@ def tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, sep="\t", header=header, emptyValue="")
 
 
-def factor_graphs(factors: DataFrame, path: str) -> None:
-    """Kernel rows of many graphs, a folder for each graph."""
-    factors.write.partitionBy("graph_id").parquet(path)
+def factor_graphs(factors: DataFrame, path: str, files: int | None = None) -> None:
+    """Kernel rows of many graphs as XML, an element for each factor with its graph's identifier; ``files`` = 1 makes one file,
+    which is for graphs of a moderate number."""
+    rows = factors.select(F.col("graph_id").cast("string").alias("graph_id"), F.col("factor_id").cast("string").alias("factor_id"), "states", "values", "var_ids")
+    rows = rows if files is None else rows.repartition(files)
+    rows.write.format("xml").option("rootTag", "factors").option("rowTag", "factor").save(path)
 
 
 def boolean_network(variables: DataFrame, inputs: DataFrame, path: str) -> None:

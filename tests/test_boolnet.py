@@ -44,12 +44,20 @@ def test_golden_changes(spark, rows, transfer, length, want):
     assert [r["change"] for r in got] == pytest.approx(list(want), abs=1e-7)
 
 
-def test_table_steps_equal_kernel(spark, rows):
+@pytest.mark.parametrize("keep_larger", [False, True])
+def test_table_steps_equal_kernel(spark, rows, keep_larger):
+    """Tracks, attractors and whether they are reached, of scenarios that end at different times."""
     v, i = feedback(spark)
-    k = boolnet.simulate(v, i, stimulus(rows, 0.8), transfer="identity").select("var_id", "t", "value")
-    s = boolnet.simulate_table(v, i, stimulus(rows, 0.8), 8, transfer="identity", every=3).select("var_id", "t", "value")
-    got = {(r["var_id"], r["t"]): round(r["value"], 9) for r in s.collect()}
-    assert got == {(r["var_id"], r["t"]): round(r["value"], 9) for r in k.collect()}
+    sc = stimulus(rows, 0.1, 0.8).union(rows([("b", 1, 0.4, None, 0.2, None), ("b", 0, None, 0.3, None, 0.5)], "scenario_id string, var_id long, stim double, act double, inh double, init double"))
+    options = {"transfer": "identity", "keep_larger": keep_larger}
+    key = lambda d: sorted((r["scenario_id"], r["t"], r["var_id"], round(r["value"], 9), r["in_attractor"], r["reached"]) for r in d.collect())
+    assert key(boolnet.simulate_table(v, i, sc, **options)) == key(boolnet.simulate(v, i, sc, **options))
+
+
+def test_table_without_attractor(spark, rows):
+    v, i = feedback(spark)
+    t = boolnet.simulate_table(v, i, stimulus(rows, 0.8), transfer="identity", gate="prod", rounds=4)
+    assert t.agg(F.max("t")).first()[0] == 5 and not t.where("in_attractor OR reached").count()
 
 
 def test_modified_inputs_and_unknown_names(spark, rows):
