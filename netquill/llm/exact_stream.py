@@ -85,7 +85,8 @@ def keyed_state(records: DataFrame, path: str, least: int = 1) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.metricsEnabled": "false",
     }.items():

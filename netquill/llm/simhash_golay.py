@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from netquill.llm.common import materialize, shared
 from netquill.llm.exact_stream import located, unused
 from netquill.operators.components import components
-from netquill.plans.checkpoint import row_numbers
+from netquill.plans.checkpoint import free, row_numbers
 
 SEED = 42
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -534,7 +534,9 @@ def similar(nodes: DataFrame, index: Callable[[], DataFrame], texts_of: Callable
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "simhash-pairs")
         wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-        return materialize(verified(pairs, texts_of(wanted), shingle, similarity), "simhash-links")
+        out = verified(pairs, texts_of(wanted), shingle, similarity)
+        free(pairs)
+        return out
 
     keys = _keys(nodes, NEIGHBOURS)
     star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
@@ -571,7 +573,9 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     s = materialize(texts.mapInArrow(sets, "node long, hashes binary"), "simhash-sets")
     both = pairs.join(s, "node").withColumnRenamed("hashes", "x").join(s.select(F.col("node").alias("hub"), F.col("hashes").alias("y")), "hub")
-    return both.select("node", "hub", "x", "y").mapInArrow(alike, "node long, hub long")
+    out = materialize(both.select("node", "hub", "x", "y").mapInArrow(alike, "node long, hub long"), "simhash-links")
+    free(s)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -601,4 +605,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.node").alias("keep"))
     gone = grouped.join(shared(materialize(first, "simhash-first")), "root").where(F.col("node") != F.col("keep"))
     gone = gone.join(shared(files, 2_000_000), F.shiftrightunsigned("node", 40) == F.col("k")).select(F.struct("file", F.col("node").bitwiseAND(F.lit((1 << 40) - 1)).alias("row")).alias(at))
-    return rows.join(shared(materialize(gone, "simhash-gone")), at, "left_anti").drop(at)
+    gone = materialize(gone, "simhash-gone")
+    free(p, least, nodes, roots, grouped)  # what stays depends on this list only
+    return rows.join(shared(gone), at, "left_anti").drop(at)
