@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netquill.llm import decontam, exact_stream, packing, simhash_golay, toxicity
 from netquill.llm.common import materialize, prepare, table
+from netquill.plans.checkpoint import free
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        free(before)  # what an earlier stage wrote
     return STAGES[-1][1](spark, docs, sf_dir)
