@@ -4,29 +4,34 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquill.functions.scalar import log_ratio
 from netquill.operators.relational import with_degrees
 
 
-def pair_factors(pairs: DataFrame, model: str = "mrf", gamma: float = 0.01, tau: float = 0.21) -> DataFrame:
-    """(gene1, gene2, values) of binary genes, the first varying fastest. Models: mrf, ising, degree, neighbour."""
-    if model == "mrf":
-        return pairs.select("gene1", "gene2", F.array(*map(F.lit, (0.31, 0.19, 0.19, 0.31))).alias("values"))
-    if model == "ising":
-        return pairs.select("gene1", "gene2", F.array(*map(F.lit, (0.99, 0.01, 0.01, 0.99))).alias("values"))
-    d = with_degrees(pairs)
+# Pair values of the models that don't depend on degrees.
+PAIR_VALUES = {"mrf": (0.31, 0.19, 0.19, 0.31), "ising": (0.99, 0.01, 0.01, 0.99)}
+
+
+def pair_values(model: str, gamma: float = 0.01, tau: float = 0.21) -> Column:
+    """Values of a pair's factor; of the models degree and neighbour from the columns d1 and d2."""
+    if model in PAIR_VALUES:
+        return F.array(*map(F.lit, PAIR_VALUES[model]))
     if model == "degree":
         g, h = gamma, 1 - gamma
-        v = F.array(F.lit(2.0 * h), 1 + g - h / F.col("d1"), 1 + g - h / F.col("d2"), h * (1 / F.col("d1") + 1 / F.col("d2")))
-    elif model == "neighbour":
+        return F.array(F.lit(2.0 * h), 1 + g - h / F.col("d1"), 1 + g - h / F.col("d2"), h * (1 / F.col("d1") + 1 / F.col("d2")))
+    if model == "neighbour":
         e = F.exp(tau * (F.sqrt("d1") + F.sqrt("d2")))
-        v = F.array(e, F.lit(1.0), F.lit(1.0), e)
-    else:
-        raise ValueError(f"unknown model {model}")
-    return d.select("gene1", "gene2", v.alias("values"))
+        return F.array(e, F.lit(1.0), F.lit(1.0), e)
+    raise ValueError(f"unknown model {model}")
+
+
+def pair_factors(pairs: DataFrame, model: str = "mrf", gamma: float = 0.01, tau: float = 0.21) -> DataFrame:
+    """(gene1, gene2, values) of binary genes, the first varying fastest. Models: mrf, ising, degree, neighbour."""
+    d = pairs if model in PAIR_VALUES else with_degrees(pairs)
+    return d.select("gene1", "gene2", pair_values(model, gamma, tau).alias("values"))
 
 
 def gene_values(model: str = "mrf") -> tuple[float, float] | None:

@@ -100,10 +100,9 @@ def fi_degree(spark, sf):
 
 @query(f"WITH {FI} SELECT gene1, gene2, round(2 * 0.99::DOUBLE, 6) AS v0, round(1 + 0.01 - 0.99 / x.d, 6) AS v1, round(1 + 0.01 - 0.99 / y.d, 6) AS v2, round(0.99 * (1.0::DOUBLE / x.d + 1.0::DOUBLE / y.d), 6) AS v3, round(exp(0.21 * (sqrt(x.d) + sqrt(y.d))), 4) AS nng FROM fi JOIN deg x ON x.gene = gene1 JOIN deg y ON y.gene = gene2")
 def fi_degree_factor(spark, sf):
-    p = fi(spark, sf)
-    a = network.pair_factors(p, "degree").select("gene1", "gene2", *(r6(F.get("values", F.lit(k))).alias(f"v{k}") for k in range(4)))
-    b = network.pair_factors(p, "neighbour").select("gene1", "gene2", r6(F.get("values", F.lit(0)), 4).alias("nng"))
-    return a.join(b, ["gene1", "gene2"])
+    """Both models that depend on degrees, which are joined once."""
+    d = rel.with_degrees(fi(spark, sf)).select("gene1", "gene2", network.pair_values("degree").alias("v"), network.pair_values("neighbour").alias("w"))
+    return d.select("gene1", "gene2", *(r6(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(4)), r6(F.get("w", F.lit(0)), 4).alias("nng"))
 
 
 @query("SELECT DISTINCT 's' || l_suppkey AS gene1, 'p' || l_partkey AS gene2, 0.99::DOUBLE AS same, 0.01::DOUBLE AS different FROM lineitem")
