@@ -91,7 +91,7 @@ def likelihoods(seed, k=4):
     return np.exp(ll - ll.max(1)[:, None]).T, 2 * np.log(max(n, 2))
 
 
-def plain_em(like, langs, rounds=3000):
+def plain_em(like, langs, rounds=1500):
     pi, course = np.ones(len(langs)) / len(langs), []
     for _ in range(rounds):
         r = like[langs] * pi[:, None]
@@ -101,7 +101,7 @@ def plain_em(like, langs, rounds=3000):
 
 
 def test_mixtures_against_all_sets_of_languages():
-    for seed in range(60):
+    for seed in range(30):
         like, cost = likelihoods(seed)
         every = [list(s) for size in range(1, 5) for s in itertools.combinations(range(4), size)]
         best = max(every, key=lambda s: plain_em(like, s)[1][-1] - (len(s) - 1) * cost)
