@@ -126,9 +126,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for the same rows: the block from every word on is compared with every template, without filters."""
+    """DuckDB SQL for the same rows: the block from every word on is compared with every template, without filters. Sets of words
+    are bit sets over the templates' words, 62 to a number."""
     longest = max(len(t.split()) for _, t in TEMPLATES)
-    values = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))})" for label, t in TEMPLATES)
+    words = sorted({w for _, t in TEMPLATES for w in t.split()})
+    parts = range(-(-len(words) // 62))
+    mask = lambda some: [sum(1 << (i % 62) for i, w in enumerate(words) if w in some and i // 62 == k) for k in parts]
+    numbers = lambda some: ", ".join(f"{x}::BIGINT" for x in mask(some))
+    columns = ", ".join(f"m{k}" for k in parts)
+    vocabulary = ", ".join(f"('{w}', {numbers({w})})" for w in words)
+    values = ", ".join(f"('{label}', {numbers(set(t.split()))}, {len(set(t.split()))}, {max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))})" for label, t in TEMPLATES)
+    window = f"OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {2 * longest - 1} FOLLOWING)"
+    held = ", ".join(f"bit_or(coalesce(m{k}, 0)) {window} AS b{k}" for k in parts)
+    common = " + ".join(f"bit_count(b{k} & m{k})" for k in parts)
     places_sql = " + ".join(
         f"[{{'s': i, 'l': '{label}'}} FOR i IN range(0, len(w) - {len(p.split()) - 1}) IF " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + "]" for p, label in PHRASES
     )
@@ -136,9 +146,11 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT *, {places_sql} AS p FROM d),
-t AS (SELECT * FROM (VALUES {values}) AS t(label, tokens, least)),
-blocks AS (SELECT rid, list_slice(w, s.i + 1, s.i + {2 * longest}) AS block FROM d, unnest(range(0, len(w))) AS s(i)),
-m AS (SELECT rid, label, len(list_intersect(tokens, block)) AS n, len(tokens) AS size FROM blocks, t WHERE len(list_intersect(tokens, block)) >= least),
+t AS (SELECT * FROM (VALUES {values}) AS t(label, {columns}, size, least)),
+v AS (SELECT * FROM (VALUES {vocabulary}) AS v(word, {columns})),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+blocks AS (SELECT rid, {held} FROM x LEFT JOIN v ON v.word = x.word),
+m AS (SELECT rid, label, {common} AS n, size FROM blocks, t WHERE {common} >= least),
 g AS (SELECT rid, max(n / size) AS best, list(DISTINCT label) AS found FROM m GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min([x.s FOR x IN p])::BIGINT AS first_word, list_max([x.s FOR x IN p])::BIGINT AS last_word,
        array_to_string(list_sort(list_distinct([x.l FOR x IN p])), ',') AS base_labels,
