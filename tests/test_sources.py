@@ -160,3 +160,22 @@ def test_stream(spark, rows, tmp_path):
         score_arrivals(spark, src, d.schema, f"file://{tmp_path}/out", f"file://{tmp_path}/ckpt").awaitTermination()
         d.write.mode("append").parquet(src)
     assert [r["state"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [0, 0]
+
+
+def test_formats_in_which_order_matters_across_blocks(spark, file):
+    """Files that are read in many splits: lines are numbered, and headers carried, from block to block."""
+    modules = "".join(f"Nr of module: {m}\nRownames 3\n" + "".join(f"g{m}_{k}\n" for k in range(m % 40)) + "\n" for m in range(1, 80))
+    blocks = "".join(f"Sample:s{m}\nGenes\tx\n" + "".join(f"g{k}\t{m}.5\n" for k in range(m % 40)) for m in range(1, 80))
+    clusters = "".join("\t".join(f"c{m}_{k}" for k in range(1 + m % 30)) + "\n" for m in range(1, 80))
+    names = "id\ta\tb\tname\n" + "".join(f"{m}\ta\tb\tdrug{m}\n" for m in range(300))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert readers.lines(spark, file(modules, "m")).select("block").distinct().count() > 10
+        assert sorted(got(readers.module_clusters(spark, file(modules, "m")))) == sorted((m, f"g{m}_{k}") for m in range(1, 80) for k in range(m % 40))
+        assert sorted(got(readers.sample_blocks(spark, file(blocks, "b"), 1))) == sorted((f"s{m}", f"g{k}", m + 0.5) for m in range(1, 80) for k in range(m % 40))
+        assert sorted(got(readers.cluster_lines(spark, file(clusters, "c")))) == sorted((m, f"c{m}_{k}") for m in range(1, 80) for k in range(1 + m % 30))
+        assert sorted(got(readers.drug_names(spark, file(names, "n")))) == sorted((f"Drug_{m}_IC50", f"drug{m}") for m in range(300))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
