@@ -11,7 +11,7 @@ from netquill.operators import relational as rel
 from netquill.plans.checkpoint import cut
 from netquill.plans.registry import CHAIN, FI, chain, constants, fi, folder, query, r6, structs, t, vectors
 from netquill.sources import config, readers, writers
-from netquill.streaming.incremental import score_arrivals
+from netquill.streaming.incremental import score_arrivals, window_means
 
 KINDS = {"click": "CNV", "error": "Methylation", "purchase": "Mutation", "signup": "miRNA", "view": "mRNA_EXP"}
 BIO = "bio AS (SELECT event_id, user_id, 'G' || floor(value / 100)::INT AS gene, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END AS data_type, (value - 100) / 100 AS value FROM events)"
@@ -127,6 +127,31 @@ def streamed_states(spark, sf):
     return spark.read.parquet(out).select("event_id", "state")
 
 
+def windowed(spark, sf, **kind) -> DataFrame:
+    new, out = folder(spark), folder(spark)
+    e = t(spark, sf, "events").select(F.col("event_type").alias("data_type"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    e.coalesce(1).write.parquet(new)  # one file is one batch, so nothing is late here
+    window_means(spark, new, e.schema, out, folder(spark), **kind).awaitTermination()
+    return spark.read.parquet(out).select("data_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("mean", 4).alias("mean"))
+
+
+CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(f"SELECT event_type AS data_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 6 HOUR, min(ts), TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR <= {CLOSED}")
+def streamed_windows(spark, sf):
+    """Means in windows of six hours; the last ones aren't final yet."""
+    return windowed(spark, sf, width="6 hours")
+
+
+@query(f"""WITH e AS (SELECT event_type, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT event_type AS data_type, min(ts) AS start, count(*) AS n, round(avg(value), 4) AS mean FROM s GROUP BY event_type, k HAVING max(ts) + INTERVAL 10 MINUTE <= {CLOSED}""")
+def streamed_sessions(spark, sf):
+    """Means of sessions, which end after ten minutes without an event of the type."""
+    return windowed(spark, sf, gap="10 minutes")
+
+
 # --- networks
 
 
@@ -141,6 +166,14 @@ def network_factors(spark, sf):
     return f.join(size, "factor_id").groupBy(kind).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.aggregate("values", F.lit(0.0), lambda a, b: a + b)), 4).alias("total"))
 
 
+@query("WITH q AS (SELECT c_nationkey AS k, 0.1 + 0.8 * avg((c_acctbal > 4500)::INT) AS p FROM customer GROUP BY 1), s AS (SELECT c_mktsegment, c_nationkey AS k, 0.1 + 0.8 * avg((c_acctbal > 4500)::INT) AS p FROM customer GROUP BY ALL) SELECT c_mktsegment AS sample_id, s.k AS var_id, round(log10(s.p * (1 - q.p) / ((1 - s.p) * q.p)), 6) AS score FROM s JOIN q ON q.k = s.k")
+def network_odds(spark, sf):
+    """Log odds ratios of samples' beliefs and their prior."""
+    rich = lambda *by: t(spark, sf, "customer").groupBy(*by).agg((0.1 + 0.8 * F.avg((F.col("c_acctbal") > 4500).cast("int"))).alias("p"))
+    k, s = F.col("c_nationkey").alias("var_id"), F.col("c_mktsegment").alias("sample_id")
+    return network.scores(rich(k), rich(s, k)).select("sample_id", "var_id", r6("score").alias("score"))
+
+
 TEMPLATE = """WITH e AS (SELECT user_id, event_type, CASE WHEN avg(value) >= 100 THEN 1 ELSE 0 END AS b FROM events GROUP BY ALL),
 w AS (SELECT user_id, event_type, 0.4::DOUBLE * CASE b WHEN 0 THEN 0.1 ELSE 0.9 END::DOUBLE AS x, 0.6::DOUBLE * CASE b WHEN 0 THEN 0.55 ELSE 0.45 END::DOUBLE AS y FROM e)"""
 
@@ -231,6 +264,14 @@ def bp_damped(spark, sf):
     return b.join(names, ["var_id", "state"]).select("var_id", "label", r6("p", 4).alias("p"))
 
 
+@query(f"WITH {CHAIN}, best AS (SELECT a, b, c FROM j ORDER BY v DESC, a, b, c LIMIT 1) SELECT 1 AS var_id, a AS label, false AS ambiguous FROM best UNION ALL SELECT 2, b, false FROM best UNION ALL SELECT 3, c, false FROM best")
+def bp_decoded(spark, sf):
+    """The most probable states by maxima sent over tables."""
+    factors, links, names = chain(spark, sf)
+    b, _, _ = belief.propagate(factors, links, maximise=True)
+    return belief.decoded(b).join(names, ["var_id", "state"]).select("var_id", "label", "ambiguous")
+
+
 @query("SELECT * FROM (VALUES ('enough', true), ('best', true), ('too few', false), ('best, too few', false)) AS v(rounds, converged)")
 def bp_convergence(spark, sf):
     """A graph that doesn't converge is reported, in sums and in maxima."""
@@ -507,6 +548,14 @@ def drug_target_network(spark, sf):
     return drug.target_network(*interactions(spark, sf)).select("drug", "target", r6("weight").alias("weight"))
 
 
+@query("WITH c AS (SELECT c_mktsegment AS s, c_nationkey AS k, avg(c_acctbal) / 10000 - 0.45 AS c FROM customer GROUP BY ALL) SELECT s AS scenario_id, round(sum(abs(c)), 6) AS sum_impact, round(avg(abs(c)), 6) AS mean_impact FROM c WHERE k < 10 GROUP BY s")
+def drug_impact_sums(spark, sf):
+    """Changes summed over output variables only."""
+    c = t(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("scenario_id"), F.col("c_nationkey").alias("key")).agg((F.avg("c_acctbal") / 10000 - 0.45).alias("change"))
+    out = t(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("key"))
+    return drug.impacts(c, out).select("scenario_id", r6("sum_impact").alias("sum_impact"), r6("mean_impact").alias("mean_impact"))
+
+
 @query("WITH v AS (SELECT s_suppkey, s_nationkey, floor(s_acctbal / 2000)::INT AS gene, s_acctbal < 3000 AS driven FROM supplier), b AS (SELECT s_suppkey, gene FROM v QUALIFY row_number() OVER (PARTITION BY s_nationkey, gene ORDER BY driven, s_suppkey) = 1) SELECT d.drug, s_suppkey AS var_id, 'Inhibition' AS modification, 0.5::DOUBLE AS strength FROM b, (VALUES ('x', 0), ('x', 2), ('y', 2), ('y', 4)) AS d(drug, gene) WHERE d.gene = b.gene")
 def drug_injected(spark, sf):
     """Suppliers as variables, connected through their nations; of a gene one variable in each part, an undriven one first."""
