@@ -7,7 +7,7 @@ exact after as many sweeps as the tree is deep.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,9 +52,11 @@ def propagate(factors: DataFrame, links: DataFrame, tolerance: float = 1e-6, swe
         sums = sums.withColumn("t", F.sum("s").over(message))
         sent = edge.join(sums, ["factor_id", "var_id", "state"], "left").select("factor_id", "var_id", "state", F.coalesce(F.try_divide("s", "t"), F.lit(0.0)).alias("p"))
         old = f2v.withColumnRenamed("p", "old")
-        new = cut(sent.join(old, ["factor_id", "var_id", "state"]).select("factor_id", "var_id", "state", (F.col("p") * (1 - damping) + F.col("old") * damping).alias("p"), F.abs(F.col("p") - F.col("old")).alias("change")), "f2v")
-        differences.append(new.agg(F.max("change")).first()[0] or 0.0)
-        f2v = new.drop("change")
+        seen = Observation()  # the largest change is seen while the messages are written; a task that runs again can't change it
+        changed = sent.join(old, ["factor_id", "var_id", "state"]).select("factor_id", "var_id", "state", (F.col("p") * (1 - damping) + F.col("old") * damping).alias("p"), F.abs(F.col("p") - F.col("old")).alias("change"))
+        new = cut(changed.observe(seen, F.max("change").alias("most")).drop("change"), "f2v")
+        differences.append(seen.get["most"] or 0.0)
+        f2v = new
         kept.append(new)
         free(*kept[:-2])
         if differences[-1] <= tolerance:
