@@ -48,8 +48,8 @@ def linked_into_one(variables: DataFrame, edges: DataFrame) -> DataFrame:
     c = components(edges)
     roots = variables.select("node").join(c, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     size = cut(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    main = size.agg(F.min_by("root", F.struct(-F.col("n"), "root")).alias("a"))
-    return size.crossJoin(main).where("root != a").select("a", F.col("root").alias("b"))
+    main = F.lit(size.agg(F.min_by("root", F.struct(-F.col("n"), "root"))).first()[0]).cast(size.schema["root"].dataType)
+    return size.where(F.col("root") != main).select(main.alias("a"), F.col("root").alias("b"))
 
 
 def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
