@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import bpe_count, decontam, exact_stream, langid, license_scan, packing, simhash_golay, toxicity, url_filter, warc_zip
+from netquill.llm import bpe_codec, bpe_count, decontam, exact_stream, importance, langid, license_scan, packing, simhash_golay, source_divergence, toxicity, url_filter, warc_zip
 from netquill.llm.common import remainder, prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,24 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+
+
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    whole = bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return whole.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -95,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_bpe_codec": op11_bpe_codec,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +124,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc_zip": OP4_SQL,
     "op6_url_filter": url_filter.oracle_sql(),
     "op10_exact_dedup": OP10_SQL,
+    "op12_source_divergence": source_divergence.oracle_sql(),
+    "op13_importance_resampling": importance.oracle_sql(),
 }
