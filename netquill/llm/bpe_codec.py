@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -108,7 +109,7 @@ def splitter(pattern: str, new: str) -> Callable[[str], list[str]]:
     find = regex.compile(pattern).findall
     if not new:
         return find
-    has_new = regex.compile(f"[{new}]").search
+    has_new = re.compile(f"[{new}]").search  # a table, where the regex module would try one span after the other
     older = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\s[\p{L}\p{N}--[NEW]]]").replace(r"\p{L}+", r"[\p{L}--[NEW]]+").replace(r"\p{N}+", r"[\p{N}--[NEW]]+")
     find_older = regex.compile(older.replace("NEW", new), regex.V1).findall
     return lambda text: (find_older if not text.isascii() and has_new(text) else find)(text)
@@ -135,15 +136,30 @@ class _Numbers(dict):
         return n
 
 
-def pack_places(places: np.ndarray) -> bytes:
-    """Increasing places as differences of the fewest bytes, after a byte that says how many."""
-    gaps = np.diff(places, prepend=0)
-    width = int(np.searchsorted([1 << 8, 1 << 16], int(gaps.max()), "right"))
-    return bytes([width]) + gaps.astype(_WIDTHS[width]).tobytes()
-
-
-def unpack_places(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, _WIDTHS[packed[0]], offset=1), dtype=np.int64)
+def pack_places(where: np.ndarray, n: int) -> list[bytes]:
+    """For each of the numbers 0 .. n - 1 in ``where`` its places: their differences in the fewest bytes, after a byte that says
+    how many."""
+    order = np.argsort(where, kind="stable")
+    ends = np.cumsum(np.bincount(where, minlength=n))
+    begins = np.concatenate([[0], ends[:-1]])
+    gaps = np.diff(order, prepend=0)
+    gaps[begins] = order[begins]
+    width = np.searchsorted([1 << 8, 1 << 16], np.maximum.reduceat(gaps, begins), "right")
+    whole = [gaps.astype(w).tobytes() for w in _WIDTHS]
+    return [bytes((w,)) + whole[w][a << w : b << w] for w, a, b in zip(width.tolist(), begins.tolist(), ends.tolist(), strict=True)]
+
+
+def unpack_places(packed: list[bytes], total: int) -> np.ndarray:
+    """The inverse: which number stands at each of ``total`` places."""
+    which = np.zeros(total, np.int64)
+    for width, dtype in enumerate(_WIDTHS):
+        mine = [k for k, p in enumerate(packed) if p[0] == width]
+        if mine:
+            size = np.array([(len(packed[k]) - 1) >> width for k in mine])
+            gaps = np.frombuffer(b"".join([packed[k][1:] for k in mine]), dtype).astype(np.int64)
+            upto, begins = np.cumsum(gaps), np.cumsum(size) - size
+            which[upto - np.repeat(upto[begins] - gaps[begins], size)] = np.repeat(mine, size)
+    return which
 
 
 def explode_words(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -157,11 +173,10 @@ def explode_words(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS)
 
         def rows():
             where = np.concatenate([np.zeros(0, np.int64), *places])
-            order = np.argsort(where, kind="stable")
-            spots = np.split(order, np.cumsum(np.bincount(where, minlength=len(numbers)))[:-1]) if numbers else []
+            spots = pack_places(where, len(numbers)) if numbers else []
             n, key = len(numbers) + 1, (part << 32) + chunk
             return pa.RecordBatch.from_arrays(
-                [pa.array([key] * n, pa.int64()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([sizes] + [None] * (n - 1), pa.list_(pa.int64())), pa.array([None, *numbers], pa.string()), pa.array([None, *map(pack_places, spots)], pa.binary())],
+                [pa.array([key] * n, pa.int64()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([sizes] + [None] * (n - 1), pa.list_(pa.int64())), pa.array([None, *numbers], pa.string()), pa.array([None, *spots], pa.binary())],
                 ["chunk", "ids", "sizes", "word", "at"],
             )
 
@@ -246,9 +261,7 @@ def reassembled(spots: DataFrame, words: DataFrame, id_col: str) -> DataFrame:
         head = rows.filter(rows.column("sizes").is_valid())
         docs, sizes = head.column("docs").combine_chunks().flatten(), np.asarray(head.column("sizes")[0].as_py(), np.int64)
         rest = rows.filter(rows.column("at").is_valid())
-        which = np.zeros(int(sizes.sum()), np.int64)
-        for k, at in enumerate(rest.column("at").to_pylist()):
-            which[unpack_places(at)] = k
+        which = unpack_places(rest.column("at").to_pylist(), int(sizes.sum()))
         got = []
         for name, dtype in (("ids", np.dtype("<u4")), ("bytes", np.uint8)):
             values, ends = _gathered(*_slices(rest.column(name), dtype), which) if len(rest) else (np.zeros(0, dtype), np.zeros(1, np.int64))
