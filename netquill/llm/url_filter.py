@@ -9,7 +9,9 @@ host's distrust exceeds its trust by ``threshold``.
 
 Links are the absolute and protocol-relative ones in href attributes; links within a host count for nothing. Ranks
 are a table of hosts; each round is an aggregate and joins, written to the shared folder, and adds the walks that are
-a link longer, until these add less than a tolerance to any host.
+a link longer. A round passes on at most ``damping`` of the round before, so all that is still to come to a host is less
+than what walks now times damping / (1 - damping); the walks end when that can't move any host over the threshold, or
+is less than a tolerance of a billionth (values that lie on the threshold to that precision count as they are then).
 
 Cases: a null url or one without ``://`` has an empty host and path and fits no rule and is allowed; a null page has
 no links; repeated rows count as pages each; an empty table gives an empty table; only the named columns are read.
@@ -28,7 +30,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>]+)"""
-DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 100, 0.5, 1e-4
+DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 1e-9
+SQL_ROUNDS = 200
 BROADCAST_HOSTS = 100_000
 
 
@@ -57,44 +60,53 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranks(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust): the seeds' weights and what reaches a host from them, round by round, until no host gets
-    ``tolerance`` or ``rounds`` are over. seeds: host, trust, distrust; edges: src, dst, n."""
+def ranks(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float | None = None) -> DataFrame:
+    """(host, trust, distrust): the seeds' weights and what reaches a host from them, round by round, until what is still to come is
+    less than ``tolerance``, or less than every host's distance of distrust - trust from ``threshold``. seeds: host, trust,
+    distrust; edges: src, dst, n."""
     edges = materialize(edges, "host-edges")
     if edges.isEmpty():
         return seeds
     out = edges.groupBy("src").agg(F.sum("n").alias("o"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("i"))
-    edges = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("o")).alias("forth"), (F.col("n") / F.col("i")).alias("back")), "host-edges")
+    links, edges = edges, materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("o")).alias("forth"), (F.col("n") / F.col("i")).alias("back")), "host-edges")
+    free(links)
     seeds = materialize(seeds, "host-seeds")
     now = total = seeds
-    for _ in range(rounds):
+    while True:
         forth = edges.join(now.where("trust > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("forth") * F.col("trust") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
         back = edges.join(now.where("distrust > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"))
         both = lambda d: d.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        now = materialize(both(forth.union(back)), "host-ranks")
-        before, total = total, materialize(both(total.union(now)), "host-ranks")
-        free(before)
-        if (now.agg(F.max(F.greatest("trust", "distrust"))).first()[0] or 0.0) < tolerance:
+        before, now = now, materialize(both(forth.union(back)), "host-ranks")
+        known, total = total, materialize(both(total.union(now)), "host-ranks")
+        free(before, known if known is not before else None)
+        walking = now.agg(F.sum("trust"), F.sum("distrust")).first()
+        to_come = max(walking[0] or 0.0, walking[1] or 0.0) * damping / (1 - damping)
+        if to_come > tolerance and threshold is not None:
+            margin = total.agg(F.min(F.abs(F.col("distrust") - F.col("trust") - threshold))).first()[0]
+            if margin > 2 * to_come:  # the factor: rounding
+                break
+        if to_come <= tolerance:
             break
+    free(now, edges)
     return total
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING) -> DataFrame:
     """(id, host, path, rule, verdict) of each row."""
     rules = RULES if rules is None else rules
     src = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     src = src.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, 0).alias("ruled"))
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = src.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    blocked = ranks(seeds, host_edges(pages, url_col, html_col), damping, rounds).where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("method"))
+    blocked = ranks(seeds, host_edges(pages, url_col, html_col), damping, threshold=threshold).where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("method"))
     blocked = materialize(blocked, "blocked-hosts")
     small = blocked.count() <= BROADCAST_HOSTS  # then the pages needn't move; beyond it a sort-merge join that splits hot hosts
     return src.join(F.broadcast(blocked) if small else blocked, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the same rows; the walks from the seeds by recursion, all rounds without a tolerance."""
+    """DuckDB SQL for the same rows; the walks from the seeds by recursion, ``SQL_ROUNDS`` rounds without another end."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     order = sorted(RULES, key=lambda r: -(len(r[1]) + len(r[2])))
 
@@ -111,7 +123,7 @@ e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND sr
 w AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM e),
 a AS (SELECT src AS at, dst AS host, {DAMPING} * forth AS forth, 0.0::DOUBLE AS back FROM w UNION ALL SELECT dst, src, 0, {DAMPING} * back FROM w),
 p AS (SELECT 0 AS k, host, trust, distrust FROM s
-  UNION ALL SELECT k + 1, a.host, sum(forth * trust), sum(back * distrust) FROM p JOIN a ON a.at = p.host WHERE k < {ROUNDS} GROUP BY k, a.host),
+  UNION ALL SELECT k + 1, a.host, sum(forth * trust), sum(back * distrust) FROM p JOIN a ON a.at = p.host WHERE k < {SQL_ROUNDS} GROUP BY k, a.host),
 f AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM p GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN f.distrust - f.trust >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN f ON r.host = f.host
