@@ -285,6 +285,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(id, ids ARRAY<INT>) of every row."""
     packed = round_trip(docs, ranks_path, pattern, id_col, text_col, chunk_chars)
-    number = lambda i: F.conv(F.hex(F.reverse(F.substring("ids", 4 * i + 1, 4))), 16, 10).cast("int")
+    byte = lambda i, k: F.substring("ids", 4 * i + k, 1)
+    number = lambda i: F.conv(F.hex(F.concat(*(byte(i, k) for k in (4, 3, 2, 1)))), 16, 10).cast("int")
     ids = F.when(F.col("n_tokens") > 0, F.transform(F.sequence(F.lit(0), F.col("n_tokens").cast("int") - 1), number)).otherwise(F.array().cast("array<int>"))
     return packed.select(id_col, ids.alias("ids"))

@@ -148,8 +148,9 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, lang_col: str =
         parts = parts.unionByName(more)
     pairs = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
     terms = sums.where("kind = 'term'").select("lang", "source", "item", "value", F.lit("term").alias("part"))
-    ranked = pairs.unionByName(terms).withColumn("rank", F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
+    rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    ranked = pairs.withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= top))
+    return ranked.select("lang", "source", "part", "item", "value", "rank")
 
 
 def oracle_sql(least_docs: int = 10, top: int = 10) -> str:

@@ -1,7 +1,10 @@
 """Archives, url filter, packing and decontamination: round trips and brute force."""
 
 import io
+import os
 import random
+import subprocess
+import sys
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -143,7 +146,7 @@ def test_propagation_against_brute_force(spark):
     nodes = {*n, *(b for _, b in edges)}
     st, sd = {h: max(0, -ruled[h]) / max(1, n[h]) for h in nodes}, {h: max(0, ruled[h]) / max(1, n[h]) for h in nodes}
     tr, di = dict(st), dict(sd)
-    for _ in range(url_filter.ROUNDS):
+    for _ in range(url_filter.SQL_ROUNDS):
         nt, nd = dict(st), dict(sd)
         for (a, b), c in edges.items():
             nt[b] += 0.85 * c / out[a] * tr[a]
@@ -156,6 +159,24 @@ def test_propagation_against_brute_force(spark):
     assert {h for h in nodes if h.endswith(".com") and di[h] - tr[h] >= 0.5}  # the method blocks some host that no rule does
 
 
+@pytest.mark.parametrize("verdict", ["block", "allow"])
+def test_many_small_gains_add_up(spark, verdict):
+    """A hub that reaches a seed over a thousand hosts only: no host between gets much."""
+    seed, hub = ("seed.test", "hub.test") if verdict == "block" else ("hub.test", "seed.test")
+    mids = [f"m{k}.test" for k in range(1000)]
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    pages = [(0, "http://seed.test/", link(*mids) if seed == "hub.test" else ""), (1, "http://hub.test/", link(*mids) if hub == "hub.test" else "")]
+    pages += [(k + 2, f"http://{m}/", link("seed.test" if verdict == "block" else "hub.test")) for k, m in enumerate(mids)]
+    if verdict == "allow":  # trust of 0.7225 from the seed against distrust of 0.85 from a blocked host: allowed by their difference
+        pages += [(5000, "http://bad.test/", ""), (5001, "http://hub.test/", link("bad.test"))]
+    rules = [("block" if verdict == "block" else "allow", "seed.test", "/"), ("block", "bad.test", "/")]
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, PAGES), rules).collect()}
+    assert got["hub.test"] == verdict
+    ranks = url_filter.ranks(spark.createDataFrame([("seed.test", 0.0, 1.0)], "host string, trust double, distrust double"), url_filter.host_edges(spark.createDataFrame(pages, PAGES)))
+    if verdict == "block":
+        assert {r["host"]: r["distrust"] for r in ranks.collect()}["hub.test"] == pytest.approx(0.7225)
+
+
 def test_url_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -286,9 +307,11 @@ def fewest(window, doc):
     return min(prev)
 
 
-@pytest.mark.parametrize("alphabet", ["abc ", "abcdefghij "])
-def test_leaks_against_brute_force(alphabet):
+@pytest.mark.parametrize("pairs", [1, 40, 500_000])
+@pytest.mark.parametrize("alphabet", ["ab ", "abc ", "abcdefghij "])
+def test_leaks_against_brute_force(alphabet, pairs, monkeypatch):
     rnd, positives = random.Random(3), 0
+    monkeypatch.setattr(decontam, "MOST_PAIRS", pairs)
 
     def text(n):
         return " ".join("".join(rnd.choice(alphabet) for _ in range(n)).split())
@@ -312,6 +335,19 @@ def test_leaks_against_brute_force(alphabet):
     assert positives > 60
 
 
+def test_repetitive_texts_take_bounded_memory():
+    """A process of 1.2 GB of addresses finds what repetitive texts of up to two million characters leak."""
+    code = """
+import resource, sys
+resource.setrlimit(resource.RLIMIT_AS, (1_200_000_000, 1_200_000_000))
+from netquill.llm import decontam as d
+for item, doc, want in (("lol " * 500, "lol " * 12_500, {0: 0}), ("lol " * 500, "lol " * 50_000, {0: 0}), ("x" * 2000, "x" * 2_000_000, {0: 0}), ("lol " * 500, "lol lol lol lol x " * 3000, {}), ("lol " * 500, ("lol " * 9 + "x yz ") * 2000, {0: 4})):
+    assert d.find(d.build([0], [item]), d.codes(d.normalise(doc))) == want, item[:9]
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, env={**os.environ, "OPENBLAS_NUM_THREADS": "1"})
+    assert done.returncode == 0, done.stderr
+
+
 def test_leaks_in_long_texts_and_blocks(spark, odd, empty):
     item = "this benchmark question asks for the capital of a country that nobody has ever named before today"
     b = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (4, "another question about rivers and mountains which is long enough for a window")], "item_id long, text string")
