@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netquill.operators.components import components
+from netquill.plans.checkpoint import cut, row_numbers
 
 
 def with_strides(links: DataFrame) -> DataFrame:
@@ -52,10 +53,26 @@ def uninferable(continuous: DataFrame) -> DataFrame:
     return continuous.groupBy("var_id").agg(bad.alias("bad")).where("bad").select("var_id")
 
 
+MOST_PAIRED = 64  # variables of a factor up to which its pairs are written out; of more, bitmaps are joined
+
+
 def linked_variables(links: DataFrame) -> DataFrame:
-    """(var_id, n_linked): distinct other variables with which a variable shares a factor."""
-    other = links.select("factor_id", F.col("var_id").alias("other"))
-    return links.join(other, "factor_id").where("var_id != other").groupBy("var_id").agg(F.count_distinct("other").alias("n_linked"))
+    """(var_id, n_linked): distinct other variables with which a variable shares a factor.
+
+    Variables are numbered and sets of them are bitmaps of 32,768 each. A large factor has a row for each of its bitmaps, which its
+    variables join; only small ones are paired with themselves. So rows before the last aggregate are at most links times the
+    bitmaps of a factor (or ``MOST_PAIRED``), never the square of a factor's size."""
+    places = cut(links.select("factor_id", "var_id").distinct(), "places")
+    numbers = cut(row_numbers(places.select("var_id").distinct(), "var_id", name="no"), "numbers")
+    size = places.groupBy("factor_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    at = cut(places.join(size, "factor_id").join(numbers, "var_id").select("factor_id", "var_id", "k", F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")), "places")
+    small, large = at.where(F.col("k") <= MOST_PAIRED), at.where(F.col("k") > MOST_PAIRED)
+    pairs = small.select("factor_id", "var_id").join(small.select("factor_id", "bucket", "bit"), "factor_id").select("var_id", "bucket", "bit").distinct()
+    of_factor = large.groupBy("factor_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("set"))
+    joined = large.select("factor_id", "var_id").join(of_factor, "factor_id").groupBy("var_id", "bucket").agg(F.bitmap_or_agg("set").alias("set"))
+    sets = pairs.groupBy("var_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("set")).union(joined)
+    whole = sets.groupBy("var_id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("set")).alias("n"))
+    return whole.groupBy("var_id").agg((F.sum("n") - 1).alias("n_linked"))  # without itself
 
 
 def evidence_factors(evidence: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -179,22 +179,128 @@ def most_probable(factors: DataFrame, tolerance: float = 1e-6, rounds: int = 10_
     return factors.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, var_id long, state int, converged boolean")
 
 
-def prior_and_posterior(factors: DataFrame, evidence: DataFrame, base: DataFrame | None = None, fall_back: int = 500, **options) -> DataFrame:
+def _scaled(m: np.ndarray, empty: float) -> np.ndarray:
+    """Rows scaled to a sum of one; ``empty`` everywhere in a row of zeros."""
+    s = m.sum(1, keepdims=True)
+    return np.divide(m, s, out=np.full_like(m, empty), where=s > 0)
+
+
+class Batch(Graph):
+    """One graph and many samples: messages are arrays with a row for each sample, so the graph is there once."""
+
+    def __init__(self, rows, told: dict[int, np.ndarray]):
+        super().__init__(rows)
+        self.told = told  # of a variable: samples x states
+
+    def propagate_all(self, n: int, tolerance: float = 1e-6, rounds: int = 10_000) -> np.ndarray:
+        """Messages of ``n`` samples as :meth:`Graph.propagate` sends them, the evidence being one more factor of its variables;
+        a sample that has settled (or keeps swinging) keeps its messages. Returns which ones converged."""
+        scaled = lambda m: _scaled(m, 1 / m.shape[1])
+        even = {v: np.full((n, k), 1 / k) for v, k in self.states.items()}
+        self.to_var = {(i, v): even[v].copy() for v, fs in self.by_var.items() for i in fs}
+        self.to_factor = {key: m.copy() for key, m in self.to_var.items()}
+        self.told = {v: _scaled(m, 0.0) for v, m in self.told.items()}
+        left, ok = np.arange(n), np.zeros(n, bool)
+        past: list[np.ndarray] = []
+        rises = np.zeros(n, int)
+        for number in range(rounds):
+            change = np.zeros(len(left))
+            for v, fs in self.by_var.items():
+                for i in fs:
+                    _, vs, t = self.factors[i]
+                    full = t[None]
+                    for axis, u in enumerate(vs):
+                        if u != v:
+                            shape = [len(left)] + [1] * len(vs)
+                            shape[axis + 1] = -1
+                            full = full * self.to_factor[i, u][left].reshape(shape)
+                    axes = tuple(a + 1 for a, u in enumerate(vs) if u != v)
+                    new = scaled(np.broadcast_to(full.sum(axes) if axes else full, (len(left), self.states[v])).astype(float))
+                    change = np.maximum(change, np.abs(new - self.to_var[i, v][left]).max(1))
+                    self.to_var[i, v][left] = new
+                told = self.told[v][left] if v in self.told else None
+                before = [np.ones((len(left), self.states[v])) if told is None else told]  # products of all messages before and after each
+                for i in fs[:-1]:
+                    before.append(scaled(before[-1] * self.to_var[i, v][left]))
+                after = np.ones((len(left), self.states[v]))
+                for i, b in zip(reversed(fs), reversed(before), strict=True):
+                    self.to_factor[i, v][left] = scaled(b * after)
+                    after = scaled(after * self.to_var[i, v][left])
+            if past:
+                rises[left] += change > past[-1]
+            settled = change <= tolerance
+            ok[left[settled]] = True
+            stop = settled | (rises[left] >= 10) if number + 1 >= 50 else settled
+            left, past = left[~stop], [change[~stop]]
+            if not len(left):
+                break
+        return ok
+
+    def beliefs(self, v: int, n: int) -> np.ndarray:
+        """Samples x states; all zero where the evidence is impossible."""
+        b = self.told.get(v, np.ones((n, self.states[v]))).copy()
+        for i in self.by_var[v]:
+            b = _scaled(b * self.to_var[i, v], 0.0)
+        return _scaled(b, 0.0)
+
+    def alone(self, k: int) -> Graph:
+        """The graph of one sample, its evidence as factors."""
+        told = [(f"evidence{v}", (v,), (self.states[v],), m[k]) for v, m in self.told.items()]
+        return Graph([(f, vs, t.shape, t.reshape(-1, order="F")) for f, vs, t in self.factors] + told)
+
+
+NUMBERS_A_BATCH = 4_000_000  # of the messages that a task holds for its samples
+
+
+def prior_and_posterior(factors: DataFrame, evidence: DataFrame, base: DataFrame | None = None, fall_back: int = 500, tolerance: float = 1e-6, rounds: int = 10_000, seed: int = 1) -> DataFrame:
     """(graph_id, sample_id, var_id, state, prior, posterior, converged): the marginals of every graph without evidence (or under
-    that of ``base``) and under each sample's. Graphs and samples are dealt out together, a task for each pair; what doesn't
-    converge falls back to Gibbs draws.
+    that of ``base``) and under each sample's. What doesn't converge falls back to Gibbs draws.
+
+    The samples of a graph are dealt out in batches, by what the graph's messages cost: a batch is one task's array, and the
+    graph is shipped once a batch, not once a sample. So what is shuffled are factors times batches, and the evidence.
 
     evidence: sample_id, graph_id, var_id, values (of the variable's states); base: the same without sample_id."""
-    keyed = factors.select(F.col("graph_id").cast("string").alias("g"), F.col("factor_id").cast("string").alias("factor_id"), "var_ids", "states", "values")
-    unary = lambda e: (F.concat(F.lit("evidence"), F.col("var_id").cast("string")).alias("factor_id"), F.array(F.col("var_id").cast("long")).alias("var_ids"), F.array(F.size("values")).alias("states"), F.col("values").cast("array<double>").alias("values"))
-    seen = evidence.select(F.to_json(F.struct(F.col("graph_id").cast("string").alias("g"), F.col("sample_id").cast("string").alias("s"))).alias("graph_id"), F.col("graph_id").cast("string").alias("g"), "var_id", "values")
-    pairs = seen.select("graph_id", "g").distinct()
-    after = pairs.join(keyed, "g").select("graph_id", "factor_id", "var_ids", "states", "values").unionByName(seen.select("graph_id", *unary(seen)))
-    alone = keyed.select(F.to_json(F.struct("g")).alias("graph_id"), "factor_id", "var_ids", "states", "values")
-    if base is not None:
-        alone = alone.unionByName(base.select(F.to_json(F.struct(F.col("graph_id").cast("string").alias("g"))).alias("graph_id"), *unary(base)))
-    m = marginals(after.unionByName(alone), fall_back=fall_back, **options)
-    m = cut(m.select(F.get_json_object("graph_id", "$.g").alias("g"), F.get_json_object("graph_id", "$.s").alias("s"), "var_id", "state", "p", "converged"), "beliefs")
+    g = F.col("graph_id").cast("string").alias("g")
+    keyed = factors.select(g, F.col("factor_id").cast("string").alias("factor_id"), "var_ids", "states", "values")
+    told = evidence.select(g, F.col("sample_id").cast("string").alias("s"), F.col("var_id").cast("long").alias("var_id"), F.col("values").cast("array<double>").alias("told"))
+    cost = keyed.groupBy("g").agg(F.sum(F.aggregate("states", F.lit(0).cast("long"), lambda a, b: a + b)).alias("cost"))
+    batches = told.groupBy("g").agg(F.count_distinct("s").alias("n")).join(cost, "g").select("g", F.ceil(F.col("n") * F.col("cost") / NUMBERS_A_BATCH).cast("int").alias("batches"))
+    batches = cut(batches, "batches")  # a row a graph
+    each = keyed.join(batches, "g").withColumn("batch", F.explode(F.sequence(F.lit(1), "batches"))).drop("batches")
+    sides = told.join(batches, "g").withColumn("batch", (F.pmod(F.xxhash64("s"), F.col("batches")) + 1).cast("int")).drop("batches")
+    alone = keyed.withColumn("batch", F.lit(0))
+    seen = base.select(g, F.lit(None).cast("string").alias("s"), F.col("var_id").cast("long").alias("var_id"), F.col("values").cast("array<double>").alias("told"), F.lit(0).alias("batch")) if base is not None else sides.select("g", "s", "var_id", "told", "batch").limit(0)
+
+    def run(key, graph: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        columns = ["g", "s", "var_id", "state", "p", "converged"]
+        if graph.empty:
+            return pd.DataFrame(columns=columns)
+        samples = sorted(told["s"].dropna().unique()) if key[1] else [None]
+        if not samples:
+            return pd.DataFrame(columns=columns)
+        number = {s: k for k, s in enumerate(samples)}
+        states = {v: n for vs, ns in zip(graph["var_ids"], graph["states"], strict=True) for v, n in zip(vs, ns, strict=True)}
+        said: dict[int, np.ndarray] = {}
+        for s, v, m in zip(told["s"], told["var_id"], told["told"], strict=True):
+            if v in states:
+                if v not in said:
+                    said[v] = np.ones((len(samples), states[v]))
+                said[v][number[s if key[1] else None]] *= m
+        b = Batch(zip(graph["factor_id"], graph["var_ids"], graph["states"], graph["values"], strict=True), said)
+        ok = b.propagate_all(len(samples), tolerance, rounds)
+        draws = {k: b.alone(k).sample(np.random.default_rng(_seed(seed, (key[0], samples[k]))), fall_back) for k in np.flatnonzero(~ok).tolist()} if fall_back else {}
+        parts = []
+        for at, v in enumerate(b.by_var):
+            p = b.beliefs(v, len(samples))
+            for k, d in draws.items():
+                p[k] = np.bincount(d[:, at], minlength=b.states[v]) / len(d)
+            n = b.states[v]
+            parts.append(pd.DataFrame({"g": key[0], "s": np.repeat(np.array(samples, object), n), "var_id": v, "state": np.tile(np.arange(n), len(samples)), "p": p.reshape(-1), "converged": np.repeat(ok, n)}))
+        return pd.concat(parts)[columns]
+
+    schema = "g string, s string, var_id long, state int, p double, converged boolean"
+    m = each.union(alone.select(*each.columns)).groupBy("g", "batch").cogroup(sides.select("g", "s", "var_id", "told", "batch").union(seen).groupBy("g", "batch")).applyInPandas(run, schema)
+    m = cut(m, "beliefs")
     prior = m.where("s IS NULL").select("g", "var_id", "state", F.col("p").alias("prior"))
     return m.where("s IS NOT NULL").join(prior, ["g", "var_id", "state"]).select(F.col("g").alias("graph_id"), F.col("s").alias("sample_id"), "var_id", "state", "prior", F.col("p").alias("posterior"), "converged")
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netquill.operators import residual
 from netquill.operators.kernel import _graph
-from netquill.plans.checkpoint import cut
+from netquill.plans.checkpoint import cut, free
 
 
 def maximised(counts: DataFrame, group: str = "group_id", parent: str = "parent_state", child: str = "child_state", n: str = "n") -> DataFrame:
@@ -78,6 +79,50 @@ def learn(factors: DataFrame, evidence: DataFrame, rounds: int = 50, tolerance:
     return now, (course[-1] if course else float("nan")), course
 
 
+def expected_on_tables(factors: DataFrame, links: DataFrame, evidence: DataFrame, **options) -> tuple[DataFrame, float]:
+    """:func:`expected` for a graph of any size, all samples at once as one fixpoint over tables: (group_id, idx, n) with a prior
+    count of one, and the log likelihood, each sample against the graph without evidence.
+
+    factors: factor_id, group_id (null: fixed), values; links: factor_id, pos, var_id, states; evidence: sample_id, var_id, values
+    and, if equal samples are one, weight."""
+    weight = F.col("weight") if "weight" in evidence.columns else F.lit(1)
+    of = F.concat(F.lit("="), F.col("sample_id").cast("string")).alias("sample_id")  # the sample without evidence is ''
+    told = evidence.select(of, "var_id", "values", weight.cast("double").alias("weight"))
+    weights = told.groupBy("sample_id").agg(F.max("weight").alias("weight"))
+    alone = factors.sparkSession.range(1).select(F.lit("").alias("sample_id"), F.lit(None).cast(told.schema["var_id"].dataType).alias("var_id"), F.lit(None).cast("array<double>").alias("values"))
+    all_ = cut(told.select("sample_id", "var_id", "values").union(alone), "evidence")
+    b = residual.propagate(factors, links, all_, **options)
+    grouped = factors.where("group_id IS NOT NULL").select("factor_id", "group_id")
+    counts = b.cells.join(grouped, "factor_id").join(weights, "sample_id").groupBy("group_id", "idx").agg((F.sum(F.col("weight") * F.col("p")) + 1.0).alias("n"))
+    z = residual.log_z(factors, links, b, all_).join(weights, "sample_id", "left")
+    ll, n, background = z.agg(F.sum(F.when(F.col("sample_id") != "", F.col("weight") * F.col("log_z"))), F.sum("weight"), F.max(F.when(F.col("sample_id") == "", F.col("log_z")))).first()
+    return counts, float(ll or 0.0) - (n or 0.0) * background
+
+
+def learn_on_tables(factors: DataFrame, links: DataFrame, evidence: DataFrame, rounds: int = 50, tolerance: float = 1e-3, **options) -> tuple[DataFrame, float, list[float]]:
+    """:func:`learn` for a graph of any size: (factors with learned values, last log likelihood, its course). Tables as in
+    :func:`expected_on_tables`; learnable factors have two variables, [child, parent]."""
+    child = links.where("pos = 0").join(factors.where("group_id IS NOT NULL"), "factor_id").groupBy("group_id").agg(F.first("states").alias("n_child"))
+    course: list[float] = []
+    now = cut(factors.select("factor_id", "group_id", "values"), "em-factors")
+    for _ in range(rounds):
+        try:
+            counts, ll = expected_on_tables(now, links, evidence, **options)
+        except residual.NotConverged:
+            break
+        if not np.isfinite(ll):
+            break
+        course.append(ll)
+        if len(course) > 1 and abs(course[-1] - course[-2]) <= tolerance * abs(course[-2]):
+            break
+        parts = counts.join(child, "group_id").withColumn("parent", F.floor(F.col("idx") / F.col("n_child")))
+        value = F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy("group_id", "parent")))
+        new = parts.select("group_id", F.struct("idx", value.alias("v")).alias("c")).groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["v"]).alias("new"))
+        before, now = now, cut(now.join(new, "group_id", "left").select("factor_id", "group_id", F.coalesce("new", "values").alias("values")), "em-factors")
+        free(before)
+    return now, (course[-1] if course else float("nan")), course
+
+
 def randomised(factors: DataFrame, seed: int) -> DataFrame:
     """Learnable values replaced by seeded random ones, each parent state's scaled to one."""
     n = F.element_at("states", 1)
