@@ -3,13 +3,13 @@
 A text is a sequence of pre-tokens ("words"), and equal words have equal identifiers, so each distinct word of all
 documents is encoded once:
 
-1. Documents are taken in chunks of about ``chunk_chars`` characters. Every chunk is exploded into a row for each of its
-   words, with the places where it stands (differences of one, two or four bytes) and a row that says which documents the
-   chunk has. A word that is everywhere has one row a chunk. The rows are written to the shared folder.
-2. The distinct words are shuffled together and encoded: the lowest-ranked adjacent pair is merged first, by a heap over a
-   linked list. Their identifiers are decoded by a join with the table of tokens and bytes (:func:`decode`).
-3. Identifiers and bytes are joined back to the chunks' words (broadcast if few, counted first; else a sort-merge join
-   whose hot keys are split) and each chunk is put together again by the places.
+1. Documents are taken in chunks of about ``chunk_chars`` characters and exploded into words and their positions. A chunk
+   says of every position which of its words stands there (packed: the two have few bits a word), and ships each of its words once, however often it stands there,
+   to the bucket of the word's hash. There are as many buckets as the corpus has ``BUCKET_CHARS`` characters.
+2. The words of a bucket are shuffled together, come sorted by bucket, and each distinct one is encoded once: the
+   lowest-ranked adjacent pair is merged first, by a heap over a linked list. Only one bucket's words are remembered.
+3. Identifiers go back to the chunks, which are put together again by the positions. :func:`round_trip` decodes them there,
+   each identifier joined with the broadcast table of tokens and bytes; :func:`decode` does it for any table of identifiers.
 
 A chunk is one task's group and holds whole documents, so memory is bounded by ``chunk_chars`` or the longest text.
 
@@ -23,8 +23,10 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,19 +36,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm.common import materialize, shared
+from netquill.llm.common import materialize
 
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS, BUCKET_CHARS = 16_000_000, 8_000_000
 CUT_CHARS = 1_000_000
-MOST_TOKENS = 2_000_000  # of a vocabulary, which every worker holds
-_WIDTHS = (np.uint8, np.uint16, np.uint32)
+MOST_TOKENS = 2_000_000  # of a vocabulary, which every worker holds; ranks are below
+SHORT = 40
+_PACK = pa.Codec("zstd", 6)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary of a rank file: lines of a token in base64 and its rank, which is its identifier."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    if len(ranks) > MOST_TOKENS:
+    if max(ranks.values(), default=0) >= MOST_TOKENS:
         raise ValueError(f"{path}: {len(ranks)} tokens; at most {MOST_TOKENS} can be copied to every worker")
     return ranks
 
@@ -57,6 +60,17 @@ def encode_word(ranks: dict[bytes, int], word: bytes) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(word)
+    if n <= SHORT:  # few pairs: the lowest is looked for
+        at = list(range(n + 1))
+        rank = [ranks.get(word[i : i + 2], MOST_TOKENS) for i in range(n - 1)]
+        while rank and (low := min(rank)) < MOST_TOKENS:
+            i = rank.index(low)
+            del at[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = ranks.get(word[at[i] : at[i + 2]], MOST_TOKENS)
+            if i:
+                rank[i - 1] = ranks.get(word[at[i - 1] : at[i + 1]], MOST_TOKENS)
+        return [ranks[word[a:b]] for a, b in zip(at, at[1:], strict=False)]
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte: its end, the part before it
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -79,6 +93,16 @@ def encode_word(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return out
 
 
+def _find_by_alphabet(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of ``pattern``; in texts of ASCII only by a pattern whose classes are spelled out, which is faster."""
+    find = regex.compile(pattern).findall
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]").replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]")
+    if "\\p" in plain or "[" in re.sub(r"\[[^\[\]]*\]", "", plain):  # a pattern with other classes
+        return find
+    find_plain = re.compile(plain).findall
+    return lambda text: (find_plain if text.isascii() else find)(text)
+
+
 @functools.cache
 def newer_letters(pattern: str) -> str:
     """A character class of the code points that the regex module calls letters or numbers and the tiktoken library, which
@@ -106,13 +130,14 @@ def newer_letters(pattern: str) -> str:
 
 def splitter(pattern: str, new: str) -> Callable[[str], list[str]]:
     """The function that splits a text into the pre-tokens that the tiktoken library sees. ``new``: :func:`newer_letters`."""
-    find = regex.compile(pattern).findall
+    find = _find_by_alphabet(pattern)
     if not new:
         return find
     has_new = re.compile(f"[{new}]").search  # a table, where the regex module would try one span after the other
+    far = re.compile(f"[{new[:10]}-\\U0010ffff]").search  # from the first of them on
     older = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\s[\p{L}\p{N}--[NEW]]]").replace(r"\p{L}+", r"[\p{L}--[NEW]]+").replace(r"\p{N}+", r"[\p{N}--[NEW]]+")
     find_older = regex.compile(older.replace("NEW", new), regex.V1).findall
-    return lambda text: (find_older if not text.isascii() and has_new(text) else find)(text)
+    return lambda text: (find_older if not text.isascii() and far(text) and has_new(text) else find)(text)
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -136,35 +161,40 @@ class _Numbers(dict):
         return n
 
 
-def pack_places(where: np.ndarray, n: int) -> list[bytes]:
-    """For each of the numbers 0 .. n - 1 in ``where`` its places: their differences in the fewest bytes, after a byte that says
-    how many."""
-    order = np.argsort(where, kind="stable")
-    ends = np.cumsum(np.bincount(where, minlength=n))
-    begins = np.concatenate([[0], ends[:-1]])
-    gaps = np.diff(order, prepend=0)
-    gaps[begins] = order[begins]
-    width = np.searchsorted([1 << 8, 1 << 16], np.maximum.reduceat(gaps, begins), "right")
-    whole = [gaps.astype(w).tobytes() for w in _WIDTHS]
-    return [bytes((w,)) + whole[w][a << w : b << w] for w, a, b in zip(width.tolist(), begins.tolist(), ends.tolist(), strict=True)]
-
-
-def unpack_places(packed: list[bytes], total: int) -> np.ndarray:
-    """The inverse: which number stands at each of ``total`` places."""
-    which = np.zeros(total, np.int64)
-    for width, dtype in enumerate(_WIDTHS):
-        mine = [k for k, p in enumerate(packed) if p[0] == width]
-        if mine:
-            size = np.array([(len(packed[k]) - 1) >> width for k in mine])
-            gaps = np.frombuffer(b"".join([packed[k][1:] for k in mine]), dtype).astype(np.int64)
-            upto, begins = np.cumsum(gaps), np.cumsum(size) - size
-            which[upto - np.repeat(upto[begins] - gaps[begins], size)] = np.repeat(mine, size)
-    return which
-
-
-def explode_words(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Of ``docs`` (id, text) a row (chunk, word, at) for each word of a chunk, and a row (chunk, ids, sizes) that lists its
-    documents and how many words each has."""
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _PACK.compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    return _PACK.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four compressed planes of bytes."""
+    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpack(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), "<u4", len(words)).tobytes()
+    return _pack(len(words).to_bytes(4, "little") + sizes + b"".join(words))
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    raw = _unpack(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)])).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def explode_words(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Of ``docs`` (id, text) for each chunk a row (chunk, ids, sizes, at, of): its documents, how many words each has, the number of
+    the word at each position and the bucket of each number, both packed; and rows (chunk, bucket, words): its words of a bucket
+    in the order of their numbers. Frequent words have small numbers."""
     kind, new = docs.schema[0].dataType.simpleString(), newer_letters(pattern)
 
     def run(batches):
@@ -172,12 +202,24 @@ def explode_words(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS)
         numbers, places, ids, sizes, chars = _Numbers(), [], [], [], 0
 
         def rows():
-            where = np.concatenate([np.zeros(0, np.int64), *places])
-            spots = pack_places(where, len(numbers)) if numbers else []
-            n, key = len(numbers) + 1, (part << 32) + chunk
+            at = np.concatenate([np.zeros(0, np.int64), *places])
+            words = np.empty(len(numbers), object)
+            words[:] = [w.encode() for w in numbers]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
+            words, bucket = words[order], bucket[order]
+            by_bucket = np.argsort(bucket, kind="stable")
+            some, starts = np.unique(bucket[by_bucket], return_index=True)
+            parts = [pack_words(p.tolist()) for p in np.split(words[by_bucket], starts[1:])] if len(words) else []
+            n = len(some)
             return pa.RecordBatch.from_arrays(
-                [pa.array([key] * n, pa.int64()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([sizes] + [None] * (n - 1), pa.list_(pa.int64())), pa.array([None, *numbers], pa.string()), pa.array([None, *spots], pa.binary())],
-                ["chunk", "ids", "sizes", "word", "at"],
+                [
+                    pa.array([(part << 32) + chunk] * (n + 1), pa.int64()), pa.array([ids] + [None] * n, pa.list_(id_type)), pa.array([sizes] + [None] * n, pa.list_(pa.int64())), pa.array([pack_numbers(number[at])] + [None] * n, pa.binary()),
+                    pa.array([pack_numbers(bucket)] + [None] * n, pa.binary()), pa.array([None, *some.tolist()], pa.int64()), pa.array([None, *parts], pa.binary()),
+                ],
+                ["chunk", "ids", "sizes", "at", "of", "bucket", "words"],
             )
 
         id_type = pa.null()
@@ -198,7 +240,7 @@ def explode_words(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS)
         if ids:
             yield rows()
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<long>, word string, at binary")
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<long>, at binary, of binary, bucket long, words binary")
 
 
 def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
@@ -219,17 +261,29 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to
     return rows.join(joined, "__row", "left").select(*encoded.columns, whole)
 
 
-def vocabulary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids, bytes) of each distinct word of the column ``word``, written: encoded once, its identifiers decoded once."""
-    held = words.sparkSession.sparkContext.broadcast(ranks)
+def encoded_words(spots: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(chunk, bucket, counts, tokens): how many identifiers each word of the rows (chunk, bucket, words) has, and which; both
+    packed."""
+    held = spots.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
+        now, known = None, {}
         for batch in batches:
-            ids = [encode_word(held.value, w.encode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    once = words.where("word IS NOT NULL").select("word").distinct()
-    return materialize(decode(once.mapInArrow(run, "word string, ids array<int>"), ranks), "bpe-words")
+            counts, tokens = [], []
+            for bucket, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                ids = []
+                for w in unpack_words(words):
+                    if (got := known.get(w)) is None:
+                        got = known[w] = encode_word(held.value, w)
+                    ids.append(got)
+                counts.append(pack_numbers(np.fromiter(map(len, ids), np.int64, len(ids))))
+                tokens.append(pack_numbers(np.fromiter(itertools.chain.from_iterable(ids), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["chunk", "bucket", "counts", "tokens"])
+
+    dealt = spots.where("words IS NOT NULL").select("chunk", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "chunk long, bucket long, counts binary, tokens binary")
 
 
 def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,38 +293,34 @@ def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray, which: np
     return values[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
-def _slices(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, first, size) of a column of lists or bytes."""
-    whole = column.combine_chunks()
-    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
-    if pa.types.is_binary(whole.type):
-        offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
-        return np.frombuffer(whole.buffers()[2] or b"", dtype), offsets[:-1], np.diff(offsets)
-    offsets = whole.offsets.to_numpy().astype(np.int64)
-    return whole.values.to_numpy(zero_copy_only=False).astype(dtype), offsets[:-1], np.diff(offsets)
-
-
-def reassembled(spots: DataFrame, words: DataFrame, id_col: str) -> DataFrame:
+def reassembled(spots: DataFrame, words: DataFrame, ranks: dict[bytes, int], id_col: str) -> DataFrame:
     """(id, n_tokens, ids, bytes) of the documents of :func:`explode_words`: ``ids`` are little-endian unsigned 32-bit integers,
-    ``bytes`` what they decode to."""
+    ``bytes`` what the table of tokens makes of them."""
     id_kind = spots.schema["ids"].dataType.elementType.simpleString()
-    of_words = spots.where("word IS NOT NULL").join(shared(words), "word").select("chunk", F.lit(None).cast(spots.schema["ids"].dataType).alias("docs"), F.lit(None).cast("array<long>").alias("sizes"), "at", words["ids"].alias("ids"), "bytes")
-    of_docs = spots.where("sizes IS NOT NULL").select("chunk", F.col("ids").alias("docs"), "sizes", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("bytes"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    of_docs = spots.where("sizes IS NOT NULL").select("chunk", "ids", "sizes", "at", "of", none("long", "bucket"), none("binary", "counts"), none("binary", "tokens"))
+    of_words = words.select("chunk", none(f"array<{id_kind}>", "ids"), none("array<long>", "sizes"), none("binary", "at"), none("binary", "of"), "bucket", "counts", "tokens")
+    held = spots.sparkSession.sparkContext.broadcast(list(ranks.items()))
 
     def run(rows: pa.Table) -> pa.Table:
-        head = rows.filter(rows.column("sizes").is_valid())
-        docs, sizes = head.column("docs").combine_chunks().flatten(), np.asarray(head.column("sizes")[0].as_py(), np.int64)
-        rest = rows.filter(rows.column("at").is_valid())
-        which = unpack_places(rest.column("at").to_pylist(), int(sizes.sum()))
-        got = []
-        for name, dtype in (("ids", np.dtype("<u4")), ("bytes", np.uint8)):
-            values, ends = _gathered(*_slices(rest.column(name), dtype), which) if len(rest) else (np.zeros(0, dtype), np.zeros(1, np.int64))
-            edges = ends[np.concatenate([[0], np.cumsum(sizes)])]
-            got.append([values[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
-        docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
-        return pa.table([docs, pa.array([len(x) // 4 for x in got[0]], pa.int64()), pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], [id_col, "n_tokens", "ids", "bytes"])
-
-    return of_words.unionByName(of_docs).groupBy("chunk").applyInArrow(run, f"`{id_col}` {id_kind}, n_tokens long, ids binary, bytes binary")
+        table = dict((i, b) for b, i in held.value)
+        head, rest = rows.filter(rows.column("at").is_valid()), rows.filter(rows.column("bucket").is_valid()).sort_by("bucket")
+        sizes = np.array(head.column("sizes")[0].as_py(), np.int64)
+        counts, tokens = (np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, rest.column(c).to_pylist())]) for c in ("counts", "tokens"))
+        place = np.argsort(unpack_numbers(head.column("of")[0].as_py()), kind="stable")  # the words come by bucket, then by number
+        first, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        first[place], size[place] = np.cumsum(counts) - counts, counts
+        values, ends = _gathered(tokens, first, size, unpack_numbers(head.column("at")[0].as_py()))
+        edges = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        kinds, which = np.unique(values, return_inverse=True)  # joined with the table of tokens, each kind once
+        pieces = [table[i] for i in kinds.tolist()]
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        text, places = _gathered(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(n) - n, n, which)
+        cut = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids = [c.flatten() for c in head.column("ids").chunks]
+        return pa.table([pa.chunked_array(ids), pa.array(np.diff(edges)), pa.array(cut(values.astype("<u4"), edges), pa.binary()), pa.array(cut(text, places[edges]), pa.binary())], [id_col, "n_tokens", "ids", "bytes"])
+
+    return of_docs.unionByName(of_words).groupBy("chunk").applyInArrow(run, f"`{id_col}` {id_kind}, n_tokens long, ids binary, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -278,8 +328,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     decode to."""
     ranks = load_ranks(ranks_path)
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    spots = materialize(explode_words(src, pattern, chunk_chars), "bpe-spots")
-    return reassembled(spots, vocabulary(spots, ranks), id_col)
+    chars = src.agg(F.coalesce(F.sum(F.char_length("__text")), F.lit(0))).first()[0]
+    spots = materialize(explode_words(src, pattern, 1 + chars // BUCKET_CHARS, chunk_chars), "bpe-spots")
+    return reassembled(spots, encoded_words(spots, ranks), ranks, id_col)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:

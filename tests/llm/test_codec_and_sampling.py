@@ -42,23 +42,30 @@ def mixed(seed, n):
 
 def test_words_and_pieces_as_the_library_has_them(ranks, library, monkeypatch):
     split = bpe_codec.splitter(PATTERN, bpe_codec.newer_letters(PATTERN))
-    for t in [*mixed(4, 3000), "a" * 20_000, "'ll'LL don't", " " * 99, "՘a 1՘"]:
+    for t in [*mixed(4, 3000), *(a for a in mixed(7, 3000) if a.isascii()), *(a[:9] for a in mixed(8, 9000) if a[:9].isascii()), ''.join(map(chr, range(128))), "a" * 20_000, "'ll'LL don't", " " * 99, "՘a 1՘"]:
         assert [i for w in split(t) for i in bpe_codec.encode_word(ranks, w.encode())] == library.encode_ordinary(t), repr(t)
     monkeypatch.setattr(bpe_codec, "CUT_CHARS", 7)
     for t in [*mixed(5, 1000), "ab  cd\n ef   gh i  " * 9]:
         assert [w for p in bpe_codec._pieces(t) for w in split(p)] == split(t)
 
 
-def test_places():
-    rnd = np.random.default_rng(1)
-    for n, size in ((1, 5), (3, 1000), (900, 200_000)):
-        where = np.concatenate([np.arange(n), rnd.integers(0, n, size)])
-        where[:n] = rnd.permutation(n)
-        packed = bpe_codec.pack_places(where, n)
-        assert {p[0] for p in packed} <= {0, 1, 2} and (bpe_codec.unpack_places(packed, len(where)) == where).all()
-    far = np.zeros(70_002, np.int64)
-    far[-1] = 1
-    assert (bpe_codec.unpack_places(bpe_codec.pack_places(far, 2), len(far)) == far).all()
+def test_numbers():
+    for x in ([], [0], [2**32 - 1, 0, 70_000, 255], list(range(5000))):
+        assert bpe_codec.unpack_numbers(bpe_codec.pack_numbers(np.array(x, np.int64))).tolist() == x
+
+
+def test_words_are_packed():
+    for x in ([], [b""], [b"a", b"", "é\0".encode(), b"x" * 70_000]):
+        assert bpe_codec.unpack_words(bpe_codec.pack_words(x)) == x
+
+
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    """In whichever chunks a word stands, it comes to one bucket, and the rows of a bucket come together."""
+    docs = spark.createDataFrame([(k, f"all of them have word {k % 7}") for k in range(100)], "doc_id long, text string").repartition(4)
+    spots = bpe_codec.explode_words(docs, PATTERN, 5, chunk_chars=60)
+    words = [(r["chunk"], r["bucket"], w) for r in spots.where("words IS NOT NULL").collect() for w in bpe_codec.unpack_words(r["words"])]
+    assert len({(b, w) for _, b, w in words}) == len({w for _, _, w in words}) == 12
+    assert len({(c, w) for c, _, w in words}) == len(words) and len({c for c, _, _ in words}) > 20
 
 
 def packed(ids):
