@@ -575,4 +575,4 @@ def string_functions(spark, sf):
 
 
 # The other modules register theirs.
-from netquill.plans import catalogue_files, catalogue_graphs, catalogue_runs  # noqa: E402, F401
+from netquill.plans import catalogue_files, catalogue_graphs, catalogue_large, catalogue_runs  # noqa: E402, F401

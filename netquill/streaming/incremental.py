@@ -16,13 +16,14 @@ def score_arrivals(spark: SparkSession, folder: str, schema: StructType, out: st
     return discretized(stream, thresholds).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
 
 
-def window_means(spark: SparkSession, folder: str, schema: StructType, out: str, checkpoint: str, width: str = "1 day", slide: str | None = None, gap: str | None = None, late: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("data_type",), value: str = "value") -> StreamingQuery:
+def window_means(spark: SparkSession, folder: str, schema: StructType, out: str, checkpoint: str, width: str = "1 day", slide: str | None = None, gap: str | None = None, late: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("data_type",), value: str = "value", files: int | None = None) -> StreamingQuery:
     """(keys, start, end, n, mean) of the values in windows of the observations' time, appended to ``out`` when no observation less
     than ``late`` behind the latest can fall into them; what comes later than that is left out.
 
     Windows are tumbling, sliding (``slide``) or sessions that end after ``gap`` without an observation of the keys. The state is
-    kept in the checkpoint, so a restarted stream goes on where it was."""
-    stream = spark.readStream.schema(schema).parquet(folder).withWatermark(time, late)
+    kept in the checkpoint, so a restarted stream goes on where it was. ``files``: how many are one batch."""
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder).withWatermark(time, late)
     window = F.session_window(time, gap) if gap else F.window(time, width, slide)
     means = stream.groupBy(*keys, window.alias("w")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     rows = means.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean")
