@@ -8,31 +8,36 @@ from netquill.operators import runs
 from netquill.plans.checkpoint import cut
 from netquill.plans.registry import constants, query, r6, structs, t
 
-GENES = "('click', 'purchase', 'view')"
+GENES = ("click", "error", "purchase", "signup", "view")  # a network that is a chain of all event types
+AT = [f"x{k}" for k in range(len(GENES))]
 
 
-def joint_marginal(letter: str, gene: str) -> str:
-    return f"SELECT sample, k, '{gene}' AS gene, sum(w) FILTER ({letter} = 1) / sum(w) AS b FROM j GROUP BY ALL"
-
-
-@query(f"""WITH o AS (SELECT user_id, event_type AS gene, 'CNV' AS k, (avg(value) - 100) / 40 AS v FROM events WHERE event_type IN {GENES} GROUP BY ALL
-  UNION ALL SELECT user_id, event_type, 'Mutation', count(*) / 8.0::DOUBLE FROM events WHERE event_type IN {GENES} GROUP BY ALL),
+def chain_sql() -> str:
+    """Marginals of every sample and type by enumeration of all states of the chain."""
+    states = ", ".join(f"{x}.i AS {x}" for x in AT), ", ".join(f"range(2) AS {x}(i)" for x in AT)
+    pairs = " * ".join(f"CASE WHEN {a} = {b} THEN 0.31 ELSE 0.19 END::DOUBLE" for a, b in zip(AT, AT[1:], strict=False))
+    own = f"pow(0.975::DOUBLE, {len(AT)} - ({' + '.join(AT)})) * pow(0.025::DOUBLE, {' + '.join(AT)})"
+    told = " * ".join(f"coalesce(CASE {x} WHEN 0 THEN e{x}.m0 ELSE e{x}.m1 END, 1)" for x in AT)
+    joins = " ".join(f"LEFT JOIN x e{x} ON e{x}.sample = s.sample AND e{x}.k = s.k AND e{x}.gene = '{g}'" for x, g in zip(AT, GENES, strict=True))
+    beliefs = " UNION ALL ".join(f"SELECT sample, k, '{g}' AS gene, sum(w) FILTER ({x} = 1) / sum(w) AS b FROM j GROUP BY ALL" for x, g in zip(AT, GENES, strict=True))
+    return f"""WITH o AS (SELECT user_id, event_type AS gene, 'CNV' AS k, (avg(value) - 100) / 40 AS v FROM events GROUP BY ALL
+  UNION ALL SELECT user_id, event_type, 'Mutation', count(*) / 8.0::DOUBLE FROM events GROUP BY ALL),
 base AS (SELECT k, CASE WHEN k = 'CNV' THEN percentile_cont(0.5) WITHIN GROUP (ORDER BY v) ELSE min(v) END AS v FROM o GROUP BY k),
 e AS (SELECT user_id::VARCHAR AS sample, gene, k, v FROM o UNION ALL SELECT 'base', g.gene, base.k, base.v FROM (SELECT DISTINCT gene, k FROM o) g JOIN base ON base.k = g.k),
 m AS (SELECT sample, gene, k, (k = 'CNV' AND (v < -0.5 OR v >= 0.5)) OR (k = 'Mutation' AND v >= 2) AS odd, (1 + pow(0.98::DOUBLE, CASE k WHEN 'CNV' THEN 3 ELSE 1 END)) / 2 AS w FROM e),
 x AS (SELECT sample, gene, k, w * CASE WHEN odd THEN 0.1 ELSE 0.9 END::DOUBLE + (1 - w) * CASE WHEN odd THEN 0.9 ELSE 0.1 END::DOUBLE AS m0, (1 - w) * CASE WHEN odd THEN 0.1 ELSE 0.9 END::DOUBLE + w * CASE WHEN odd THEN 0.9 ELSE 0.1 END::DOUBLE AS m1 FROM m),
-s AS (SELECT DISTINCT sample, k FROM x),
-g AS (SELECT a.i AS c, b.i AS p, d.i AS v FROM range(2) AS a(i), range(2) AS b(i), range(2) AS d(i)),
-j AS (SELECT s.sample, s.k, c, p, v, CASE WHEN c = p THEN 0.31 ELSE 0.19 END::DOUBLE * CASE WHEN p = v THEN 0.31 ELSE 0.19 END::DOUBLE * pow(0.975::DOUBLE, 3 - c - p - v) * pow(0.025::DOUBLE, c + p + v)
-    * coalesce(CASE c WHEN 0 THEN xc.m0 ELSE xc.m1 END, 1) * coalesce(CASE p WHEN 0 THEN xp.m0 ELSE xp.m1 END, 1) * coalesce(CASE v WHEN 0 THEN xv.m0 ELSE xv.m1 END, 1) AS w
-  FROM s CROSS JOIN g LEFT JOIN x xc ON xc.sample = s.sample AND xc.k = s.k AND xc.gene = 'click' LEFT JOIN x xp ON xp.sample = s.sample AND xp.k = s.k AND xp.gene = 'purchase' LEFT JOIN x xv ON xv.sample = s.sample AND xv.k = s.k AND xv.gene = 'view'),
-l AS ({joint_marginal('c', 'click')} UNION ALL {joint_marginal('p', 'purchase')} UNION ALL {joint_marginal('v', 'view')})
-SELECT l.sample AS user_id, l.gene, round(sum(log10(l.b * (1 - q.b) / ((1 - l.b) * q.b))), 5) AS score FROM l JOIN l q ON q.sample = 'base' AND q.k = l.k AND q.gene = l.gene WHERE l.sample <> 'base' GROUP BY ALL""")
+s AS (SELECT DISTINCT sample, k FROM x), g AS (SELECT {states[0]} FROM {states[1]}),
+j AS (SELECT s.sample, s.k, {", ".join(AT)}, {pairs} * {own} * {told} AS w FROM s CROSS JOIN g {joins}),
+l AS ({beliefs})
+SELECT l.sample AS user_id, l.gene, round(sum(log10(l.b * (1 - q.b) / ((1 - l.b) * q.b))), 5) AS score FROM l JOIN l q ON q.sample = 'base' AND q.k = l.k AND q.gene = l.gene WHERE l.sample <> 'base' GROUP BY ALL"""
+
+
+@query(chain_sql())
 def run_network_scores(spark, sf):
-    """Samples scored on a network of three genes with two types of observations: mean values and numbers of events."""
-    e = t(spark, sf, "events").where(f"event_type IN {GENES}").groupBy("user_id", F.col("event_type").alias("gene")).agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    """Samples scored on a network of all event types with two types of observations: mean values and numbers of events."""
+    e = t(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("gene")).agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
     e = cut(e.select(F.col("user_id").alias("sample_id"), "gene", F.explode(F.create_map(F.lit("CNV"), (F.col("m") - 100) / 40, F.lit("Mutation"), F.col("n") / 8.0)).alias("data_type", "value")), "obs")
-    return runs.network_scores(constants(spark, "gene1 gene2", ("click", "purchase"), ("purchase", "view")), e).select(F.col("sample_id").alias("user_id"), "gene", r6("score", 5).alias("score"))
+    return runs.network_scores(constants(spark, "gene1 gene2", *zip(GENES, GENES[1:], strict=False)), e).select(F.col("sample_id").alias("user_id"), "gene", r6("score", 5).alias("score"))
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS sample, c_nationkey AS nk, avg(c_acctbal) AS a FROM customer GROUP BY ALL),

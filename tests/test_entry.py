@@ -44,6 +44,13 @@ def test_imports_without_the_corpus_subpackage(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no corpus pipeline")
+def test_a_missing_dependency_leaves_only_the_corpus_queries_out():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=HERE, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": HERE})
+    assert done.returncode == 0 and "public_tokenizers" in done.stderr, done.stderr
+
+
 def test_nothing_else_imports_the_corpus_subpackage():
     for root, _, names in os.walk(os.path.join(HERE, "netquill")):
         if "llm" in os.path.relpath(root, HERE).split(os.sep):
