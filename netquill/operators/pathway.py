@@ -57,6 +57,26 @@ def perturbation_values(spark, labels: list[str]) -> DataFrame:
     return grid.select("idx", F.when(F.col("s0") == 1, clamp(1 - low)).otherwise(clamp(low)).alias("val"))
 
 
+MOST_PARENTS = 16
+
+
+def perturbation_factors(edges: DataFrame) -> DataFrame:
+    """(target, parents, values): the two-state factor [target, parents...] of every target, as in :func:`perturbation_values`, its
+    parents in order. edges: target, parent, label; more than ``MOST_PARENTS`` must have been split before."""
+    g = edges.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("parent", "label"))).alias("x"))  # a few parents
+    n = F.size("x")
+    clamp = lambda x: F.least(F.greatest(x, F.lit(LEAST)), F.lit(1 - LEAST))
+
+    def value(i: Column) -> Column:
+        on = F.bit_count(F.shiftright(i, 1))
+        mean = F.when(F.forall("x", lambda p: p["label"] == "MEMBER"), (on == n).cast("double")).otherwise(on / n)
+        low = F.exp(-STEEPNESS * mean)
+        return F.when(i % 2 == 1, clamp(1 - low)).otherwise(clamp(low))
+
+    cells = F.when(n > MOST_PARENTS, F.raise_error(F.lit("a target has too many parents")).cast("array<int>")).otherwise(F.sequence(F.lit(0), F.pow(F.lit(2.0), n + 1).cast("int") - 1))
+    return g.select("target", F.transform("x", lambda p: p["parent"]).alias("parents"), F.transform(cells, value).alias("values"))
+
+
 def split_fan_in(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(target, parent, label) with at most three parents for each target: parents are sorted by name and every full three get an
     accessory node, as often as needed; what is left of a round is passed up as it is."""

@@ -356,14 +356,16 @@ def em_annealed(spark, sf):
     return table_of(learning.learn_annealed(*seen_pairs(spark, sf), betas=(0.1, 1.0))[0])
 
 
-@query("SELECT 0.5::DOUBLE AS value, 1 AS n_rounds")
+@query("SELECT c_mktsegment AS segment, avg((c_acctbal > 0)::INT) AS share, 0.5::DOUBLE AS value, 1 AS n_rounds FROM customer GROUP BY 1 HAVING share > 0")
 def em_failing(spark, sf):
-    """A round whose likelihood isn't a number leaves the last good values: here the evidence contradicts a fixed factor, so no round
-    succeeds."""
+    """A round whose likelihood isn't a number leaves the last good values: the segments' shares of customers in credit contradict a
+    fixed factor that rules credit out, so no round succeeds."""
     f = constants(spark, "factor_id group_id var_ids states values", (1, F.lit(1).cast("long"), F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(2)), F.array_repeat(F.lit(0.5), 4)), (2, F.lit(None).cast("long"), F.array(F.lit(1)), F.array(F.lit(2)), F.array(F.lit(1.0), F.lit(0.0))))
-    ev = constants(spark, "sample_id var_id value", ("a", 1, 1.0))
-    learned, _, course = learning.learn(cut(f, "factors"), cut(ev, "evidence"))
-    return learned.where("factor_id = 1").select(F.get("values", F.lit(0)).alias("value"), F.lit(len(course) + 1).alias("n_rounds"))
+    credit = t(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("sample_id")).agg(F.avg((F.col("c_acctbal") > 0).cast("int")).alias("share")).where("share > 0")
+    ev = cut(credit.select("sample_id", "share", F.lit(1).alias("var_id"), F.lit(1.0).alias("value")), "evidence")
+    learned, _, course = learning.learn(cut(f, "factors"), ev.select("sample_id", "var_id", "value"))
+    last = learned.where("factor_id = 1").select(F.get("values", F.lit(0)).alias("value"), F.lit(len(course) + 1).alias("n_rounds"))
+    return ev.select(F.col("sample_id").alias("segment"), "share").crossJoin(last)  # one row of values
 
 
 # --- converters: nations as reactions, suppliers as what takes part by their balance, regions and rich nations' products as outputs
@@ -467,9 +469,15 @@ def entity_roles(spark, sf):
     return pathway.roles(t(spark, sf, "customer").select(F.col("c_nationkey").alias("entity_id"), F.col("c_mktsegment").alias("role")))
 
 
-@query("WITH g AS (SELECT i, i % 2 AS o, (i // 2 % 2 + i // 4 % 2 + i // 8) / 3 AS e FROM range(16) AS r(i)) SELECT i AS idx, round(least(greatest(CASE o WHEN 1 THEN 1 - exp(-10 * e) ELSE exp(-10 * e) END, 4.5e-6), 1 - 4.5e-6), 9) AS val FROM g")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL), e AS (SELECT l_orderkey AS target, count(*) AS n, bool_and(flag = 'R') AS members FROM l GROUP BY 1),
+g AS (SELECT target, n, i, i % 2 AS o, CASE WHEN members THEN (i // 2 = (1 << n::INT) - 1)::INT ELSE bit_count((i // 2)::BIGINT) / n END::DOUBLE AS m FROM e, range(2048) AS r(i) WHERE i < (2 << n::INT))
+SELECT target, n AS n_parents, count(*) AS n_cells, round(sum((i % 7) * least(greatest(CASE o WHEN 1 THEN 1 - exp(-10 * m) ELSE exp(-10 * m) END, 4.5e-6), 1 - 4.5e-6)), 7) AS total FROM g GROUP BY ALL""")
 def perturbation_values(spark, sf):
-    return pathway.perturbation_values(spark, ["INPUT", "INHIBITOR", "CATALYST"]).select("idx", r6("val", 9).alias("val"))
+    """Orders as targets of their line numbers, members if all were returned: the cells of each factor, weighted by their number."""
+    label = F.when(F.max("l_returnflag") == "R", "MEMBER").otherwise("INPUT")
+    f = pathway.perturbation_factors(t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("parent")).agg(label.alias("label")))
+    total = F.aggregate(F.transform("values", lambda v, i: (i % 7) * v), F.lit(0.0), lambda a, b: a + b)
+    return f.select("target", F.size("parents").cast("long").alias("n_parents"), F.size("values").cast("long").alias("n_cells"), r6(total, 7).alias("total"))
 
 
 @query("WITH e AS (SELECT s_nationkey AS n, p_name FROM supplier, part WHERE p_partkey = s_suppkey) SELECT p_partkey FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO')")
