@@ -8,7 +8,8 @@ documents is encoded once:
    to the bucket of the word's hash. There are as many buckets as the corpus has ``BUCKET_CHARS`` characters.
 2. The words of a bucket are shuffled together, come sorted by bucket, and each distinct one is encoded once: the
    lowest-ranked adjacent pair is merged first, by a heap over a linked list. Only one bucket's words are remembered.
-3. Identifiers go back to the chunks, which are put together again by the positions. :func:`round_trip` decodes them there,
+3. Identifiers go back to the chunks, whose positions are files dealt by the hash of the chunk and stay where they are; there
+   the chunks are put together again. :func:`round_trip` decodes them there,
    each identifier joined with the broadcast table of tokens and bytes; :func:`decode` does it for any table of identifiers.
 
 A chunk is one task's group and holds whole documents, so memory is bounded by ``chunk_chars`` or the longest text.
@@ -26,6 +27,7 @@ import heapq
 import itertools
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm.common import materialize
+from netquill.llm.common import materialize, scratch
 
 CHUNK_CHARS, BUCKET_CHARS = 16_000_000, 8_000_000
 CUT_CHARS = 1_000_000
@@ -297,14 +299,12 @@ def reassembled(spots: DataFrame, words: DataFrame, ranks: dict[bytes, int], id_
     """(id, n_tokens, ids, bytes) of the documents of :func:`explode_words`: ``ids`` are little-endian unsigned 32-bit integers,
     ``bytes`` what the table of tokens makes of them."""
     id_kind = spots.schema["ids"].dataType.elementType.simpleString()
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    of_docs = spots.where("sizes IS NOT NULL").select("chunk", "ids", "sizes", "at", "of", none("long", "bucket"), none("binary", "counts"), none("binary", "tokens"))
-    of_words = words.select("chunk", none(f"array<{id_kind}>", "ids"), none("array<long>", "sizes"), none("binary", "at"), none("binary", "of"), "bucket", "counts", "tokens")
+    heads = spots.where("sizes IS NOT NULL").select("chunk", "ids", "sizes", "at", "of")
     held = spots.sparkSession.sparkContext.broadcast(list(ranks.items()))
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(head: pa.Table, rest: pa.Table) -> pa.Table:
         table = dict((i, b) for b, i in held.value)
-        head, rest = rows.filter(rows.column("at").is_valid()), rows.filter(rows.column("bucket").is_valid()).sort_by("bucket")
+        rest = rest.sort_by("bucket")
         sizes = np.array(head.column("sizes")[0].as_py(), np.int64)
         counts, tokens = (np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, rest.column(c).to_pylist())]) for c in ("counts", "tokens"))
         place = np.argsort(unpack_numbers(head.column("of")[0].as_py()), kind="stable")  # the words come by bucket, then by number
@@ -320,7 +320,17 @@ def reassembled(spots: DataFrame, words: DataFrame, ranks: dict[bytes, int], id_
         ids = [c.flatten() for c in head.column("ids").chunks]
         return pa.table([pa.chunked_array(ids), pa.array(np.diff(edges)), pa.array(cut(values.astype("<u4"), edges), pa.binary()), pa.array(cut(text, places[edges]), pa.binary())], [id_col, "n_tokens", "ids", "bytes"])
 
-    return of_docs.unionByName(of_words).groupBy("chunk").applyInArrow(run, f"`{id_col}` {id_kind}, n_tokens long, ids binary, bytes binary")
+    return heads.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, f"`{id_col}` {id_kind}, n_tokens long, ids binary, bytes binary")
+
+
+def _bucketed(spots: DataFrame, buckets: int) -> DataFrame:
+    """Written to the shared folder in files by the hash of the chunk, so that the positions needn't be shuffled to what comes back
+    to them. The entry in the catalogue is taken out again at once; the files stay."""
+    name, path = f"netquill_spots_{uuid.uuid4().hex}", scratch(spots.sparkSession, "bpe-spots")
+    spots.write.bucketBy(buckets, "chunk").option("path", path).format("parquet").saveAsTable(name)
+    table = spots.sparkSession.table(name)
+    spots.sparkSession.sql(f"DROP TABLE {name}")
+    return table
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -329,7 +339,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     ranks = load_ranks(ranks_path)
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     chars = src.agg(F.coalesce(F.sum(F.char_length("__text")), F.lit(0))).first()[0]
-    spots = materialize(explode_words(src, pattern, 1 + chars // BUCKET_CHARS, chunk_chars), "bpe-spots")
+    spots = _bucketed(explode_words(src, pattern, 1 + chars // BUCKET_CHARS, chunk_chars), 1 + 2 * chars // max(chunk_chars, CHUNK_CHARS))
     return reassembled(spots, encoded_words(spots, ranks), ranks, id_col)
 
 
