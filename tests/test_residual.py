@@ -11,7 +11,7 @@ from tests.test_factor_graph import AB, COMPETITIVE, EX, arrow, exact, tables, v
 
 RND = random.Random(4)
 #: Four variables that all repel each other, the kind of graph on which sending everything at once swings.
-REPELLING = {f"{a}~{b}": ([(a, 2), (b, 2)], [0.3, 1.0, 1.0, 0.3]) for a in range(4) for b in range(a)} | {str(a): ([(a, 2)], [1.0, 1.0 + a / 50]) for a in range(4)}
+REPELLING = {f"{a}~{b}": ([(a, 2), (b, 2)], [0.3, 1.0, 1.0, 0.3]) for a in range(4) for b in range(a)} | {str(a): ([(a, 2)], [1.0, 1.0 + a / 2]) for a in range(4)}
 LOOP = {"ab": arrow(0, 1), "bc": arrow(1, 2), "ca": arrow(2, 0, inhibits=True)}
 
 
