@@ -14,30 +14,58 @@ from netquill.operators.factor_graph import with_strides
 from netquill.plans.checkpoint import cut, free
 
 
+def _first(left: DataFrame, variables: DataFrame, rank: Column, *by: str) -> DataFrame:
+    """``variables`` (var_id, n: their factors) whose rank is the largest in all their factors (of those with the same ``by``): those
+    that lead as many factors as they have."""
+    led = left.groupBy("factor_id", *by).agg(F.max(rank).alias("top")).groupBy(F.col("top.var_id").alias("var_id")).agg(F.count(F.lit(1)).alias("led"))
+    return led.join(variables, "var_id").where(F.col("led") == F.col("n")).select("var_id", *by)
+
+
+def _free(variables: DataFrame, taken: DataFrame | None, nth: Column | int = 0) -> DataFrame:
+    """``variables`` with a colour: of each variable's colours that aren't taken the one with ``nth`` before it."""
+    nth = nth if isinstance(nth, Column) else F.lit(nth)
+    if taken is None:
+        return variables.select("*", nth.cast("int").alias("colour"))
+    at = variables.join(taken.groupBy("var_id").agg(F.collect_set("colour").alias("seen")), "var_id", "left")
+    seen = F.coalesce("seen", F.array().cast("array<int>"))
+    return at.select(*variables.columns, F.get(F.array_except(F.sequence(F.lit(0), F.size(seen) + nth.cast("int")), seen), nth.cast("int")).alias("colour"))
+
+
 def coloured(links: DataFrame, seed: int | None = 1, rounds: int = 1000) -> DataFrame:
-    """(var_id, colour): variables of one factor have different colours. In each round the variables whose priority is the largest in
-    all their factors take the smallest colour that none of their factors has (Jones and Plassmann, 1993). Priorities are hashes,
-    so that rounds are few; without a ``seed`` smaller identifiers come first, which gives the colours of going through them in
-    order. Only the largest priority and the colours of a factor are looked at, never pairs of its variables."""
+    """(var_id, colour): variables of one factor have different colours. With a ``seed`` each variable tries a free colour, and of those
+    that try the same one that comes first in all its factors takes it (compare Luby, 1986): by the powers of two in the number of
+    factors, then by a hash that is new in each round. The colour tried is one of the first half of as many as a factor has variables
+    left (of a pair: the first), so colours are at most one more than a variable's neighbours, and rounds are few whatever the degrees.
+    Without a ``seed`` smaller identifiers come first (Jones and Plassmann, 1993), which gives the colours of going through them in
+    order. Each round's colours are told to the uncoloured variables of their factors, once: only the largest rank and the colours of a
+    factor are looked at, never pairs of its variables."""
     places = cut(links.select("factor_id", "var_id").distinct(), "places")
-    rank = (lambda v: F.struct(F.xxhash64(v, F.lit(seed)).alias("h"), v.alias("v"))) if seed is not None else (lambda v: F.struct((-v).alias("h"), v.alias("v")))
-    left, done = places, None
-    for _ in range(rounds):
-        first = left.groupBy("factor_id").agg(F.max(rank(F.col("var_id"))).alias("top"))
-        ready = left.join(first, "factor_id").groupBy("var_id").agg(F.bool_and(F.col("top.v") == F.col("var_id")).alias("ok")).where("ok").select("var_id")
-        if done is None:
-            new = cut(ready.select("var_id", F.lit(0).alias("colour")), "colours")
+    sizes = lambda d: d.groupBy("factor_id").agg(F.count(F.lit(1)).alias("size"))
+    pairs = seed is None or (sizes(places).agg(F.max("size")).first()[0] or 0) < 3
+    left, done, taken, tried = places, None, None, None
+    for k in range(rounds):
+        variables = left.groupBy("var_id").agg(F.count(F.lit(1)).alias("n"))
+        if seed is None:
+            new = _free(_first(left, variables, F.struct(-F.col("var_id"), "var_id")), taken)
         else:
-            taken = places.join(done, "var_id").select("factor_id", "colour").distinct()
-            seen = places.join(ready, "var_id").join(taken, "factor_id").select("var_id", "colour").distinct().groupBy("var_id").agg(F.collect_set("colour").alias("seen"))
-            least = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("seen")), "seen"))
-            new = cut(ready.join(seen, "var_id", "left").select("var_id", F.coalesce(least, F.lit(0)).alias("colour")), "colours")
-        before, done = done, new if done is None else cut(done.union(new), "colours")
+            if pairs:
+                tried = _free(variables, taken)
+            else:
+                variables = left.join(sizes(left), "factor_id").groupBy("var_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+                tried = _free(variables, taken, F.pmod(F.xxhash64(F.lit(k), "var_id", F.lit(seed)), F.ceil(F.col("size") / 2)))
+            tried = cut(tried.select("var_id", "n", "colour"), "tried")
+            rank = F.struct(F.floor(F.log2("n")), F.xxhash64("var_id", F.lit(seed), F.lit(k)), "var_id")
+            new = _first(left.join(tried, "var_id"), tried, rank, "colour")
+        new = cut(new, "colours")
         rest = cut(left.join(new, "var_id", "left_anti"), "places")
-        free(before, left if left is not places else None, new if new is not done else None)
-        left = rest
-        if left.isEmpty():
+        before, done = done, new if done is None else cut(done.union(new), "colours")
+        if rest.isEmpty():
             return done
+        told = rest.join(left.join(new, "var_id").select("factor_id", "colour"), "factor_id").select("var_id", "colour")
+        told = (told if taken is None else told.union(taken.join(new, "var_id", "left_anti"))).distinct()
+        old, taken = taken, cut(told, "taken")
+        free(before, old, left, new if new is not done else None, tried)
+        left = rest
     raise RuntimeError(f"variables without colour after {rounds} rounds")
 
 

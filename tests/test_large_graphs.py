@@ -64,6 +64,14 @@ def test_colouring(spark, rows):
     assert c == greedy
 
 
+def test_rounds_of_a_colouring_stay_few(spark):
+    """Every vertex of one side meets all of the other side: a path of falling hashes goes through nearly all of them."""
+    pairs = spark.range(60).crossJoin(spark.range(100, 160).withColumnRenamed("id", "to"))
+    links = pairs.select((F.col("id") * 1000 + F.col("to")).alias("factor_id"), F.explode(F.array("id", "to")).alias("var_id"))
+    c = {r["var_id"]: r["colour"] for r in sampling.coloured(links, 1, rounds=8).collect()}
+    assert len(c) == 120 and {c[v] for v in range(60)}.isdisjoint({c[v] for v in range(100, 160)}) and set(c.values()) == {0, 1}
+
+
 def test_draws_come_near_to_the_marginals(spark, rows):
     f, li = tables(rows, EX)
     a, b = (sorted(map(tuple, sampling.gibbs(f.repartition(k), li, chains=1500, sweeps=4, burn_in=3, seed=2).collect())) for k in (1, 3))
