@@ -58,11 +58,12 @@ def em_on_tables(spark, sf):
 def graph_colours(spark, sf):
     """Colours of suppliers and parts that share an edge, suppliers first."""
     e = cut(fi(spark, sf), "pairs")
-    genes = e.select(F.lit(0).alias("side"), F.col("gene1").alias("gene")).union(e.select(F.lit(1), "gene2")).distinct()
-    genes = cut(rel.dense_index(genes.withColumn("key", F.concat_ws(" ", "side", "gene")), "key", "var_id").select(F.substring("key", 3, 100).alias("gene"), "var_id"), "genes")
-    a = e.join(genes, F.col("gene1") == F.col("gene")).select(F.concat_ws("~", "gene1", "gene2").alias("factor_id"), "var_id")
-    b = e.join(genes, F.col("gene2") == F.col("gene")).select(F.concat_ws("~", "gene1", "gene2").alias("factor_id"), "var_id")
-    return sampling.coloured(a.union(b), seed=None).join(genes, "var_id").select("gene", "colour")
+    one, two = (cut(rel.dense_index(e.select(F.col(c).alias("gene")), "gene", "at"), "genes") for c in ("gene1", "gene2"))
+    first = one.count()
+    ends = e.join(one, F.col("gene1") == F.col("gene")).select("gene2", F.col("at").alias("x")).join(two, F.col("gene2") == F.col("gene")).select("x", (F.col("at") + first).alias("y"))
+    links = ends.select((F.col("x") + F.col("y") * first).alias("factor_id"), F.explode(F.array("x", "y")).alias("var_id"))
+    genes = one.select("gene", F.col("at").alias("var_id")).union(two.select("gene", F.col("at") + first))
+    return sampling.coloured(links, seed=None).join(genes, "var_id").select("gene", "colour")
 
 
 @query(f"WITH {FI} SELECT count(*) AS n_genes, count(*) AS n_coloured, 0 AS n_clashes FROM deg")
@@ -71,7 +72,7 @@ def graph_colours_seeded(spark, sf):
     e = cut(fi(spark, sf), "pairs")
     genes = cut(rel.dense_index(e.select(F.col("gene1").alias("gene")).union(e.select("gene2")), "gene", "var_id"), "genes")
     ends = e.join(genes, F.col("gene1") == F.col("gene")).select("gene2", F.col("var_id").alias("x")).join(genes, F.col("gene2") == F.col("gene")).select("x", F.col("var_id").alias("y"))
-    ends = cut(ends.withColumn("factor_id", F.concat_ws("~", "x", "y")), "ends")
+    ends = cut(ends.withColumn("factor_id", F.col("x") * genes.count() + F.col("y")), "ends")
     c = cut(sampling.coloured(ends.select("factor_id", F.col("x").alias("var_id")).union(ends.select("factor_id", "y"))), "colours")
     clashes = ends.join(c.select(F.col("var_id").alias("x"), F.col("colour").alias("cx")), "x").join(c.select(F.col("var_id").alias("y"), F.col("colour").alias("cy")), "y").where("cx = cy")
     n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
