@@ -59,20 +59,30 @@ MOST_PAIRED = 64  # variables of a factor up to which its pairs are written out;
 def linked_variables(links: DataFrame) -> DataFrame:
     """(var_id, n_linked): distinct other variables with which a variable shares a factor.
 
-    Variables are numbered and sets of them are bitmaps of 32,768 each. A large factor has a row for each of its bitmaps, which its
-    variables join; only small ones are paired with themselves. So rows before the last aggregate are at most links times the
-    bitmaps of a factor (or ``MOST_PAIRED``), never the square of a factor's size."""
+    Variables are numbered. Small factors are rows with the set of their variables, dealt so that those with near numbers meet in a
+    task, where their pairs are written out and mostly merged before they are shuffled, each pair in one direction. Large factors
+    have a row for each bitmap of 32,768 variables, which their variables join. So rows before the last aggregate are at most links
+    times the bitmaps of a factor (or ``MOST_PAIRED``), never the square of a factor's size."""
     places = cut(links.select("factor_id", "var_id").distinct(), "places")
     numbers = cut(row_numbers(places.select("var_id").distinct(), "var_id", name="no"), "numbers")
-    size = places.groupBy("factor_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    at = cut(places.join(size, "factor_id").join(numbers, "var_id").select("factor_id", "var_id", "k", F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")), "places")
-    small, large = at.where(F.col("k") <= MOST_PAIRED), at.where(F.col("k") > MOST_PAIRED)
-    pairs = small.select("factor_id", "var_id").join(small.select("factor_id", "bucket", "bit"), "factor_id").select("var_id", "bucket", "bit").distinct()
+    size = places.groupBy("factor_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(MOST_PAIRED, 1))
+    hubs = cut(size.select("factor_id"), "large")
+    at = places.join(numbers, "var_id").select("factor_id", "no")
+    small = at.join(hubs, "factor_id", "left_anti").groupBy("factor_id").agg(F.array_sort(F.collect_list("no")).alias("set")).where(F.size("set") > 1).select("set")
+    parts = max(places.count() // 200_000, small.sparkSession.sparkContext.defaultParallelism)
+    near = small.repartitionByRange(parts, F.get("set", F.lit(0)), F.get("set", F.lit(1)))
+    ahead = near.select("set", F.posexplode("set").alias("i", "a")).select("a", F.explode(F.slice("set", F.col("i") + 2, MOST_PAIRED + 1)).alias("b"))
+    pairs = cut(ahead.distinct(), "linked")
+    each = pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("n_linked"))
+    if hubs.isEmpty():
+        return each.join(numbers, "no").select("var_id", "n_linked")
+    large = at.join(hubs, "factor_id", "left_semi").select("factor_id", "no", F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit"))
     of_factor = large.groupBy("factor_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("set"))
-    joined = large.select("factor_id", "var_id").join(of_factor, "factor_id").groupBy("var_id", "bucket").agg(F.bitmap_or_agg("set").alias("set"))
-    sets = pairs.groupBy("var_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("set")).union(joined)
-    whole = sets.groupBy("var_id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("set")).alias("n"))
-    return whole.groupBy("var_id").agg((F.sum("n") - 1).alias("n_linked"))  # without itself
+    joined = large.select("factor_id", "no").join(of_factor, "factor_id").groupBy("no", "bucket").agg(F.bitmap_or_agg("set").alias("set"))
+    both = pairs.union(pairs.select("b", "a")).toDF("no", "other").join(large.select("no").distinct(), "no", "left_semi")  # of variables with large factors
+    sets = both.groupBy("no", F.bitmap_bucket_number("other").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("other")).alias("set")).union(joined)
+    whole = sets.groupBy("no", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("set")).alias("n")).groupBy("no").agg((F.sum("n") - 1).alias("n_linked"))  # without itself
+    return each.join(large, "no", "left_anti").union(whole).join(numbers, "no").select("var_id", "n_linked")
 
 
 def evidence_factors(evidence: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,6 +93,15 @@ def test_linked_variables(spark, rows, most, monkeypatch):
     assert got == {v: len(u) for v, u in want.items() if u}
 
 
+def test_linked_pairs_are_written_once(spark, monkeypatch):
+    """Forty factors with the same thirty variables: a row for each pair in one direction, not for each factor that has it."""
+    written, plain = {}, factor_graph.cut
+    monkeypatch.setattr(factor_graph, "cut", lambda d, name: written.setdefault(name, plain(d, name)))
+    links = spark.range(40).withColumnRenamed("id", "factor_id").crossJoin(spark.range(30).withColumnRenamed("id", "var_id"))
+    assert {tuple(r) for r in factor_graph.linked_variables(links).collect()} == {(v, 29) for v in range(30)}
+    assert written["linked"].count() == 30 * 29 // 2
+
+
 def test_permutations_are_bijections(spark):
     for n in (1, 2, 7, 1000, 4097):
         d = spark.range(n).select("id", permutation.permuted(F.col("id"), F.lit(n), 5).alias("to"))
