@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netquill.plans.checkpoint import cut, shared_root
-from netquill.session import ship
+from netquill.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +39,9 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    spread(spark, path)
+    return spark.read.parquet(path)
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:

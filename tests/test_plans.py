@@ -63,3 +63,22 @@ def test_a_cluster_needs_a_shared_folder():
 def test_top_of(spark):
     d = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     assert sorted(r["id"] for r in rel.top_of(d, ["k"], [F.desc("id")], 2).collect()) == [94, 95, 96, 97, 98, 99]
+
+
+def test_tasks_do_not_grow_with_tables(spark, tmp_path, monkeypatch):
+    """Reading a table makes parts as many as its size needs; smaller settings stay."""
+    from netquill import session
+    from netquill.plans import registry
+
+    keys = ["spark.sql.shuffle.partitions", *session.MOST]
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.range(100_000).write.parquet(str(tmp_path / "numbers.parquet"))
+    monkeypatch.setattr(session, "BYTES_A_PART", 10_000)
+    try:
+        for k, size in zip(session.MOST, ("128MB", "1m")):
+            spark.conf.set(k, size)
+        assert registry.t(spark, str(tmp_path), "numbers").count() == 100_000
+        assert int(spark.conf.get(keys[0])) > 20 and [spark.conf.get(k) for k in session.MOST] == [str(16 << 20), "1m"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
