@@ -18,6 +18,7 @@ from netquill.operators.components import on_cycles
 from netquill.plans.checkpoint import cut
 
 TOLERANCE = 1e-6
+MOST_SENT = 200_000  # values that are sent to all inputs
 MAX_INPUTS = 2_000_000  # of a network that is simulated in one task a scenario
 
 
@@ -104,10 +105,13 @@ def simulate(variables: DataFrame, inputs: DataFrame, scenarios: DataFrame, defa
 
 
 def relation_values(state: DataFrame, inputs: DataFrame, variables: DataFrame, transfer: str = "hill", gate: str = "min") -> DataFrame:
-    """(scenario_id, rel_id, output_var, value, is_damper) of one step. state: scenario_id, var_id, value."""
+    """(scenario_id, rel_id, output_var, value, is_damper) of one step. state: scenario_id, var_id, value. Values of few variables go to
+    where their inputs are, which may be any number."""
     x = F.col("value").cast("double")
     t = F.when(F.coalesce("identical", F.lit(False)), x).otherwise(scalar.hill(x)) if transfer == "hill" else x
     moved = state.join(variables.select("var_id", "identical"), "var_id").select("scenario_id", F.col("var_id").alias("input_var"), t.alias("t"))
+    moved = cut(moved.join(inputs.select("input_var").distinct(), "input_var", "left_semi"), "inputs")
+    moved = F.broadcast(moved) if moved.count() <= MOST_SENT else moved
     v = F.when(F.col("negated"), 1 - F.col("t")).otherwise(F.col("t"))
     merged = inputs.join(moved, "input_var").where("t IS NOT NULL").groupBy("scenario_id", "rel_id", "output_var")
     return merged.agg((F.min(v) if gate == "min" else F.product(v)).alias("value"), ((F.count(F.lit(1)) == 1) & F.bool_and("negated")).alias("is_damper"))

@@ -87,3 +87,18 @@ def test_cycles_and_components(spark, rows):
     assert components.components(rows([], "a long, b long")).count() == 0
     initial = boolnet.initial_values(rows([(0, 10), (1, 11), (2, None), (3, 13)], "var_id long, source_id long"), rows([(0, 1), (1, 2), (2, 1), (1, 3)], "input_var long, output_var long"), 1.0)
     assert {r["var_id"]: r["init"] for r in initial.collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_many_inputs_of_few_variables_stay_where_they_are(spark, rows):
+    """Inputs aren't shuffled by their variable, which would make a task of each."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        inputs = spark.range(300).selectExpr("id AS rel_id", "id + 1000 AS output_var", "id % 3 AS input_var", "id % 2 = 0 AS negated")
+        state = spark.range(2000).selectExpr("1 AS scenario_id", "id AS var_id", "(id % 3) / 4D AS value")
+        r = boolnet.relation_values(state, inputs, state.selectExpr("var_id", "true AS identical"))
+        assert "BroadcastHashJoin" in r._jdf.queryExecution().toString()
+        got = {x["rel_id"]: x["value"] for x in r.collect()}
+        assert got == {k: 1 - k % 3 / 4 if k % 2 == 0 else k % 3 / 4 for k in range(300)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
