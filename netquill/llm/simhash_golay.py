@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netquill.llm.common import materialize, shared
+from netquill.llm.common import materialize, merged, shared
 from netquill.llm.exact_stream import located, unused
 from netquill.operators.components import components
 from netquill.plans.checkpoint import free, row_numbers
@@ -391,7 +391,7 @@ def links_within_3(nodes: DataFrame) -> DataFrame:
     one = _spread(nodes.select(F.col(nodes.columns[0]).alias("f"))).select("f", F.col("f").alias("root"))
     index = _rows(one, False).select("key", F.col("f").alias("b"))
     query = _rows(one, True).select("key", F.col("f").alias("a"))
-    return query.join(index, (query.key == index.key) & (F.col("a") < F.col("b")) & (_bits("a", "b") <= 3)).select("a", "b").distinct()
+    return query.join(merged(index), (query.key == index.key) & (F.col("a") < F.col("b")) & (_bits("a", "b") <= 3)).select("a", "b").distinct()
 
 
 def connecting_within_3(nodes: DataFrame) -> DataFrame:
@@ -403,17 +403,17 @@ def connecting_within_3(nodes: DataFrame) -> DataFrame:
     one = materialize(_spread(nodes.select(F.col(nodes.columns[0]).alias("f"))).select("f", F.col("f").alias("root")), "simhash-links")
     index = _rows(one, False).select("key", "f")
     ends = index.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi")
-    star = index.join(ends, "key").select(F.col("f").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where((F.col("a") != F.col("b")) & (_bits("a", "b") <= 3))
+    star = index.join(merged(ends), "key").select(F.col("f").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where((F.col("a") != F.col("b")) & (_bits("a", "b") <= 3))
     star = materialize(star.distinct(), "simhash-links")
     roots = components(star)
     rooted = materialize(_spread(one.select("f").join(roots, F.col("f") == F.col("node"), "left").select("f", F.coalesce("root", "f").alias("root"))), "simhash-links")
     index = _rows(rooted, False)
     most = index.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    flagged = lambda d, f, r: d.join(most, "key").select("key", F.col("f").alias(f), F.col("root").alias(r), (F.col("root") == F.col("most")).alias(f"{r}_most"))
+    flagged = lambda d, f, r: d.join(merged(most), "key").select("key", F.col("f").alias(f), F.col("root").alias(r), (F.col("root") == F.col("most")).alias(f"{r}_most"))
     i = materialize(flagged(index, "b", "rb"), "simhash-links")
     q = materialize(flagged(_rows(rooted, True), "a", "ra"), "simhash-links")  # only rows whose key some index row has
     across = (F.col("ra") != F.col("rb")) & (_bits("a", "b") <= 3)
-    pairs = q.join(i.where("NOT rb_most"), "key").where(across).select("a", "b").union(q.where("NOT ra_most").join(i.where("rb_most"), "key").where(across).select("a", "b"))
+    pairs = q.join(merged(i.where("NOT rb_most")), "key").where(across).select("a", "b").union(q.where("NOT ra_most").join(merged(i.where("rb_most")), "key").where(across).select("a", "b"))
     return star.union(pairs)
 
 
@@ -424,7 +424,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     least = materialize(p.groupBy("f0").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     comp = components(connecting_within_3(least.select("f0")))
     comp = materialize(comp, "simhash-roots")
-    linked = least.join(comp, least.f0 == comp.node).select("f0", "root", "rep")
+    linked = least.join(shared(comp), least.f0 == comp.node).select("f0", "root", "rep")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("low"))
     named = linked.join(lowest, "root").select(F.col("f0").alias("node"), "low")
     several = least.join(named, least.f0 == named.node, "left").where("n > 1 OR low IS NOT NULL").select("f0", F.coalesce("low", "rep").alias("low"))
@@ -515,7 +515,7 @@ def across(index: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     least = similarity / (1 + similarity) * (F.col("n") + F.col("m"))  # shingles that a pair of this similarity shares
     differ: Column = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f"o{q}"))) for q in SKETCH), F.lit(0))
     likely = _sizes(similarity) & (F.least("can", "can2") + 1e-6 >= least) & (differ <= F.col("n") + F.col("m") - 2 * least + 1e-6)
-    pairs = rows.join(other, "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & likely)
+    pairs = rows.join(merged(other), "s").where((F.col("root") != F.col("other")) & (F.col("is_most") | (F.col("node") < F.col("hub"))) & likely)
     low = F.col("node") < F.col("hub")
     either = lambda a, b, name: F.when(low, F.col(a)).otherwise(F.col(b)).alias(name)
     pairs = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"), either("n", "m", "n"), either("m", "n", "m"), either("i", "j", "i"), either("j", "i", "j"))
@@ -540,7 +540,7 @@ def similar(nodes: DataFrame, index: Callable[[], DataFrame], texts_of: Callable
 
     keys = _keys(nodes, NEIGHBOURS)
     star = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    star = _measured(keys.join(star, "key").where("node != hub").select("node", "hub").distinct(), nodes, most_bits(similarity))
+    star = _measured(keys.join(merged(star), "key").where("node != hub").select("node", "hub").distinct(), nodes, most_bits(similarity))
     links = checked(star.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")))
     roots = materialize(components(links), "simhash-roots")
 

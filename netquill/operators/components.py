@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         small_table = now[0] <= BROADCAST_EDGES  # then the edges of a hub needn't meet; beyond it the join splits hot keys
-        large = both.where("v > u").join(F.broadcast(least) if small_table else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(F.broadcast(least) if small_table else least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, e = e, cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")

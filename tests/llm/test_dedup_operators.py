@@ -132,6 +132,21 @@ def test_connecting_links_connect_the_same(spark):
     assert len(edges) < every.count() / 4
 
 
+def test_keys_are_not_broadcast(spark):
+    """Spark sizes the keys of a fingerprint, of which there are up to 108, as one row, and broadcast them."""
+    f = np.random.default_rng(5).integers(0, 1 << 63, 4000, dtype=np.int64)
+    nodes = spark.createDataFrame([(int(x),) for x in np.append(f, f[:50] ^ 5)], "f long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.maxBroadcastTableSize")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # a larger one is an error
+    try:
+        assert simhash_golay.links_within_3(nodes).count() == 50
+        assert components(simhash_golay.connecting_within_3(nodes)).count() == 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2001 + k) for k in range(40)]
