@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netquill.operators import tiles
 from netquill.operators.components import components
 from netquill.plans.checkpoint import cut, row_numbers
 
@@ -53,36 +54,52 @@ def uninferable(continuous: DataFrame) -> DataFrame:
     return continuous.groupBy("var_id").agg(bad.alias("bad")).where("bad").select("var_id")
 
 
-MOST_PAIRED = 64  # variables of a factor up to which its pairs are written out; of more, bitmaps are joined
+MOST_PAIRED = 64  # variables of a factor up to which its pairs are written out, times an eighth of the blocks of variables
+MOST_ROWS = 2_000_000  # pairs that are rows of a table; more are packed
+MOST_ROWS_OF_FACTOR, BUCKETS = 100_000, 1 << 15  # rows of a factor that one task may take; buckets of factors that are counted first
+MOST_BROADCAST = 500_000  # numbered variables
+ROWS_A_PART = 200_000
 
 
 def linked_variables(links: DataFrame) -> DataFrame:
-    """(var_id, n_linked): distinct other variables with which a variable shares a factor.
-
-    Variables are numbered. Small factors are rows with the set of their variables, dealt so that those with near numbers meet in a
-    task, where their pairs are written out and mostly merged before they are shuffled, each pair in one direction. Large factors
-    have a row for each bitmap of 32,768 variables, which their variables join. So rows before the last aggregate are at most links
-    times the bitmaps of a factor (or ``MOST_PAIRED``), never the square of a factor's size."""
-    places = cut(links.select("factor_id", "var_id").distinct(), "places")
-    numbers = cut(row_numbers(places.select("var_id").distinct(), "var_id", name="no"), "numbers")
-    size = places.groupBy("factor_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(MOST_PAIRED, 1))
-    hubs = cut(size.select("factor_id"), "large")
-    at = places.join(numbers, "var_id").select("factor_id", "no")
-    small = at.join(hubs, "factor_id", "left_anti").groupBy("factor_id").agg(F.array_sort(F.collect_list("no")).alias("set")).where(F.size("set") > 1).select("set")
-    parts = max(places.count() // 200_000, small.sparkSession.sparkContext.defaultParallelism)
-    near = small.repartitionByRange(parts, F.get("set", F.lit(0)), F.get("set", F.lit(1)))
-    ahead = near.select("set", F.posexplode("set").alias("i", "a")).select("a", F.explode(F.slice("set", F.col("i") + 2, MOST_PAIRED + 1)).alias("b"))
-    pairs = cut(ahead.distinct(), "linked")
-    each = pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("n_linked"))
-    if hubs.isEmpty():
+    """(var_id, n_linked): distinct other variables with which a variable shares a factor. Rows may repeat.
+
+    Variables are numbered. Factors are rows with the set of their variables, dealt so that those with near numbers meet in a task,
+    where their pairs are mostly merged before they are shuffled, each pair in one direction. Few pairs are rows. More are packed
+    (:mod:`netquill.operators.tiles`): variables are cut into blocks of near numbers, and a task gets all pairs of two blocks, a tile, as
+    sorted differences of a byte or two. A large factor sends its variables of both blocks to a tile instead of their pairs, and the
+    largest, which buckets of factors show, are gathered by block only. So nothing grows with the square of a factor's size."""
+    spark = links.sparkSession
+    rows = links.select("factor_id", "var_id").where("factor_id IS NOT NULL AND var_id IS NOT NULL")
+    numbers = cut(row_numbers(rows.select("var_id").distinct(), "var_id", name="no"), "numbers")
+    n = numbers.count()
+    at = rows.join(F.broadcast(numbers) if n <= MOST_BROADCAST else numbers.hint("merge"), "var_id").select("factor_id", F.col("no").cast("int" if n < 1 << 31 else "long").alias("no"))
+    bucket = F.pmod(F.xxhash64("factor_id"), F.lit(BUCKETS))
+    buckets = cut(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")), "buckets")
+    parts = max(buckets.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] // ROWS_A_PART, spark.sparkContext.defaultParallelism)
+    full = buckets.where(F.col("k") > MOST_ROWS_OF_FACTOR).select("bucket")
+    of_full = at.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    hubs = cut(of_full.groupBy("factor_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > MOST_ROWS_OF_FACTOR).select("factor_id"), "hubs")
+    some_hubs = not hubs.isEmpty()
+    side = tiles.side_of(n, parts)
+    most = MOST_PAIRED * (1 + -(-n // side) // 8)
+    other = at.join(hubs, "factor_id", "left_anti") if some_hubs else at
+    sets = other.repartition(parts, "factor_id").groupBy("factor_id").agg(F.array_sort(F.collect_set("no")).alias("set")).where(F.size("set") > 1)
+    near = sets.select(F.when(F.size("set") > most, F.col("factor_id")).alias("large"), "set").repartitionByRange(parts, F.get("set", F.lit(0)), F.get("set", F.lit(1)))
+    sets = cut(near, "sets")
+    size = F.size("set").cast("long")
+    n_pairs, n_large = sets.agg(F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0)), F.count("large")).first()
+    if n_pairs <= MOST_ROWS and not n_large and not some_hubs:
+        ahead = sets.select("set", F.posexplode("set").alias("i", "a")).select("a", F.explode(F.slice("set", F.col("i") + 2, most)).alias("b"))
+        pairs = cut(ahead.distinct(), "linked")
+        each = pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("n_linked"))
         return each.join(numbers, "no").select("var_id", "n_linked")
-    large = at.join(hubs, "factor_id", "left_semi").select("factor_id", "no", F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit"))
-    of_factor = large.groupBy("factor_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("set"))
-    joined = large.select("factor_id", "no").join(of_factor, "factor_id").groupBy("no", "bucket").agg(F.bitmap_or_agg("set").alias("set"))
-    both = pairs.union(pairs.select("b", "a")).toDF("no", "other").join(large.select("no").distinct(), "no", "left_semi")  # of variables with large factors
-    sets = both.groupBy("no", F.bitmap_bucket_number("other").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("other")).alias("set")).union(joined)
-    whole = sets.groupBy("no", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("set")).alias("n")).groupBy("no").agg((F.sum("n") - 1).alias("n_linked"))  # without itself
-    return each.join(large, "no", "left_anti").union(whole).join(numbers, "no").select("var_id", "n_linked")
+    packed = tiles.packed(sets.where("large IS NULL").select("set"), n, side)
+    if n_large or some_hubs:
+        of_large = sets.where("large IS NOT NULL").select(F.col("large").alias("factor_id"), F.explode("set").alias("no")).union(at.join(hubs, "factor_id", "left_semi"))
+        packed = packed.union(tiles.listed(of_large, n, side))
+    each = tiles.counted(packed, n, side, parts).groupBy("no").agg(F.sum("n").alias("n_linked"))
+    return each.join(numbers, "no").select("var_id", "n_linked")
 
 
 def evidence_factors(evidence: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

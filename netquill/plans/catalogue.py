@@ -14,7 +14,7 @@ from netquill.functions import scalar
 from netquill.operators import belief, boolnet, components, drug, factor_graph, kernel, learning, network, observations, pathway
 from netquill.operators import relational as rel
 from netquill.plans.checkpoint import cut
-from netquill.plans.registry import CHAIN, FI, ORACLE_SQL, QUERIES, chain, fi, obs, query, r6, t, vectors
+from netquill.plans.registry import CHAIN, FI, ORACLE_SQL, QUERIES, chain, fi, fi_lines, obs, query, r6, t, vectors
 from netquill.sources import readers
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -200,7 +200,7 @@ def pgm_validate(spark, sf):
 
 @query(f"WITH {FI}, l AS (SELECT x.gene1 AS a, y.gene1 AS b FROM fi x JOIN fi y ON x.gene2 = y.gene2 WHERE x.gene1 <> y.gene1) SELECT a AS var_id, count(DISTINCT b) AS n_linked FROM l GROUP BY a")
 def linked_variables(spark, sf):
-    p = fi(spark, sf)
+    p = fi_lines(spark, sf)  # repeated rows make no difference
     return factor_graph.linked_variables(p.select(F.col("gene2").alias("factor_id"), F.col("gene1").alias("var_id")))
 
 

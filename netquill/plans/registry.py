@@ -68,9 +68,14 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/netquill-files-{uuid.uuid4().hex}"
 
 
-def fi(spark, sf) -> DataFrame:
+def fi_lines(spark, sf) -> DataFrame:
+    """The pairs of :func:`fi`, which may repeat."""
     li = t(spark, sf, "lineitem")
-    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("gene1"), F.concat(F.lit("p"), "l_partkey").alias("gene2")).distinct()
+    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("gene1"), F.concat(F.lit("p"), "l_partkey").alias("gene2"))
+
+
+def fi(spark, sf) -> DataFrame:
+    return fi_lines(spark, sf).distinct()
 
 
 FI = "fi AS (SELECT DISTINCT 's' || l_suppkey AS gene1, 'p' || l_partkey AS gene2 FROM lineitem), b AS (SELECT gene1 AS gene, gene2 AS other FROM fi UNION SELECT gene2, gene1 FROM fi), deg AS (SELECT gene, count(DISTINCT other) AS d FROM b GROUP BY gene)"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netquill.operators import factor_graph, kernel, permutation, sampling
+from netquill.operators import factor_graph, kernel, permutation, sampling, tiles
 from tests.test_factor_graph import COMPETITIVE, EX, exact, tables, vectors
 
 
@@ -102,6 +102,60 @@ def test_linked_pairs_are_written_once(spark, monkeypatch):
     assert written["linked"].count() == 30 * 29 // 2
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    executors = sc.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_linked_pairs_take_little_room(spark):
+    """Factors without common pairs: a pair takes a byte or two, not a row."""
+    links = spark.range(3000).select(F.col("id").alias("factor_id"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("k")).select("factor_id", F.pmod(F.xxhash64("factor_id", "k"), F.lit(3000)).alias("var_id"))
+    before = shuffled_bytes(spark)
+    got = {r["var_id"]: r["n_linked"] for r in factor_graph.linked_variables(links).collect()}
+    assert shuffled_bytes(spark) - before < 8 << 20
+    p = links.distinct().toPandas()
+    at = np.zeros((3000, 3000), np.float32)
+    at[p["factor_id"], p["var_id"]] = 1
+    both = at.T @ at > 0
+    assert got == {v: int(n) - 1 for v, n in enumerate(both.sum(axis=0)) if n > 1} and sum(got.values()) > 3_000_000
+
+
+@pytest.mark.parametrize("most, of_factor, held", [(64, 100_000, 8_000_000), (3, 100_000, 50), (0, 20, 50), (64, 20, 300)])
+def test_linked_variables_by_tile(spark, rows, most, of_factor, held, monkeypatch):
+    """Pairs of small factors, lists of large ones and of those with very many rows meet in one tile; rows repeat, some lack a name."""
+    for module, name, value in ((factor_graph, "MOST_ROWS", 0), (factor_graph, "MOST_PAIRED", most), (factor_graph, "MOST_ROWS_OF_FACTOR", of_factor), (tiles, "PAIRS_HELD", held)):
+        monkeypatch.setattr(module, name, value)
+    rnd = random.Random(8)
+    places = {(f"f{f}", f"v{v}") for f in range(60) for v in rnd.sample(range(300), rnd.randrange(1, 12))} | {("hub", f"v{v}") for v in range(50, 250)} | {("mid", f"v{v}") for v in range(0, 300, 9)} | {("one", "v1000")}
+    want = {}
+    for f, v in places:
+        want.setdefault(v, set()).update(u for g, u in places if g == f and u != v)
+    several = sorted(places) * 2 + [(None, "v1"), (None, "v299"), ("f1", None)]
+    got = {r["var_id"]: r["n_linked"] for r in factor_graph.linked_variables(rows(several, "factor_id string, var_id string")).collect()}
+    assert got == {v: len(u) for v, u in want.items() if u}
+
+
+@pytest.mark.parametrize("sparse", [0, 40, 10**6])
+def test_tiles_count_pairs_once(sparse, monkeypatch):
+    monkeypatch.setattr(tiles, "SPARSE", sparse)
+    rng, side = np.random.default_rng(3), 32
+    for same in (False, True):
+        t, want = tiles._Tile(side), np.zeros((side, side), bool)
+        for _ in range(6):
+            codes = np.unique(rng.integers(0, side * side, 50))
+            codes = codes[codes // side < codes % side] if same else codes
+            t.add(tiles._unsqueezed(*(lambda c, w: (c, len(codes), w))(*tiles._squeezed(codes))))
+            want.reshape(-1)[codes] = True
+            x, y = np.sort(rng.permutation(side)[:9]), np.sort(rng.permutation(side)[:11])
+            y = x if same else y
+            t.pair(x, y, same)
+            want[np.ix_(x, y)] |= np.less.outer(x, y) if same else True
+        rows, columns = t.counts()
+        assert (rows == want.sum(axis=1)).all() and (columns == want.sum(axis=0)).all()
+
+
 def test_permutations_are_bijections(spark):
     for n in (1, 2, 7, 1000, 4097):
         d = spark.range(n).select("id", permutation.permuted(F.col("id"), F.lit(n), 5).alias("to"))
